@@ -24,6 +24,8 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no 4 MB of disk set aside for each one's manifest
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
