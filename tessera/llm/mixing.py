@@ -50,10 +50,10 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
         if weights is None
         else sizes.join(weights.select("source", "weight"), "source", "left").fillna(0.0, ["weight"])
     ).withColumn("weight", F.greatest("weight", F.lit(0.0)))
-    sums = weighted.agg(F.sum("weight").alias("w"), F.sum("n_rows").alias("n"))
-    wanted = F.lit(float(total)) if total is not None else F.col("n").cast("double")
-    rate = F.least(F.lit(MAX_RATE), F.col("weight") / F.col("w") * wanted / F.col("n_rows"))
-    return weighted.crossJoin(F.broadcast(sums)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weight_sum, n_rows = weighted.agg(F.sum("weight"), F.sum("n_rows")).first()
+    wanted = float(total if total is not None else n_rows or 0)
+    rate = F.when(F.lit(weight_sum or 0.0) > 0, F.col("weight") / F.lit(weight_sum or 1.0) * F.lit(wanted) / F.col("n_rows"))
+    return weighted.select("source", F.coalesce(F.least(F.lit(MAX_RATE), rate), F.lit(0.0)).alias("rate"))
 
 
 def replicate(docs: DataFrame, rates: DataFrame) -> DataFrame:
@@ -82,8 +82,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mix(docs)
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = """
@@ -99,7 +98,7 @@ d AS (SELECT doc_id, source,
              / 4503599627370496.0 AS u FROM documents),
 n AS (SELECT d.doc_id, d.source, count(*) AS n FROM d JOIN cdf ON coalesce(d.source, '') = cdf.source AND cdf.c < d.u
       GROUP BY ALL)
-SELECT doc_id, source, copy::INT AS copy,
+SELECT doc_id, text, lang, d.source, n_chars, copy::INT AS copy,
        md5('mix-1:s:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM n)
+FROM (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM n) JOIN documents d USING (doc_id)
 """
