@@ -110,9 +110,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     # the text of the row that stays, only where its digest was hit again
     hit = state.filter("n_rows > 1").select("digest", F.col("holder.doc_id").alias("doc_id"))
     holders = (
-        rows.join(hit, ["digest"], "inner")
-        .filter(rows["doc_id"].eqNullSafe(hit["doc_id"]))
-        .groupBy("digest")
+        rows.join(hit, (rows["digest"] == hit["digest"]) & rows["doc_id"].eqNullSafe(hit["doc_id"]))
+        .groupBy(rows["digest"])
         .agg(F.min("text").alias("held_text"))
     )
     known = state.join(holders, "digest", "left").select(
