@@ -114,9 +114,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         .groupBy(rows["digest"])
         .agg(F.min("text").alias("held_text"))
     )
-    known = state.join(holders, "digest", "left").select(
+    # written, so that the join with all rows is one of two plain shuffles, which AQE splits where a group is large
+    known = saved(state.join(holders, "digest", "left").select(
         "digest", F.col("holder.doc_id").alias("keep_id"), F.col("n_rows").alias("group_size"), "held_text"
-    )
+    ))
     checked = saved(
         rows.join(known, "digest").select(
             "doc_id", "keep_id", "group_size", "digest",
