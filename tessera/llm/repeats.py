@@ -173,7 +173,8 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     spark = docs.sparkSession
     prepare(spark)
     rows = source(docs)
-    often = scan(rows, unit_hashes, window, k, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # written, so that the join below has two plain shuffles and AQE splits a very common anchor
+    often = saved(scan(rows, unit_hashes, window, k, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
     found = saved(scan(rows, unit_hashes, window, k, True).join(often, "anchor"))
     once = folded(found)
     contents = saved(once.join(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")), "anchor"))
