@@ -26,8 +26,8 @@ from .common import prepare, saved, text_bytes
 
 #: Passages of a document looked at together, which bounds the memory for a very long text.
 BLOCK = 1 << 17
-#: Contents of one anchor from which its passages are routed one by one.
-HOT = 2_000
+#: Contents of one anchor from which its passages are routed one by one: about 6 MB of bytes, or what 100 MB of automaton hold.
+HOT = {"words": 2_000, "bytes": 20_000}
 #: Units of content that a shard is to hold.
 SHARD_UNITS = {"words": 150_000, "bytes": 2_000_000}
 ODD = 0x9E3779B97F4A7C15 | 1
@@ -180,13 +180,13 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     contents = saved(once.join(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")), "anchor"))
 
     # whole fragments that are copies: all places, or all but the first
-    calm = contents.filter(F.col("contents") <= HOT).select(*[F.col(c).alias(f"c_{c}") for c in ("anchor", "content", "n", "first", "contents")])
+    calm = contents.filter(F.col("contents") <= HOT[unit]).select(*[F.col(c).alias(f"c_{c}") for c in ("anchor", "content", "n", "first", "contents")])
     at = found.join(calm.filter("c_n > 1"), (F.col("anchor") == F.col("c_anchor")) & (F.col("content") == F.col("c_content")))
     not_first = ~F.struct("doc_id", "sub", "a", "b").eqNullSafe(F.col("c_first"))
     spans = (at.filter(not_first) if keep_first else at).select(*KEY, "a", "b")
 
     # contents that share an anchor, by shard
-    shared = contents.filter((F.col("contents") > 1) & (F.col("contents") <= HOT))
+    shared = contents.filter((F.col("contents") > 1) & (F.col("contents") <= HOT[unit]))
     sizes = shared.agg(F.sum(F.col("first.b") - F.col("first.a") + window)).first()[0] or 0
     if sizes:
         shards = int(sizes // SHARD_UNITS[unit]) + 1
@@ -222,8 +222,8 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
         spans = spans.unionByName(pieces.groupBy("shard").applyInArrow(by_shard, "doc_id bigint, sub int, a int, b int"))
 
     # anchors with too many contents: passage by passage
-    if contents.filter(F.col("contents") > HOT).limit(1).count():
-        hot = contents.filter(F.col("contents") > HOT).select("anchor").distinct()
+    if contents.filter(F.col("contents") > HOT[unit]).limit(1).count():
+        hot = contents.filter(F.col("contents") > HOT[unit]).select("anchor").distinct()
         wanted = found.join(hot, "anchor", "left_semi").select(*KEY, F.struct("a", "b").alias("want"))
 
         def passages(doc, sub, text, wants):
