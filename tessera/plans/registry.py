@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import catalog
+
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in catalog.CATALOG.items()}
 
 
 def oracles():
-    return {}
+    return {name: sql for name, (_, sql) in catalog.CATALOG.items() if sql}
