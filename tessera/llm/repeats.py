@@ -29,7 +29,7 @@ BLOCK = 1 << 17
 #: Contents of one anchor from which its passages are routed one by one: about 6 MB of bytes, or what 100 MB of automaton hold.
 HOT = {"words": 2_000, "bytes": 20_000}
 #: Units of content that a shard is to hold.
-SHARD_UNITS = {"words": 150_000, "bytes": 2_000_000}
+SHARD_UNITS = {"words": 150_000, "bytes": 1_200_000}
 ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
 KEY = ["doc_id", "sub"]

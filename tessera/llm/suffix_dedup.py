@@ -42,7 +42,7 @@ def ranks(keys: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
 def to_end(lengths: np.ndarray) -> np.ndarray:
     """Units left, itself included, for each unit of sequences of these lengths."""
     ends = np.cumsum(lengths)
-    return np.repeat(ends, lengths) - np.arange(int(ends[-1]) if len(ends) else 0)
+    return (np.repeat(ends, lengths) - np.arange(int(ends[-1]) if len(ends) else 0)).astype(np.int32)
 
 
 def corpus_order(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -63,46 +63,49 @@ def corpus_order(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     following = np.append(start[1:], n)
     end = np.minimum(np.minimum(following + TRIGGER, fragment_end), n)
     end = np.where(following >= fragment_end, fragment_end, end)
-    data = text.astype(np.int16).tobytes()
+    data = text.tobytes()
     known: dict[bytes, int] = {}
     parse = np.fromiter((known.setdefault(data[2 * a : 2 * b], len(known)) for a, b in zip(start.tolist(), end.tolist())), dtype=np.int64, count=len(start))
     # suffix array of the dictionary
-    words = np.frombuffer(b"".join(known), dtype=np.int16).astype(np.int64)
+    words = np.frombuffer(b"".join(known), dtype=np.int16)
     word_lengths = np.array([len(w) // 2 for w in known], dtype=np.int64)
     word_left = to_end(word_lengths)
     word_start = np.cumsum(word_lengths) - word_lengths
     key, step = np.zeros(len(words), dtype=np.int64), 6
     for i in range(step):
         nxt = np.zeros(len(words), dtype=np.int64)
-        nxt[: len(words) - i] = np.where(word_left[: len(words) - i] > i, words[i:] + 1, 0)
+        nxt[: len(words) - i] = np.where(word_left[: len(words) - i] > i, words[i:].astype(np.int64) + 1, 0)
         key = key * 259 + nxt
-    word_rank = ranks(key, word_left, step)
+    word_rank = ranks(key, word_left, step).astype(np.int32)
+    del key, nxt
     # suffix array of the parse, over the phrases' ranks
     phrases = np.diff(np.append(np.flatnonzero(np.isin(start, np.cumsum(lengths) - lengths)), len(start)))
     parse_left = to_end(phrases)
     parse_rank = ranks(word_rank[word_start[parse]], parse_left, 1)
     # both together
-    place = np.flatnonzero(left > TRIGGER)
-    phrase = np.searchsorted(start, place, side="right") - 1
+    del data, known, h, trigger
+    place = np.flatnonzero(left > TRIGGER).astype(np.int32)
+    phrase = (np.searchsorted(start, place, side="right") - 1).astype(np.int32)
     alpha = word_rank[word_start[parse[phrase]] + place - start[phrase]]
-    rest = np.append(parse_rank, 0)[phrase + 1] * (parse_left[phrase] > 1)
+    rest = (np.append(parse_rank, 0)[phrase + 1] * (parse_left[phrase] > 1)).astype(np.int32)
+    del phrase
     return place[np.lexsort((rest, alpha))]
 
 
 def repeated_anywhere(contents: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
     """For each content, per passage of `window` bytes: whether it starts anywhere else in the contents too."""
     lengths = np.array([len(c) + TRIGGER for c in contents], dtype=np.int64)
-    text = np.zeros(int(lengths.sum()), dtype=np.int64)
+    text = np.zeros(int(lengths.sum()), dtype=np.int16)
     left = to_end(lengths)
-    text[left > TRIGGER] = np.frombuffer(b"".join(contents), dtype=np.uint8).astype(np.int64) + 1
+    text[left > TRIGGER] = np.frombuffer(b"".join(contents), dtype=np.uint8).astype(np.int16) + 1
     order = corpus_order(text, lengths)
     order = order[left[order] >= window + TRIGGER]
     h = Rolling(BYTE_HASH[text])
     of = h.ranges(order, order + window)
     pair = np.flatnonzero(of[1:] == of[:-1])
-    low = text.astype(np.uint16)
+    del h, of
     for i in range(window):  # the bytes themselves
-        pair = pair[low[order[pair] + i] == low[order[pair + 1] + i]]
+        pair = pair[text[order[pair] + i] == text[order[pair + 1] + i]]
     mark = np.zeros(len(text), dtype=bool)
     mark[order[pair]] = mark[order[pair + 1]] = True
     ends = np.cumsum(lengths)
