@@ -117,28 +117,36 @@ def manhattan(a, b) -> np.ndarray:
     return np.bitwise_count(low) + 2 * np.bitwise_count((x >> np.uint64(1)) & np.uint64(ODD) & ~low)
 
 
-def cell_links(node: np.ndarray, fp: np.ndarray, wide: np.ndarray | None, radius: int, wide_radius: int, forest: Forest) -> list[tuple[int, int]]:
-    """Spanning links of one cell: pairs within `radius` (or, with wide bits, within wide_radius of those) that join two trees of the forest."""
+def cell_links(node: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) -> list[tuple[int, int]]:
+    """Spanning links of one cell: pairs within `radius` that join two trees of the forest."""
     out, e = [], counts(fp)
     for i in range(1, len(node)):
         near = np.flatnonzero(manhattan(e[i], e[:i]) <= radius)
-        if not len(near):
-            continue
-        if wide is None:
-            near = near[np.bitwise_count(fp[near] ^ fp[i]) <= radius]
-        else:
-            near = near[np.bitwise_count(wide[near] ^ wide[i]).sum(1) <= wide_radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[i]) <= radius]
         out += [(int(node[i]), int(node[j])) for j in near if forest.union(int(node[i]), int(node[j]))]
     return out
 
 
-def links(points: DataFrame, radius: int = 3, blocks: int = 6, wide_radius: int | None = None, bound: int | None = None) -> DataFrame:
-    """points (node long, fp, wide), fp distinct or not -> edges (u, v) that connect what lies within the radius.
+def cell_candidates(node: np.ndarray, fp: np.ndarray, wide: np.ndarray, bound: int, sure: int, most: int, forest: Forest) -> list[tuple[int, int]]:
+    """Pairs of one cell to compare exactly: wide fingerprints at most `most` bits apart. Those at most `sure` bits apart, nearest first,
+    only where they join two trees of the forest; the others all, unless their ends are in one tree."""
+    out, open_pairs, e = [], [], counts(fp)
+    for i in range(1, len(node)):
+        near = np.flatnonzero(manhattan(e[i], e[:i]) <= bound)
+        if not len(near):
+            continue
+        apart = np.bitwise_count(wide[near] ^ wide[i]).sum(1)
+        for at in np.argsort(apart, kind="stable")[: np.count_nonzero(apart <= most)]:
+            pair = int(node[near[at]]), int(node[i])
+            if apart[at] > sure:
+                open_pairs.append(pair)
+            elif forest.union(*pair):
+                out.append(pair)
+    return out + [(u, v) for u, v in open_pairs if forest.find(u) != forest.find(v)]
+
 
-    Without wide_radius: Hamming distance of fp at most `radius`, exact. With it: fp chooses cells, `bound` limits the Manhattan distance
-    and the wide fingerprints decide.
-    """
-    limit = radius if bound is None else bound
+def cell_pairs(points: DataFrame, radius: int, blocks: int, pairs_of) -> DataFrame:
+    """Edges (u, v) that pairs_of(node, fp, wide, forest) gives for the members of each cell, sorted by node; a task keeps one forest."""
 
     def run(batches):
         forest = Forest()
@@ -147,9 +155,9 @@ def links(points: DataFrame, radius: int = 3, blocks: int = 6, wide_radius: int
             for members in b.column("members"):
                 values = members.values
                 node, fp = (values.field(i).to_numpy() for i in (0, 1))
-                wide = None if wide_radius is None else np.frombuffer(b"".join(values.field(2).to_pylist()), dtype=np.uint64).reshape(len(node), -1)
                 order = np.argsort(node, kind="stable")
-                found += cell_links(node[order], fp.view(np.uint64)[order], None if wide is None else wide[order], limit, wide_radius, forest)
+                wide = np.frombuffer(b"".join(values.field(2).to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+                found += pairs_of(node[order], fp.view(np.uint64)[order], wide[order], forest)
             if len(forest.parent) > 1_000_000:
                 forest = Forest()
             a = np.array(found, dtype=np.int64).reshape(-1, 2)
@@ -158,6 +166,11 @@ def links(points: DataFrame, radius: int = 3, blocks: int = 6, wide_radius: int
     return cell_members(points, radius, blocks).mapInArrow(run, "u bigint, v bigint")
 
 
+def links(points: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """points (node long, fp, wide unused), fp distinct or not -> edges (u, v) that connect what lies within Hamming distance `radius`."""
+    return cell_pairs(points, radius, blocks, lambda node, fp, wide, forest: cell_links(node, fp, radius, forest))
+
+
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, blocks: int = 6) -> DataFrame:
     """docs (doc_id, text, ...) -> a row per row: doc_id, fp, component_id (smallest doc_id reachable).
 
@@ -177,21 +190,56 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_dedup: bits of the wide five-word fingerprint, and the most of them that may differ. Independent bits differ with
-#: probability angle / pi; texts of equal length and Jaccard similarity 0.8 have cosine 0.889, so 0.151 x 256 = 38.8.
-WIDE, WIDE_RADIUS = 256, 38
+#: near_dedup: bits of the wide five-word fingerprint. Independent bits differ with probability angle / pi; texts of equal length and
+#: Jaccard similarity 0.8 have cosine 0.889, so 38.8 bits in the mean, with a deviation of 5.7. Pairs up to MOST bits apart (three
+#: deviations more) are compared exactly. SURE lies two deviations below that mean: of such pairs a spanning forest is compared.
+WIDE, SURE, MOST = 256, 27, 56
 #: Cells come from a one-word fingerprint, which moves least under an edit: every pair within 4 of its bits meets, and most
 #: pairs up to 8, since edits fall into few blocks.
 NEAR_RADIUS, NEAR_BLOCKS, NEAR_BOUND = 4, 7, 16
+#: Words of a shingle of near_dedup.
+NEAR_WORDS = 5
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """docs (node, text) -> node, n, grams: the distinct XXH64 hashes of the k-word shingles, and their number."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])).view(np.int64) for t in text_bytes(b.column("text"))]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(ends)), grams], ["node", "n", "grams"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, n int, grams array<bigint>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, k: int = NEAR_WORDS) -> DataFrame:
+    """Those of pairs (u, v) whose texts in docs (node, text) have Jaccard similarity 4/5 or more over their sets of k-word shingles.
+
+    Exact but for clashes of 64-bit hashes. Sizes go first: a pair whose sizes differ by over a fifth can't reach it.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = saved(shingle_sets(docs.join(ends, "node", "left_semi"), k))
+    size = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
+    grams = lambda end: sets.select(F.col("node").alias(end), F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
+    close = pairs.join(size("u"), "u").join(size("v"), "v").filter("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
+    both = close.join(grams("u"), ["u", "n_u"]).join(grams("v"), ["v", "n_v"])
+    shared = F.size(F.array_intersect("grams_u", "grams_v"))
+    return both.filter(9 * shared >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group of rows linked at similarity 0.8 or more over five-word shingles, that with the smallest doc_id stays.
 
-    Columns stay. Rows without a word, and rows with null doc_id, all stay. Rows that repeat a doc_id stay or go together.
+    The grid proposes pairs, their sets of shingles decide. Columns stay. Rows without a word, and rows with null doc_id, all stay.
+    Rows that repeat a doc_id stay or go together.
     """
+    prepare(docs.sparkSession)
     worded = docs.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    points = fingerprints(worded, 1, WIDE).select(F.col("doc_id").alias("node"), "fp", "wide")
-    roots = components(links(points, NEAR_RADIUS, NEAR_BLOCKS, WIDE_RADIUS, NEAR_BOUND))
+    points = fingerprints(worded, 1, WIDE, NEAR_WORDS).select(F.col("doc_id").alias("node"), "fp", "wide")
+    found = cell_pairs(points, NEAR_RADIUS, NEAR_BLOCKS, lambda node, fp, wide, forest: cell_candidates(node, fp, wide, NEAR_BOUND, SURE, MOST, forest))
+    pairs = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+    roots = components(similar(pairs, worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))))
     gone = roots.filter("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

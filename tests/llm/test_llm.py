@@ -213,6 +213,37 @@ def test_near_dedup(spark):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == [*range(30), 40, 41]
 
 
+def test_near_dedup_decides_by_similarity(spark):
+    """Edited copies on both sides of similarity 0.8: nothing below it goes, and over nine in ten of those that should go do."""
+    rnd = random.Random(11)
+    words = ["t%d" % i for i in range(3000)]
+    texts = {}
+    for base in range(60):
+        w = rnd.choices(words, k=rnd.randint(120, 400))
+        texts[2 * base] = " ".join(w)
+        for at in rnd.sample(range(len(w)), max(1, len(w) * (base % 6 + 1) // 150)):
+            w[at] = "changed%d" % at
+        texts[2 * base + 1] = " ".join(w)
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    close = {i + 1 for i in range(0, 120, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])}
+    assert 20 < len(close) < 55
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    gone = set(texts) - kept
+    assert gone <= close and len(gone) >= 0.9 * len(close)
+
+
+def test_similar_is_exact(spark):
+    texts = [(1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l"), (3, "a b c d e f g h i"), (4, "a b"), (5, "A  b"), (6, "a c")]
+    pairs = [(1, 2), (1, 3), (2, 3), (4, 5), (4, 6)]
+    got = simhash.similar(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(texts, "node long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (4, 5)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]
