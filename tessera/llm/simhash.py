@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import prepare, saved, text_bytes
 from .components import Forest, components
@@ -127,22 +128,14 @@ def cell_links(node: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) ->
     return out
 
 
-def cell_candidates(node: np.ndarray, fp: np.ndarray, wide: np.ndarray, bound: int, sure: int, most: int, forest: Forest) -> list[tuple[int, int]]:
-    """Pairs of one cell to compare exactly: wide fingerprints at most `most` bits apart. Those at most `sure` bits apart, nearest first,
-    only where they join two trees of the forest; the others all, unless their ends are in one tree."""
-    out, open_pairs, e = [], [], counts(fp)
+def cell_candidates(node: np.ndarray, fp: np.ndarray, wide: np.ndarray, bound: int, most: int, forest: Forest) -> list[tuple[int, int]]:
+    """Spanning links of one cell: pairs whose wide fingerprints are at most `most` bits apart and that join two trees of the forest."""
+    out, e = [], counts(fp)
     for i in range(1, len(node)):
         near = np.flatnonzero(manhattan(e[i], e[:i]) <= bound)
-        if not len(near):
-            continue
-        apart = np.bitwise_count(wide[near] ^ wide[i]).sum(1)
-        for at in np.argsort(apart, kind="stable")[: np.count_nonzero(apart <= most)]:
-            pair = int(node[near[at]]), int(node[i])
-            if apart[at] > sure:
-                open_pairs.append(pair)
-            elif forest.union(*pair):
-                out.append(pair)
-    return out + [(u, v) for u, v in open_pairs if forest.find(u) != forest.find(v)]
+        near = near[np.bitwise_count(wide[near] ^ wide[i]).sum(1) <= most]
+        out += [(int(node[i]), int(node[j])) for j in near if forest.union(int(node[i]), int(node[j]))]
+    return out
 
 
 def cell_pairs(points: DataFrame, radius: int, blocks: int, pairs_of) -> DataFrame:
@@ -191,36 +184,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: near_dedup: bits of the wide five-word fingerprint. Independent bits differ with probability angle / pi; texts of equal length and
-#: Jaccard similarity 0.8 have cosine 0.889, so 38.8 bits in the mean, with a deviation of 5.7. Pairs up to MOST bits apart (three
-#: deviations more) are compared exactly. SURE lies two deviations below that mean: of such pairs a spanning forest is compared.
-WIDE, SURE, MOST = 256, 27, 56
+#: Jaccard similarity 0.8 have cosine 0.889, so 38.8 bits in the mean, with a deviation of 5.7. Pairs over MOST bits apart (three
+#: deviations more) are not compared.
+WIDE, MOST = 256, 56
 #: Cells come from a one-word fingerprint, which moves least under an edit: every pair within 4 of its bits meets, and most
 #: pairs up to 8, since edits fall into few blocks.
 NEAR_RADIUS, NEAR_BLOCKS, NEAR_BOUND = 4, 7, 16
 #: Words of a shingle of near_dedup.
 NEAR_WORDS = 5
+#: Shingles of a chunk of a family; a row counts as LEAST at least, so a chunk has 4,096 rows at most. One longer text is a chunk.
+CHUNK, LEAST = 1 << 18, 64
+#: Families over FAMILY rows are compared with PIVOTS of their own rows first.
+FAMILY, PIVOTS = 64, 8
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (node, text) -> node, n, grams: the distinct XXH64 hashes of the k-word shingles, and their number."""
+def shingle_sets(docs: DataFrame, k: int, *extra: str) -> DataFrame:
+    """docs (node, text, extra longs) -> node, extra, wide, n, grams: the fingerprint of WIDE bits, the distinct XXH64 hashes of the k-word shingles, and their number."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])).view(np.int64) for t in text_bytes(b.column("text"))]
+            texts = text_bytes(b.column("text"))
+            sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])).view(np.int64) for t in texts]
+            wides = [np.packbits(fingerprint_bits(t, k, WIDE), bitorder="little").tobytes() for t in texts]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.diff(ends)), grams], ["node", "n", "grams"])
-
-    return docs.select("node", "text").mapInArrow(run, "node bigint, n int, grams array<bigint>")
+            columns = [b.column("node"), *map(b.column, extra), pa.array(wides, pa.binary()), pa.array(np.diff(ends)), grams]
+            yield pa.RecordBatch.from_arrays(columns, ["node", *extra, "wide", "n", "grams"])
 
+    longs = "".join(f", {x} bigint" for x in extra)
+    return docs.select("node", "text", *extra).mapInArrow(run, f"node bigint{longs}, wide binary, n int, grams array<bigint>")
 
-def similar(pairs: DataFrame, docs: DataFrame, k: int = NEAR_WORDS) -> DataFrame:
-    """Those of pairs (u, v) whose texts in docs (node, text) have Jaccard similarity 4/5 or more over their sets of k-word shingles.
 
-    Exact but for clashes of 64-bit hashes. Sizes go first: a pair whose sizes differ by over a fifth can't reach it.
-    """
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = saved(shingle_sets(docs.join(ends, "node", "left_semi"), k))
+def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose sets (node, n, grams) have Jaccard similarity 4/5 or more. Sizes go first: a pair whose sizes differ by over a fifth can't reach it."""
     size = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
     grams = lambda end: sets.select(F.col("node").alias(end), F.col("grams").alias(f"grams_{end}"), F.col("n").alias(f"n_{end}"))
     close = pairs.join(size("u"), "u").join(size("v"), "v").filter("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
@@ -229,17 +225,112 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int = NEAR_WORDS) -> DataFrame
     return both.filter(9 * shared >= 4 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
+def similar(pairs: DataFrame, docs: DataFrame, k: int = NEAR_WORDS) -> DataFrame:
+    """Those of pairs (u, v) whose texts in docs (node, text) have Jaccard similarity 4/5 or more over their sets of k-word shingles.
+
+    Exact but for clashes of 64-bit hashes.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return similar_sets(pairs, saved(shingle_sets(docs.join(ends, "node", "left_semi"), k)))
+
+
+def pivot_links(sets: DataFrame) -> DataFrame:
+    """Links (u, v) at similarity 4/5 between the rows of each family (root) of over FAMILY rows and PIVOTS of its rows, chosen by hash."""
+    nodes = sets.select("root", "node")
+    large = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > FAMILY).select("root")
+    members = nodes.join(large, "root")
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
+    pivots = members.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("root", F.col("node").alias("v"))
+    pairs = members.select("root", F.col("node").alias("u")).join(pivots, "root").filter("u <> v").select("u", "v")
+    return similar_sets(pairs, sets)
+
+
+def family_chunks(sets: DataFrame, trees: DataFrame) -> DataFrame:
+    """sets (root, node, wide, n, grams), trees (node, tree) found so far -> a row per pair of chunks to compare: apart (two chunks?), members.
+
+    The rows of a family's largest tree are linked already and are never compared with each other. The other rows are its rest: chunk
+    against chunk, and against the chunks of the tree. A family that is one tree gives no row.
+    """
+    treed = sets.select("root", "node", "n").join(trees, "node", "left")
+    sizes = treed.filter("tree is not null").groupBy("root", "tree").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("root").agg(F.max_by("tree", F.struct("rows", "tree")).alias("main"))
+    placed = treed.join(main, "root", "left").select("root", "node", "n", (F.col("tree").isNotNull() & (F.col("tree") == F.col("main"))).alias("linked")).distinct()
+    weight = F.greatest("n", F.lit(LEAST))
+    chunks = lambda of: F.ceil(F.coalesce(F.sum(F.when(of, weight)), F.lit(0)) / CHUNK)
+    plan = placed.groupBy("root").agg(chunks(~F.col("linked")).alias("rest"), chunks(F.col("linked")).alias("core")).filter("rest > 0 and rest + core > 0")
+    number = F.when(F.col("linked"), F.col("rest") + F.pmod(F.xxhash64("node"), F.greatest("core", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), "rest"))
+    last = F.when(F.col("linked"), F.col("rest")).otherwise(F.col("rest") + F.col("core")) - 1
+    dealt = placed.join(plan, "root").select("root", "node", "n", "linked", number.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"))
+    return (
+        dealt.join(sets, ["root", "node", "n"])
+        .groupBy("root", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
+        .agg(F.collect_list(F.struct("node", "wide", "grams", F.col("linked"), "chunk")).alias("members"))
+        .filter(F.size("members") > 1)
+        .select((F.col("first") < F.col("second")).alias("apart"), "members")
+    )
+
+
+def chunk_links(node: np.ndarray, wide: np.ndarray, grams: list[np.ndarray], linked: np.ndarray, chunk: np.ndarray, apart: bool) -> list[tuple[int, int]]:
+    """Links at similarity 4/5 that join two trees, nearest fingerprints first. Only pairs across chunks if `apart`."""
+    out, forest = [], Forest()
+    core = np.flatnonzero(linked)
+    for i in core[1:]:
+        forest.union(int(node[core[0]]), int(node[i]))
+    sizes = np.array([len(g) for g in grams])
+    for i in range(1, len(node)):
+        fits = 5 * np.minimum(sizes[:i], sizes[i]) >= 4 * np.maximum(sizes[:i], sizes[i])
+        if apart:
+            fits &= chunk[:i] != chunk[i]
+        near = np.flatnonzero(fits)
+        bits = np.bitwise_count(wide[near] ^ wide[i]).sum(1)
+        for at in np.argsort(bits, kind="stable")[: np.count_nonzero(bits <= MOST)]:
+            j, (u, v) = near[at], (int(node[near[at]]), int(node[i]))
+            if forest.find(u) == forest.find(v):
+                continue
+            small, big = (grams[i], grams[j]) if sizes[i] < sizes[j] else (grams[j], grams[i])
+            shared = np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small) if len(big) else 0
+            if 9 * shared >= 4 * (sizes[i] + sizes[j]):
+                forest.union(u, v)
+                out.append((u, v))
+    return out
+
+
+def family_links(sets: DataFrame, trees: DataFrame) -> DataFrame:
+    """Links (u, v) at similarity 4/5 that connect the rows of each family as all its pairs within MOST bits would, given the trees."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for apart, members in zip(b.column("apart").to_pylist(), b.column("members")):
+                values = members.values
+                node, chunk = (values.field(i).to_numpy() for i in (0, 4))
+                wide = np.frombuffer(b"".join(values.field(1).to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+                linked = values.field(3).to_numpy(zero_copy_only=False)
+                lists = values.field(2)
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)  # sorted as unsigned
+                order = np.argsort(node, kind="stable")
+                grams = [flat[ends[i] : ends[i + 1]] for i in order]
+                found += chunk_links(node[order], wide[order], grams, linked[order], chunk[order], apart)
+            a = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+
+    return family_chunks(sets, trees).mapInArrow(run, "u bigint, v bigint")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group of rows linked at similarity 0.8 or more over five-word shingles, that with the smallest doc_id stays.
 
-    The grid proposes pairs, their sets of shingles decide. Columns stay. Rows without a word, and rows with null doc_id, all stay.
-    Rows that repeat a doc_id stay or go together.
+    The grid proposes families (rows connected by pairs within MOST bits of the wide fingerprint). Within a family the sets of shingles of
+    all pairs within MOST bits decide, but for pairs already connected. Columns stay. Rows without a word, and rows with null doc_id,
+    all stay. Rows that repeat a doc_id stay or go together.
     """
     prepare(docs.sparkSession)
     worded = docs.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     points = fingerprints(worded, 1, WIDE, NEAR_WORDS).select(F.col("doc_id").alias("node"), "fp", "wide")
-    found = cell_pairs(points, NEAR_RADIUS, NEAR_BLOCKS, lambda node, fp, wide, forest: cell_candidates(node, fp, wide, NEAR_BOUND, SURE, MOST, forest))
-    pairs = saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
-    roots = components(similar(pairs, worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))))
-    gone = roots.filter("node <> root").select(F.col("node").alias("__gone")).distinct()
+    families = components(cell_pairs(points, NEAR_RADIUS, NEAR_BLOCKS, lambda node, fp, wide, forest: cell_candidates(node, fp, wide, NEAR_BOUND, MOST, forest)))
+    texts = worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    sets = saved(shingle_sets(texts.join(families, "node"), NEAR_WORDS, "root"))
+    first = saved(pivot_links(sets))
+    links_found = saved(first.unionByName(family_links(sets, components(first).withColumnRenamed("root", "tree"))))
+    gone = components(links_found).filter("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -244,6 +244,34 @@ def test_similar_is_exact(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2), (4, 5)]
 
 
+def test_families_by_brute_force(spark, monkeypatch):
+    """One large family: pivots, a tree of several chunks and the rest in several chunks give the components of all pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.choice(80, size=int(rng.integers(0, 5)), replace=False):
+            w[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(w), 0))
+    grams = [{tuple(t.split()[j : j + 5]) for j in range(76)} for _, t, _ in texts]
+    forest = components.Forest()
+    for i in range(200):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                forest.union(i, j)
+    want = {i: forest.find(i) for i in range(200)}
+    assert 1 < len(set(want.values())) < 200
+    sets = simhash.saved(simhash.shingle_sets(spark.createDataFrame(texts, "node long, text string, root long"), 5, "root"))
+    for chunk, family, pivots in ((1 << 18, 1000, 8), (2000, 1000, 8), (2000, 64, 1), (1 << 18, 64, 8)):
+        for name, value in (("CHUNK", chunk), ("FAMILY", family), ("PIVOTS", pivots)):
+            monkeypatch.setattr(simhash, name, value)
+        first = simhash.saved(simhash.pivot_links(sets))
+        links = first.unionByName(simhash.family_links(sets, components.components(first).withColumnRenamed("root", "tree")))
+        got = {r["node"]: r["root"] for r in components.components(links).collect()}
+        assert {i: got.get(i, i) for i in range(200)} == want, (chunk, family, pivots)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]
