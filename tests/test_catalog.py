@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import money, text
+from tessera.functions import money, references, text
 from tessera.operators import keyed, retrieval
 from tessera.plans import registry
 
@@ -63,3 +63,17 @@ def test_chunks():
 def test_collision_suffix(spark):
     rows = spark.createDataFrame([(1, "k"), (2, "k"), (3, "k")], "i int, key string")
     assert [r["key"] for r in keyed.collision_suffix(rows, "key", ["i"]).orderBy("i").collect()] == ["k", "k_2", "k_3"]
+
+
+def test_documents_functions(spark):
+    cited = one(spark, references.citations(F.lit("[a]{u1, u2} [b]{} [c]{u1}")))
+    assert [(c["index"], c["cited"], c["urls"]) for c in cited] == [(1, "a", ["u1", "u2"]), (2, "c", ["u1"])]
+    assert one(spark, references.without_citations(F.lit("[a]{u1, u2} [b]{} [c]{u1}"))) == "a b c"
+    assert one(spark, references.lenient_json(F.lit('x ```json\n{"a": 1}\n``` {'))[0]) == "fenced"
+    assert one(spark, references.lenient_json(F.lit("{broken"))[0]) == "none"
+    assert one(spark, references.parser_of(F.lit("a.PDF"), F.lit("text/csv"))) == "csv"
+    assert one(spark, references.parser_of(F.lit("a.bin"), F.lit(None).cast("string"))) is None
+    assert one(spark, references.known_citations(F.lit("x [@q] y"), F.array(F.lit("k")))) == "x  y"
+    assert one(spark, references.summary(F.lit("# A\n## Summary\nshort\n## B\nz"))) == "short"
+    assert one(spark, references.last_lines(F.lit("a\nb"), 5)) == "a\nb"
+    assert one(spark, references.escaped_fields(F.lit("@x{k_1,\n  title = {a_b\\_c},\n  url = {a_b}\n}"))) == "@x{k_1,\n  title = {a\\_b\\_c},\n  url = {a_b}\n}"
