@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, documents  # noqa: F401  (documents adds to the catalogue)
+from . import catalog, documents, relations  # noqa: F401  (both add to the catalogue)
 
 
 def queries():
