@@ -128,16 +128,6 @@ def cell_links(node: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) ->
     return out
 
 
-def cell_candidates(node: np.ndarray, fp: np.ndarray, wide: np.ndarray, bound: int, most: int, forest: Forest) -> list[tuple[int, int]]:
-    """Spanning links of one cell: pairs whose wide fingerprints are at most `most` bits apart and that join two trees of the forest."""
-    out, e = [], counts(fp)
-    for i in range(1, len(node)):
-        near = np.flatnonzero(manhattan(e[i], e[:i]) <= bound)
-        near = near[np.bitwise_count(wide[near] ^ wide[i]).sum(1) <= most]
-        out += [(int(node[i]), int(node[j])) for j in near if forest.union(int(node[i]), int(node[j]))]
-    return out
-
-
 def cell_pairs(points: DataFrame, radius: int, blocks: int, pairs_of) -> DataFrame:
     """Edges (u, v) that pairs_of(node, fp, wide, forest) gives for the members of each cell, sorted by node; a task keeps one forest."""
 
@@ -187,9 +177,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Jaccard similarity 0.8 have cosine 0.889, so 38.8 bits in the mean, with a deviation of 5.7. Pairs over MOST bits apart (three
 #: deviations more) are not compared.
 WIDE, MOST = 256, 56
-#: Cells come from a one-word fingerprint, which moves least under an edit: every pair within 4 of its bits meets, and most
-#: pairs up to 8, since edits fall into few blocks.
-NEAR_RADIUS, NEAR_BLOCKS, NEAR_BOUND = 4, 7, 16
 #: Words of a shingle of near_dedup.
 NEAR_WORDS = 5
 #: Shingles of a chunk of a family; a row counts as LEAST at least, so a chunk has 4,096 rows at most. One longer text is a chunk.
@@ -215,6 +202,62 @@ def shingle_sets(docs: DataFrame, k: int, *extra: str) -> DataFrame:
     return docs.select("node", "text", *extra).mapInArrow(run, f"node bigint{longs}, wide binary, n int, grams array<bigint>")
 
 
+def head_nodes(docs: DataFrame, k: int) -> DataFrame:
+    """docs (node, text) -> the nodes that can have a partner at similarity 4/5 over k-word shingles; most others are left out, no such node is.
+
+    Of a pair at 4/5 each row shares at least 4/5 of its own n shingles, so m >= 1 shared ones are among the least n - ceil(4n/5) + m
+    hashes of both. With m = 1 + n // 20 a row needs 1 + ceil(4n/5) // 20 head shingles that another row's head has: that holds for a
+    partner of any size. Heads are a quarter of all shingles; only they are dealt out by shingle, sorted and read as a stream.
+    """
+
+    def heads(batches):
+        for b in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])) for t in text_bytes(b.column("text"))]
+            n = np.array([len(g) for g in sets], dtype=np.int64)
+            least = -(-4 * n // 5)
+            heads = [g[:m].view(np.int64) for g, m in zip(sets, n - least + 1 + n // 20)]
+            ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array((1 + least // 20).astype(np.int32)), grams], ["node", "need", "grams"])
+
+    def shared(batches):
+        last = None  # gram, node, need of the row before, and whether it is out
+        for b in batches:
+            gram, node, need = (b.column(i).to_numpy() for i in range(3))
+            if not len(gram):
+                continue
+            same = gram[1:] == gram[:-1]
+            goes_on = last is not None and last[0] == gram[0]
+            hit = np.r_[goes_on, same] | np.r_[same, False]
+            nodes, needs = node[hit], need[hit]
+            if goes_on and not last[3]:
+                nodes, needs = np.r_[nodes, last[1]], np.r_[needs, last[2]]
+            last = gram[-1], node[-1], need[-1], hit[-1]
+            pairs, times = np.unique(np.stack([nodes, needs.astype(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times.astype(np.int64))], ["node", "need", "times"])
+
+    rows = docs.select("node", "text").mapInArrow(heads, "node bigint, need int, grams array<bigint>")
+    dealt = rows.select(F.explode("grams").alias("gram"), "node", "need").repartition("gram").sortWithinPartitions("gram")
+    found = dealt.mapInArrow(shared, "node bigint, need bigint, times bigint")
+    return found.groupBy("node").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("node")
+
+
+def prefix_links(sets: DataFrame) -> DataFrame:
+    """sets (node, part, n, grams) -> links (u, v) that put every pair at similarity 4/5 into one component.
+
+    Prefix filter: with the shingles of each row sorted by the number of rows that have them, rarest first, both rows of such a pair have a
+    common one among their first n - ceil(4n/5) + 1. The rows of a shingle link to the least of them, so a common one makes no pairs.
+    part tells rows of one node apart.
+    """
+    flat = sets.select("node", "part", "n", F.explode("grams").alias("gram"))
+    often = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    ranked = flat.join(often, "gram").groupBy("node", "part", "n").agg(F.array_sort(F.collect_set(F.struct("rows", "gram"))).alias("common"))
+    take = F.size("common") + 1 - F.ceil(F.col("n") * 4 / 5).cast("int")  # the shingles of one row come first
+    heads = saved(ranked.withColumn("take", take).filter("take > 0").select("node", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("node", "x.gram"))
+    least = heads.groupBy("gram").agg(F.min("node").alias("least"))
+    return heads.join(least, "gram").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+
 def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets (node, n, grams) have Jaccard similarity 4/5 or more. Sizes go first: a pair whose sizes differ by over a fifth can't reach it."""
     size = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
@@ -320,16 +363,15 @@ def family_links(sets: DataFrame, trees: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group of rows linked at similarity 0.8 or more over five-word shingles, that with the smallest doc_id stays.
 
-    The grid proposes families (rows connected by pairs within MOST bits of the wide fingerprint). Within a family the sets of shingles of
+    A prefix filter over the sets of shingles proposes families and misses no pair at 0.8. Within a family the sets of shingles of
     all pairs within MOST bits decide, but for pairs already connected. Columns stay. Rows without a word, and rows with null doc_id,
     all stay. Rows that repeat a doc_id stay or go together.
     """
     prepare(docs.sparkSession)
     worded = docs.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    points = fingerprints(worded, 1, WIDE, NEAR_WORDS).select(F.col("doc_id").alias("node"), "fp", "wide")
-    families = components(cell_pairs(points, NEAR_RADIUS, NEAR_BLOCKS, lambda node, fp, wide, forest: cell_candidates(node, fp, wide, NEAR_BOUND, MOST, forest)))
-    texts = worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = saved(shingle_sets(texts.join(families, "node"), NEAR_WORDS, "root"))
+    texts = worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("part"))
+    likely = saved(shingle_sets(texts.join(head_nodes(texts, NEAR_WORDS), "node", "left_semi"), NEAR_WORDS, "part"))
+    sets = saved(likely.join(components(prefix_links(likely)), "node").select("node", "root", "wide", "n", "grams"))
     first = saved(pivot_links(sets))
     links_found = saved(first.unionByName(family_links(sets, components(first).withColumnRenamed("root", "tree"))))
     gone = components(links_found).filter("node <> root").select(F.col("node").alias("__gone")).distinct()

@@ -237,6 +237,34 @@ def test_near_dedup_decides_by_similarity(spark):
     assert gone <= close and len(gone) >= 0.9 * len(close)
 
 
+def test_near_dedup_appended_and_cut(spark):
+    """Copies with a paragraph added or cut at similarity 0.8 and more, beside a line that many rows share: all are candidates."""
+    rnd = random.Random(13)
+    words = ["z%d" % int(rnd.paretovariate(0.7)) for _ in range(20_000)]
+    line = " ".join(rnd.choices(words, k=12))
+    texts = {}
+    for base in range(150):
+        w = rnd.choices(words, k=(20, 60, 150, 400, 1500)[base % 5]) + (line.split() if base % 3 == 0 else [])
+        more = rnd.choices(words, k=int(len(w) * rnd.uniform(0.02, 0.28)))
+        short, long = " ".join(w), " ".join(w + more if base % 4 < 2 else more + w)
+        texts[2 * base], texts[2 * base + 1] = (short, long) if base % 2 else (long, short)
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    close = {i + 1 for i in range(0, 300, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])}
+    assert 90 < len(close) < 145
+    rows = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "node long, text string, part long")
+    likely = rows.join(simhash.head_nodes(rows, 5), "node", "left_semi")
+    root = {r["node"]: r["root"] for r in components.components(simhash.prefix_links(simhash.saved(simhash.shingle_sets(likely, 5, "part")))).collect()}
+    assert all(i in root and root[i] == root.get(i - 1) for i in close)
+    kept = {r["doc_id"] for r in simhash.near_dedup(rows.select(F.col("node").alias("doc_id"), "text")).collect()}
+    gone = set(texts) - kept
+    assert gone <= close and len(gone) > 0.98 * len(close)
+
+
 def test_similar_is_exact(spark):
     texts = [(1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l"), (3, "a b c d e f g h i"), (4, "a b"), (5, "A  b"), (6, "a c")]
     pairs = [(1, 2), (1, 3), (2, 3), (4, 5), (4, 6)]
