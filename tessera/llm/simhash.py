@@ -173,10 +173,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_dedup: bits of the wide five-word fingerprint. Independent bits differ with probability angle / pi; texts of equal length and
-#: Jaccard similarity 0.8 have cosine 0.889, so 38.8 bits in the mean, with a deviation of 5.7. Pairs over MOST bits apart (three
-#: deviations more) are not compared.
-WIDE, MOST = 256, 56
+#: near_dedup: bits of a row's parities, each whether the row has an odd number of shingles of that bit. Sets that differ in d shingles
+#: differ in at most d parities, so they rule out pairs and lose none.
+WIDE = 1024
 #: Words of a shingle of near_dedup.
 NEAR_WORDS = 5
 #: Shingles of a chunk of a family; a row counts as LEAST at least, so a chunk has 4,096 rows at most. One longer text is a chunk.
@@ -186,13 +185,13 @@ FAMILY, PIVOTS = 64, 8
 
 
 def shingle_sets(docs: DataFrame, k: int, *extra: str) -> DataFrame:
-    """docs (node, text, extra longs) -> node, extra, wide, n, grams: the fingerprint of WIDE bits, the distinct XXH64 hashes of the k-word shingles, and their number."""
+    """docs (node, text, extra longs) -> node, extra, wide, n, grams: the distinct XXH64 hashes of the k-word shingles, their number, and their WIDE parities."""
 
     def run(batches):
         for b in batches:
             texts = text_bytes(b.column("text"))
             sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])).view(np.int64) for t in texts]
-            wides = [np.packbits(fingerprint_bits(t, k, WIDE), bitorder="little").tobytes() for t in texts]
+            wides = [np.packbits(np.bincount(g & (WIDE - 1), minlength=WIDE) & 1).tobytes() for g in sets]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
             columns = [b.column("node"), *map(b.column, extra), pa.array(wides, pa.binary()), pa.array(np.diff(ends)), grams]
@@ -314,7 +313,7 @@ def family_chunks(sets: DataFrame, trees: DataFrame) -> DataFrame:
 
 
 def chunk_links(node: np.ndarray, wide: np.ndarray, grams: list[np.ndarray], linked: np.ndarray, chunk: np.ndarray, apart: bool) -> list[tuple[int, int]]:
-    """Links at similarity 4/5 that join two trees, nearest fingerprints first. Only pairs across chunks if `apart`."""
+    """Links at similarity 4/5 that join two trees, nearest parities first. Only pairs across chunks if `apart`."""
     out, forest = [], Forest()
     core = np.flatnonzero(linked)
     for i in core[1:]:
@@ -326,7 +325,8 @@ def chunk_links(node: np.ndarray, wide: np.ndarray, grams: list[np.ndarray], lin
             fits &= chunk[:i] != chunk[i]
         near = np.flatnonzero(fits)
         bits = np.bitwise_count(wide[near] ^ wide[i]).sum(1)
-        for at in np.argsort(bits, kind="stable")[: np.count_nonzero(bits <= MOST)]:
+        near, bits = (x[9 * bits.astype(np.int64) <= sizes[near] + sizes[i]] for x in (near, bits))  # more can't reach 4/5
+        for at in np.argsort(bits, kind="stable"):
             j, (u, v) = near[at], (int(node[near[at]]), int(node[i]))
             if forest.find(u) == forest.find(v):
                 continue
@@ -339,7 +339,7 @@ def chunk_links(node: np.ndarray, wide: np.ndarray, grams: list[np.ndarray], lin
 
 
 def family_links(sets: DataFrame, trees: DataFrame) -> DataFrame:
-    """Links (u, v) at similarity 4/5 that connect the rows of each family as all its pairs within MOST bits would, given the trees."""
+    """Links (u, v) at similarity 4/5 that connect the rows of each family as all its pairs would, given the trees."""
 
     def run(batches):
         for b in batches:
@@ -364,7 +364,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group of rows linked at similarity 0.8 or more over five-word shingles, that with the smallest doc_id stays.
 
     A prefix filter over the sets of shingles proposes families and misses no pair at 0.8. Within a family the sets of shingles of
-    all pairs within MOST bits decide, but for pairs already connected. Columns stay. Rows without a word, and rows with null doc_id,
+    all pairs decide, but for pairs already connected. Columns stay. Rows without a word, and rows with null doc_id,
     all stay. Rows that repeat a doc_id stay or go together.
     """
     prepare(docs.sparkSession)

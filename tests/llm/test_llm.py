@@ -265,6 +265,17 @@ def test_near_dedup_appended_and_cut(spark):
     assert gone <= close and len(gone) > 0.98 * len(close)
 
 
+def test_near_dedup_repeated_line(spark):
+    """A copy that repeats a line of its text many times has nearly the same set of shingles and goes."""
+    rnd = random.Random(17)
+    texts = []
+    for base in range(40):
+        w, line = ([f"r{rnd.randrange(3000)}" for _ in range(n)] for n in ((150, 400)[base % 2], 12))
+        texts += [" ".join(w + line), " ".join(w + line * (2 + base % 20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == [*range(0, 80, 2)]
+
+
 def test_similar_is_exact(spark):
     texts = [(1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l"), (3, "a b c d e f g h i"), (4, "a b"), (5, "A  b"), (6, "a c")]
     pairs = [(1, 2), (1, 3), (2, 3), (4, 5), (4, 6)]
