@@ -2,7 +2,8 @@
 
 Each document gets a number of copies from a hash-seeded Poisson distribution whose mean is the target repetition
 rate of its source, by inverting the distribution function; copies are exploded and shuffled globally by a hash.
-Only DataFrame and SQL operations. The sources' table is a row per source; it is broadcast only up to MAX_BROADCAST.
+Only DataFrame and SQL operations. The sources' table is a row per source with about as many numbers as its rate, so a lookup
+costs about what its copies do; it is broadcast only up to MAX_BROADCAST rows and MAX_NUMBERS numbers.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql.window import Window
 SEED = "mix-1"
 #: The sources' table is broadcast only up to this many rows; beyond, a shuffled join that AQE splits on skew.
 MAX_BROADCAST = 2_000
-#: Largest mean number of copies; a source too small for its weight repeats this often on average.
-MAX_RATE = 64.0
+MAX_NUMBERS = 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -53,7 +53,7 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
     weight_sum, n_rows = weighted.agg(F.sum("weight"), F.sum("n_rows")).first()
     wanted = float(total if total is not None else n_rows or 0)
     rate = F.when(F.lit(weight_sum or 0.0) > 0, F.col("weight") / F.lit(weight_sum or 1.0) * F.lit(wanted) / F.col("n_rows"))
-    return weighted.select("source", F.coalesce(F.least(F.lit(MAX_RATE), rate), F.lit(0.0)).alias("rate"))
+    return weighted.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def replicate(docs: DataFrame, rates: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def replicate(docs: DataFrame, rates: DataFrame) -> DataFrame:
     the empty text. An empty table gives an empty result. Sources not in rates are dropped (their rate is 0).
     """
     table = distribution(rates).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    few = rates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    n, numbers = rates.agg(F.count(F.lit(1)), F.sum(F.col("rate") + 12 * F.sqrt("rate") + 30)).first()
+    few = n <= MAX_BROADCAST and (numbers or 0) <= MAX_NUMBERS
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = (
         docs.withColumn("__u", uniform(F.lit("n"), key))

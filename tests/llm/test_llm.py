@@ -126,6 +126,20 @@ def test_mixing(docs, empty):
     assert order == sorted(order)
 
 
+def test_mixing_small_source(spark):
+    """Two rows beside 1,998 of another source give half of the copies, by the exact inverse at rate 500."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "small").otherwise("hot").alias("source"))
+    assert {r["source"]: r["rate"] for r in mixing.target_rates(docs).collect()} == {"small": 500.0, "hot": 2000 / 2 / 1998}
+    got = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    for i in range(2):
+        u = (int(hashlib.md5(f"{mixing.SEED}:n:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, p, c = 0, np.exp(-500.0), 0.0
+        while c + p < u:
+            c, k = c + p, k + 1
+            p *= 500 / k
+        assert got[i] == k > 400
+
+
 def test_pii(spark):
     rnd = random.Random(3)
     parts = ["a@b.co", "x@y", "a@b.c_x@d.e", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4467920212765298", "4111 1111 1111 1111", "+1 (663) 555-6869", "+44", "é", " ", "call ", "12-34", "GB82 WEST 1234 5698 7654 32", "..", "@"]
