@@ -19,8 +19,8 @@ from .common import held_out, prepare
 
 #: n-gram length in characters, slots of the table, n-grams kept of each language at most.
 N, SLOTS, MOST = 4, 1 << 20, 40_000
-#: The filters are fitted on about so many labelled rows, chosen by hash of doc_id (all, if fewer).
-FIT_ROWS = 8_000
+#: The filters are fitted on about so many labelled rows of each language, chosen by hash of doc_id (all, if fewer).
+FIT_ROWS = 2_000
 #: An n-gram belongs to a language if it is in this share of its fitted rows, and in two rows, at least.
 SHARE = 0.01
 #: Characters taken at a time; blocks overlap by N - 1, so the n-grams are those of the whole text.
@@ -97,14 +97,17 @@ class Filters:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
     """labelled (doc_id, text, lang): rows with a null text or lang teach nothing. Languages are in order of falling rows, then name.
 
-    What reaches the driver is bounded: MOST n-grams of a language.
+    Each language is sampled on its own, so a rare one is learned beside any number of other rows. What reaches the driver is bounded:
+    MOST n-grams of a language.
     """
     prepare(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    steps = 1_000_000
-    if n > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(steps)) < max(1, steps * fit_rows // n))
+    steps = 1 << 40
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if any(n > fit_rows for n in totals.values()):
+        bounds = [(lang, max(1, steps * fit_rows // n)) for lang, n in totals.items()]
+        table = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
+        rows = rows.join(table, "lang").filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(steps)) < F.col("bound")).select("doc_id", "text", "lang")
 
     def run(batches):
         for b in batches:
@@ -121,7 +124,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
 
     counted = rows.mapInArrow(run, "lang string, gram bigint, n bigint, rows bigint").persist()
     sizes = {r["lang"]: r["rows"] for r in counted.groupBy("lang").agg(F.sum("rows").alias("rows")).collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    languages = sorted(sizes, key=lambda x: (-totals[x], x))
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = []
     for lang in languages:  # a bounded top list of each language

@@ -349,6 +349,15 @@ def test_language_held_out(spark, docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_rare(spark):
+    """A language of 3 in 40,003 rows is learned beside a hot one."""
+    hot = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the quick brown fox number "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(50_000 + i, "žluťoučký kůň pěl ďábelské ódy", "cs") for i in range(3)], "doc_id long, text string, lang string")
+    filters = langid.fit(hot.unionByName(rare), 100)
+    assert filters.languages == ["en", "cs"]
+    assert filters.decide("kůň pěl ódy")[0] == "cs" and filters.decide("the brown fox")[0] == "en"
+
+
 def test_toxicity_held_out(spark, empty):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
