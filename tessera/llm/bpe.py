@@ -10,11 +10,10 @@ result equals that of the merges in order of rank.
 from __future__ import annotations
 
 import base64
-import hashlib
-from itertools import chain
+from array import array
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,25 +21,33 @@ from pyspark.sql import functions as F
 
 from .common import prepare, text_bytes
 
-#: Entries of a worker's memo of pieces and pairs; emptied when full, so memory stays bounded.
-MEMO = 400_000
-#: Pieces up to this many bytes are memoised; longer ones are encoded each time.
-MEMO_BYTES = 64
+#: Bytes that a task's memo of pieces may take, about, and entries of its memo of pairs; a full memo starts anew.
+MEMO_BYTES, MEMO_PAIRS = 48 << 20, 150_000
+#: Pieces up to this many characters are memoised; longer ones are encoded each time.
+MEMO_PIECE = 64
 
 
 class Memo(dict):
-    """A dict that computes what it doesn't hold and starts anew when full."""
+    """Piece -> its ids as bytes of 32-bit numbers; computes what it doesn't hold.
 
-    def __init__(self, make, most: int = MEMO):
+    Two generations of MEMO_BYTES / 2 each: at a full one the older goes, but for what is used again.
+    """
+
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        if len(key) <= MEMO_BYTES:
-            self[key] = value
+        self.make, self.taken, self.older = make, 0, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.older.get(piece)
+        if value is None:
+            value = array("i", self.make(piece.encode())).tobytes()
+        if len(piece) <= MEMO_PIECE:
+            self.taken += 4 * len(piece) + len(value) + 200  # both objects and their place in the table
+            if 2 * self.taken > MEMO_BYTES:
+                self.older = dict(self)
+                self.clear()
+                self.taken = 0
+            self[piece] = value
         return value
 
 
@@ -50,19 +57,20 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.most = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
         self.trie = ahocorasick.Automaton()
         for t, i in ranks.items():
             self.trie.add_word(t.decode("latin-1"), i)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
-        self._reached: dict[int, bool] = {}
-        self.pieces = Memo(self._piece)
+        self._parts: dict[int, tuple[int, int]] = {}
+        self.pieces = Memo(self.encode_piece)
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges by rank on a short string: of all adjacent pairs the lowest rank merges first, leftmost on ties."""
+    def merged(self, data: bytes, least: int = 1) -> list[int]:
+        """The merges by rank on a short string, down to `least` tokens: of all adjacent pairs the lowest rank merges first, leftmost on ties."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
             if best[0] == 1 << 60:
                 break
@@ -70,19 +78,51 @@ class BytePairs:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts(self, token: int) -> tuple[int, int]:
+        """The two tokens of a token's last merge; itself twice for a single byte, (-1, -1) where the merges don't give the token."""
+        found = self._parts.get(token)
+        if found is None:
+            data = self.tokens[token]
+            last = self.merged(data, 2) if len(data) > 1 else [token, token]
+            whole = len(last) == 2 and (len(data) == 1 or self.ranks.get(self.tokens[last[0]] + self.tokens[last[1]]) == token)
+            found = self._parts[token] = (last[0], last[1]) if whole else (-1, -1)
+        return found
+
     def reached(self, token: int) -> bool:
         """Whether the merges of a token's own bytes give that token."""
-        if token not in self._reached:
-            self._reached[token] = self.merged(self.tokens[token]) == [token]
-        return self._reached[token]
+        return self.parts(token)[0] >= 0
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self._pairs:
-            if len(self._pairs) >= MEMO:
+        """Whether the merges of both tokens' bytes give exactly these two. A memo holds the answers.
+
+        Merges across the border are looked for backwards: the token that was merged last is undone, down to single bytes. At each step the
+        two tokens at the border would merge if that comes before the merges that took them further: before the left one's, or not
+        after the right one's, as equal ranks go from left to right.
+        """
+        key = a << 32 | b
+        known = self._pairs.get(key)
+        if known is None:
+            if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            self._pairs[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-        return self._pairs[key]
+            known = self._pairs[key] = self._apart(a, b)
+        return known
+
+    def _apart(self, a: int, b: int) -> bool:
+        rank, tokens, parts = self.ranks.get, self.tokens, self.parts
+        left_until = right_until = 1 << 60
+        left, right = tokens[a], tokens[b]
+        while True:
+            r = rank(left + right)
+            if r is not None and r < left_until and r <= right_until:
+                return False
+            if len(left) > 1 and (a > b or len(right) == 1):
+                left_until, a = a, parts(a)[1]
+                left = tokens[a]
+            elif len(right) > 1:
+                right_until, b = b, parts(b)[0]
+                right = tokens[b]
+            else:
+                return True
 
     def longest(self, text: str, at: int, most: int) -> int:
         """Id of the longest reachable token of at most `most` bytes at a place of Latin-1 text; -1 if none."""
@@ -103,19 +143,19 @@ class BytePairs:
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one piece. A piece that is a token is that token, as tiktoken has it."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        text, most = data.decode("latin-1"), max(map(len, self.tokens.values())) if not hasattr(self, "_most") else self._most
-        self._most = most
-        open_at = bytearray(b"\x01") * (len(data) + 1)
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        text, most, n, tokens = data.decode("latin-1"), self.most, len(data), self.tokens
+        open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, self.longest(text, 0, most)
-        while at < len(data):
-            end = at + len(self.tokens[token])
+        while at < n:
+            end = at + len(tokens[token])
             if open_at[end] and (not out or self.compatible(out[-1], token)):
                 out.append(token)
                 at = end
-                if at < len(data):
+                if at < n:
                     token = self.longest(text, at, most)
                 continue
             token = self.shorter(token)
@@ -126,28 +166,20 @@ class BytePairs:
                 token = self.shorter(last)
         return out
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.encode_piece(piece.encode()))
-
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; each match of the pattern is encoded by itself."""
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        return self.array(text).tolist()
+
+    def array(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), dtype=np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[tuple, BytePairs] = {}
-
-
 def load(lines: bytes, pattern: str) -> BytePairs:
-    """The encoder of a rank file's bytes; one per Python worker."""
-    key = (hashlib.sha256(lines).hexdigest(), pattern)
-    if key not in _loaded:
-        ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines.splitlines())}
-        _loaded.clear()
-        _loaded[key] = BytePairs(ranks, pattern)
-    return _loaded[key]
+    """The encoder of a rank file's bytes."""
+    return BytePairs({base64.b64decode(t): int(i) for t, i in map(bytes.split, lines.splitlines())}, pattern)
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -165,12 +197,14 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
         lines = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = load(lines.value, pattern)
+        bpe = None  # made by the task that needs it and gone with it, so a worker that waits holds no memo
         for batch in batches:
-            ids = [bpe.encode(x.decode()) for x in text_bytes(batch.column("text"))]
-            decoded = [bpe.decode(x) for x in ids]
+            bpe = bpe or load(lines.value, pattern)
+            ids = [bpe.array(x.decode()) for x in text_bytes(batch.column("text"))]
+            decoded = [bpe.decode(x.tolist()) for x in ids]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
+                [batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.binary())],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
 
@@ -180,12 +214,8 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_documents' rows."""
-
-    @F.pandas_udf("string")
-    def ids_sha256(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest())
-
-    return encoded.select("doc_id", "n_tokens", ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return encoded.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
