@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 class Forest:
@@ -70,7 +70,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = saved(thinned(edges.filter("u is not null and v is not null and u <> v")))
     seen = None
     for _ in range(rounds):
-        now = saved(star(star(now, True), False))
+        before, now = now, saved(star(star(now, True), False))
+        discard(now.sparkSession, before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
