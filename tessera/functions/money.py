@@ -52,6 +52,21 @@ def base_units(usd: Column) -> Column:
     return F.when(digits == "", "0").otherwise(digits)
 
 
-def backoff_ms(attempt: Column, first: int = 1000, most: int = 10_000) -> Column:
-    """Wait before a retry, without jitter: first x 2^attempt, at most `most`."""
-    return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), attempt)).cast("bigint")
+def mb_bytes(mb: Column) -> Column:
+    return mb * 1048576
+
+
+def fixed(x: Column, places: int = 2) -> Column:
+    """A number as a string with that many decimals."""
+    return F.format_string(f"%.{places}f", x)
+
+
+def ratio(x: Column, n: Column) -> Column:
+    """x / n, null for an n of zero."""
+    return x / F.nullif(n, F.lit(0))
+
+
+def backoff_ms(attempt: Column, first: int = 1000, most: int = 10_000, jitter: Column | None = None) -> Column:
+    """Wait before a retry in whole milliseconds: first x 2^attempt, at most `most`, times 1 + jitter (from -0.2 to 0.2, none by default)."""
+    wait = F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), attempt))
+    return F.floor(wait if jitter is None else wait * (1 + jitter)).cast("bigint")

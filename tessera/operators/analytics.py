@@ -65,3 +65,9 @@ def user_payment_stats(payments: DataFrame) -> DataFrame:
 
 def orphans(rows: DataFrame, referring: DataFrame, key: str) -> DataFrame:
     return rows.join(referring.select(key), key, "left_anti")
+
+
+def prefix_price(rows: DataFrame, key: str, path: str, routes: DataFrame, fallback: float) -> DataFrame:
+    """key, price: that of the first route (pos, route, price; a short list) that begins the row's path, or the fallback."""
+    hits = rows.join(F.broadcast(routes), F.col(path).startswith(F.col("route")), "left")
+    return hits.groupBy(key).agg(F.coalesce(F.min_by("price", "pos"), F.lit(fallback)).alias("price"))

@@ -152,38 +152,17 @@ def w4(s, d):
     return keyed.update_by_key(c, c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("double").alias("c_acctbal")), "c_custkey")
 
 
-@query("W5_rekey", "SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 1000007 ELSE o_custkey END AS o_custkey FROM orders")
-def w5(s, d):
-    return table(s, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") == 7, 1000007).otherwise(F.col("o_custkey")).alias("o_custkey"))
-
-
 @query("W6_delete_by_key", "SELECT * FROM supplier WHERE s_suppkey % 5 <> 0")
 def w6(s, d):
     t = table(s, d, "supplier")
     return t.join(t.filter("s_suppkey % 5 = 0").select("s_suppkey"), "s_suppkey", "left_anti").select(t.columns)
 
 
-@query("W7_orphan_count", "SELECT count(*) AS deleted FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def w7(s, d):
-    return analytics.orphans(table(s, d, "documents"), table(s, d, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("deleted"))
-
-
 @query("W9_strip_large_fields", "SELECT page_id, url, NULL::VARCHAR AS html, strlen(html)::INT AS html_bytes FROM pages")
 def w9(s, d):
     return table(s, d, "pages").select("page_id", "url", F.lit(None).cast("string").alias("html"), F.octet_length("html").alias("html_bytes"))
 
 
-@query("W15_fork_conversation", "SELECT conv_id + 1000000 AS conv_id, turn, role, text, conv_id AS parent_id FROM conversations WHERE conv_id % 2 = 0")
-def w15(s, d):
-    return table(s, d, "conversations").filter("conv_id % 2 = 0").withColumn("parent_id", F.col("conv_id")).withColumn("conv_id", F.col("conv_id") + 1000000)
-
-
-@query("W17_batches", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100 AS batch FROM embeddings) GROUP BY 1")
-def w17(s, d):
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return table(s, d, "embeddings").select(F.floor((n - 1) / 100).alias("batch")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("N1_keep_first", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def n1(s, d):
     return keyed.keep_first(table(s, d, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h")), ["h"], ["doc_id"]).select("doc_id", "source")
@@ -206,11 +185,6 @@ def n5(s, d):
     return table(s, d, "conversations").withColumn("n", n).filter("n between 2 and 4").select("conv_id", "turn", "role")
 
 
-@query("N6_first_question", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1")
-def n6(s, d):
-    return table(s, d, "conversations").filter((F.col("role") == "user") & (text.trim(F.col("text")) != "")).groupBy("conv_id").agg(F.min("turn").alias("turn"))
-
-
 LOAD = "WITH r AS (SELECT event_id, user_id, event_type AS action, floor(epoch(ts))::BIGINT AS epoch FROM events) "
 
 
@@ -223,7 +197,10 @@ def n7(s, d):
     return keyed.offered_load(requests(s, d), 86400, "user_id", "action").select("event_id", "in_window")
 
 
-@query("E1_rate_limit")
+@query("E1_rate_limit", """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS now, row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+  w AS (SELECT user_id, event_type, event_id, n, TRUE AS admitted, [now] AS entries FROM r WHERE n = 1 UNION ALL
+  SELECT user_id, event_type, event_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, now) ELSE list_filter(kept, lambda e: e <> now) END
+  FROM (SELECT r.*, list_filter(w.entries, lambda e: e > now - 604800) AS kept FROM w JOIN r ON r.user_id = w.user_id AND r.event_type = w.event_type AND r.n = w.n + 1)) SELECT event_id, admitted FROM w""")
 def e1(s, d):
     return limits.admitted(requests(s, d), 3, 86400 * 7).select("event_id", "admitted")
 
@@ -313,7 +290,21 @@ def m3(s, d):
     return e.join(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
 
 
-@query("G1_chunker")
+def last_mark(mark: str, size: int) -> str:
+    """SQL of the place from 0, after a, of the last mark that begins at most at a + 2000."""
+    part = f"substr(text, a + 1, 2000 + {size})"
+    return f"(CASE WHEN contains({part}, {mark}) THEN length({part}) - strpos(reverse({part}), reverse({mark})) - {size} + 1 ELSE -1 END)"
+
+
+PARAGRAPH, LINE, SENTENCE, WORD = last_mark("chr(10) || chr(10)", 2), last_mark("chr(10)", 1), last_mark("'. '", 2), last_mark("' '", 1)
+CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, text, 0 AS i, 0 AS a FROM d UNION ALL
+  SELECT doc_id, text, i + 1, e FROM (SELECT *, CASE WHEN a + 2000 >= length(text) THEN length(text) WHEN {PARAGRAPH} > 1000 THEN a + {PARAGRAPH} + 1 WHEN {LINE} > 1000 THEN a + {LINE} + 1 WHEN {SENTENCE} > 1000 THEN a + {SENTENCE} + 2
+  WHEN {WORD} > 1000 THEN a + {WORD} + 1 ELSE a + 2000 END AS e FROM s) WHERE e < length(text)), o AS (SELECT doc_id, i AS chunk_index, a AS chunk_start, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY i), length(text)) AS chunk_end, text FROM s),
+  t AS (SELECT *, trim(substr(text, chunk_start + 1, chunk_end - chunk_start), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM o)
+  SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, chunk_start, chunk_end, content FROM t WHERE content <> ''"""
+
+
+@query("G1_chunker", CHUNKS)
 def g1(s, d):
     return retrieval.chunk(table(s, d, "documents"))
 
@@ -337,52 +328,24 @@ text_query("T11_paper_filename", "pages", "page_id", "url", text.safe_filename,
 text_query("T12_upload_filename", "pages", "page_id", "url", text.upload_filename, "regexp_replace(url, '[^a-zA-Z0-9.-_]', '_', 'g')")
 text_query("T13_extension", "pages", "page_id", "url", text.extension, r"lower(regexp_extract(url, '(\.[^.]*)$', 1))")
 text_query("T3_citekey", "pages", "page_id", "url", text.citekey, "substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), '^[^A-Za-z]', 'X'), 1, 64)")
-text_query("T17_domain", "pages", "page_id", "url", text.host, "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)")
-text_query("T20_html_text", "pages", "page_id", "html", text.html_text, r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g'))""")
+text_query("T17_domain", "pages", "page_id", "url", text.domain_name, r"""(SELECT CASE WHEN len(l) < 2 THEN l[1] WHEN len(l) > 2 AND l[-2] IN ('co', 'com', 'gov', 'edu', 'ac', 'org', 'net') THEN l[-3] ELSE l[-2] END FROM (SELECT string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', ''), '.') AS l))""")
+HTML_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g'))"""
+
+
+text_query("T20_html_text", "pages", "page_id", "html", text.html_text, HTML_TEXT)
 text_query("T26_objective", "conversations", "conv_id", "text", lambda x: F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("")), r"nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')")
 text_query("T28_title_preview", "conversations", "conv_id", "text", lambda x: F.when(F.length(x) > 30, F.concat(F.substring(x, 1, 30), F.lit("..."))).otherwise(x), "CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END")
 text_query("T31_basename", "pages", "page_id", "url", text.basename, "list_extract(string_split(url, '/'), -1)")
 text_query("T35_lower_key", "customer", "c_custkey", "c_name", F.lower, "lower(c_name)")
 text_query("T2_doi_citekey", "pages", "page_id", "url", lambda x: text.doi_citekey(F.lower(x)), "'doi_' || regexp_replace(lower(url), '[^a-z0-9]', '_', 'g')")
-text_query("T19_trailing_punctuation", "documents", "doc_id", "text", lambda x: F.regexp_replace(F.substring(x, 1, 100), r"[.,;:!?)\]]+\z", ""), r"regexp_replace(substr(text, 1, 100), '[.,;:!?)\]]+$', '')")
+text_query("T19_trailing_punctuation", "documents", "doc_id", "text", lambda x: F.regexp_replace(x, r"[.,;:!?)]+\z", ""), r"regexp_replace(text, '[.,;:!?)]+$', '')")
 text_query("M4_file_size", "documents", "doc_id", "n_chars", lambda x: money.file_size(x * 1000), """CASE WHEN n_chars = 0 THEN '0 Bytes' WHEN n_chars * 1000 < 1024 THEN printf('%.2f', n_chars * 1000.0::DOUBLE) || ' Bytes'
   WHEN n_chars * 1000 < 1048576 THEN printf('%.2f', round(n_chars * 1000 / 1024.0::DOUBLE, 2)) || ' KB' WHEN n_chars * 1000 < 1073741824 THEN printf('%.2f', round(n_chars * 1000 / 1048576.0::DOUBLE, 2)) || ' MB' ELSE printf('%.2f', n_chars * 1000 / 1073741824.0::DOUBLE) || ' GB' END""")
 text_query("M6_base_units", "customer", "c_custkey", "c_acctbal", lambda x: money.base_units(F.abs(x).cast("decimal(20,2)").cast("string")), "CASE WHEN abs(c_acctbal) < 0.005 THEN '0' ELSE (round(abs(c_acctbal) * 100)::BIGINT * 10000)::VARCHAR END")
-text_query("M7_backoff", "part", "p_partkey", "p_size", lambda x: money.backoff_ms(x % 8), "least(10000, 1000 * pow(2, p_size % 8))::BIGINT")
-text_query("P12_non_blank", "documents", "doc_id", "text", lambda x: F.length(text.trim(x)) > 0, r"regexp_matches(text, '\S')")
+text_query("P12_non_blank", "documents", "doc_id", "text", lambda x: x.rlike(r"\S"), r"regexp_matches(text, '\S')")
 text_query("G8_math_balance", "documents", "doc_id", "text", lambda x: F.regexp_count(F.regexp_replace(x, F.lit(r"\$\$[^$]*\$\$"), F.lit("")), F.lit(r"\$")) % 2 == 0, r"len(regexp_extract_all(regexp_replace(text, '\$\$[^$]*\$\$', '', 'g'), '\$')) % 2 = 0")
-text_query("S21_page_text_cap", "pages", "page_id", "html", lambda x: F.substring(x, 1, 4000), "substr(html, 1, 4000)")
-
-
-REFS = r"""WITH l AS (SELECT page_id, 'See ' || url || ', and https://doi.org/10.1234/ABC_' || (page_id % 50) || '. Also https://pubmed.ncbi.nlm.nih.gov/' || (page_id % 40) || ')' AS line FROM pages),
-u AS (SELECT page_id, unnest(regexp_extract_all(line, 'https?://[^\s]+')) AS raw FROM l),
-c AS (SELECT page_id, regexp_replace(raw, '[.,;:)>\]]+$', '') AS url FROM u)"""
-
-
-def reference_lines(s, d):
-    p, n = table(s, d, "pages"), F.col("page_id")
-    line = F.concat(F.lit("See "), "url", F.lit(", and https://doi.org/10.1234/ABC_"), (n % 50).cast("string"), F.lit(". Also https://pubmed.ncbi.nlm.nih.gov/"), (n % 40).cast("string"), F.lit(")"))
-    raw = p.select("page_id", F.posexplode(F.regexp_extract_all(line, F.lit(r"https?://[^\s]+"), F.lit(0))).alias("pos", "raw"))
-    return raw.withColumn("url", F.regexp_replace("raw", r"[.,;:)>\]]+$", ""))
-
-
-@query("G3_url_kinds", REFS + r""" SELECT page_id, url, CASE WHEN url LIKE '%doi.org/10.%' THEN 'doi' WHEN url LIKE '%pubmed.ncbi%' THEN 'pmid' WHEN regexp_matches(url, '(?i)\.(png|jpe?g|gif|svg|css|js|ico|woff2?|ttf)(\?|$)') OR contains(url, 'cdn.') OR contains(url, 'static.') THEN NULL ELSE 'url' END AS kind FROM c""")
-def g3(s, d):
-    return reference_lines(s, d).select("page_id", "url", text.url_kind(F.col("url"))[0].alias("kind"))
-
-
-@query("G2_references_first_id_wins")
-def g2(s, d):
-    kind, ident = text.url_kind(F.col("url"))
-    refs = reference_lines(s, d).select("page_id", "pos", "url", kind.alias("kind"), ident.alias("id")).filter("kind is not null")
-    return keyed.keep_first(refs, ["id"], ["page_id", "pos"]).select("page_id", "pos", "kind", "id", "url")
-
-
-@query("A15_reference_counts", REFS + " SELECT count(*) FILTER (WHERE url LIKE '%doi.org/10.%') AS doi, count(*) FILTER (WHERE url NOT LIKE '%doi.org/10.%') AS other FROM c")
-def a15(s, d):
-    kind = text.url_kind(F.col("url"))[0]
-    return reference_lines(s, d).agg(F.count_if(kind == "doi").alias("doi"), F.count_if(F.coalesce(kind, F.lit("")) != "doi").alias("other"))
+text_query("S21_page_text_cap", "pages", "page_id", "html", lambda x: F.substring(text.html_text(x), 1, 4000), f"substr({HTML_TEXT}, 1, 4000)")
 
 
 @query("V1_check_domain", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
@@ -415,11 +378,6 @@ def p4(s, d):
     return table(s, d, "events").filter(F.get_json_object("props", "$.k") == "7").select("event_id")
 
 
-@query("P11_ilike", "SELECT p_partkey FROM part WHERE p_type ILIKE '%brass%'")
-def p11(s, d):
-    return table(s, d, "part").filter(F.col("p_type").ilike("%brass%")).select("p_partkey")
-
-
 @query("P14_level_window", "SELECT p_partkey FROM part WHERE coalesce(p_size, 0) >= greatest(1, 50 - (2 - 1)) AND trim(p_name) <> ''")
 def p14(s, d):
     return table(s, d, "part").filter((F.coalesce("p_size", F.lit(0)) >= F.greatest(F.lit(1), F.lit(50 - (2 - 1)))) & (F.trim("p_name") != "")).select("p_partkey")
@@ -431,17 +389,6 @@ def p26(s, d):
     return table(s, d, "documents").select("doc_id").join(l, "doc_id", "left").select("doc_id", F.when(F.col("there").isNull(), True).otherwise(F.col("quality") == 1).alias("done"))
 
 
-@query("D7_reveal", f"SELECT event_id, floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(ts)) / 60000)::BIGINT AS steps FROM events")
-def d7(s, d):
-    now = F.unix_millis(F.lit(AS_OF).cast("timestamp_ntz").cast("timestamp"))
-    return table(s, d, "events").select("event_id", F.floor((now - F.unix_millis(F.col("ts").cast("timestamp"))) / 60000).alias("steps"))
-
-
-@query("D8_stale_runs", f"SELECT user_id, max(ts) < TIMESTAMP '{AS_OF}' - INTERVAL 4 HOUR AS stale FROM events GROUP BY 1")
-def d8(s, d):
-    return table(s, d, "events").groupBy("user_id").agg((F.max("ts") < F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(4))).alias("stale"))
-
-
 @query("D1_day", "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1")
 def d1(s, d):
     return table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))

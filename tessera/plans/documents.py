@@ -13,30 +13,6 @@ from .catalog import query, text_query
 
 
 # --- readers ---------------------------------------------------------------------------------------------------------
-FILES = "WITH f AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) || CASE page_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.PNG' WHEN 4 THEN '.md' ELSE '.bin' END AS name, strlen(html)::BIGINT * 1000 AS size FROM pages) "
-
-
-def files(s, d):
-    """A file per page: its name with an extension by page_id, its size."""
-    end = F.element_at(F.array(*map(F.lit, (".csv", ".pdf", ".xlsx", ".PNG", ".md", ".bin"))), (F.col("page_id") % 6 + 1).cast("int"))
-    return table(s, d, "pages").select("page_id", F.concat(text.basename(F.col("url")), end).alias("name"), (F.octet_length("html").cast("bigint") * 1000).alias("size"))
-
-
-@query("S15_parser_dispatch", FILES + "SELECT page_id, CASE WHEN name ILIKE '%.csv' THEN 'csv' WHEN name ILIKE '%.pdf' THEN 'pdf' WHEN name ILIKE '%.xlsx' THEN 'excel' WHEN name ILIKE '%.png' THEN 'image' WHEN name ILIKE '%.md' THEN 'markdown' END AS parser FROM f")
-def s15(s, d):
-    return files(s, d).select("page_id", references.parser_of(F.col("name"), F.lit(None).cast("string")).alias("parser"))
-
-
-@query("S17_byte_range", FILES + "SELECT page_id, least(size, CASE WHEN name ILIKE '%.pdf' OR name ILIKE '%.png' OR name ILIKE '%.xlsx' THEN 52428800 WHEN name ILIKE '%.csv' OR name ILIKE '%.md' THEN 10485760 ELSE 4096 END)::BIGINT AS bytes FROM f")
-def s17(s, d):
-    return files(s, d).select("page_id", F.least("size", references.range_limit(references.parser_of(F.col("name"), F.lit(None).cast("string")))).alias("bytes"))
-
-
-@query("S6_unsupported_dropped", FILES + "SELECT page_id FROM f WHERE name NOT LIKE '%.bin'")
-def s6(s, d):
-    return files(s, d).filter(references.parser_of(F.col("name"), F.lit(None).cast("string")).isNotNull()).select("page_id")
-
-
 @query("S22_pending_scan", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::INT < 5 AND event_type IN ('view', 'click')")
 def s22(s, d):
     return table(s, d, "events").filter((F.get_json_object("props", "$.k").cast("int") < 5) & F.col("event_type").isin("view", "click")).select("event_id")
@@ -48,28 +24,27 @@ def s11(s, d):
 
 
 # --- JSON ------------------------------------------------------------------------------------------------------------
-ANSWER = "WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'So:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'It is ' || props || ', I think' ELSE 'nothing' END AS answer, props FROM events) "
+ANSWER = """WITH a AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN 'So:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'It is ' || props || ', I think' WHEN 3 THEN '```JSON ' || props || chr(10) || '```'
+  WHEN 4 THEN '``` ' || props || ' ```' ELSE 'nothing' END AS answer FROM events) """
+UNFENCED = [rf"regexp_replace(regexp_replace(trim(answer), '(?i)^```{kind}\s*', ''), '\s*```$', '')" for kind in ("json", "")]
+TRIES = [("direct", "trim(answer)"), ("json_fence", UNFENCED[0]), ("fence", UNFENCED[1]), ("braces", r"regexp_extract(answer, '(?s)(\{.*\})', 1)")]
 
 
 def answers(s, d):
-    """Model answers: the JSON as such, fenced, within a sentence, or none."""
-    n, p = F.col("event_id") % 4, F.col("props")
+    """Model answers: the JSON as such, fenced (also behind other text), within a sentence, or none."""
+    n, p = F.col("event_id") % 6, F.col("props")
     fenced = F.concat(F.lit("So:\n```json\n"), p, F.lit("\n```"))
-    return table(s, d, "events").select("event_id", F.when(n == 0, p).when(n == 1, fenced).when(n == 2, F.concat(F.lit("It is "), p, F.lit(", I think"))).otherwise("nothing").alias("answer"))
+    answer = F.when(n == 0, p).when(n == 1, fenced).when(n == 2, F.concat(F.lit("It is "), p, F.lit(", I think"))).when(n == 3, F.concat(F.lit("```JSON "), p, F.lit("\n```"))).when(n == 4, F.concat(F.lit("``` "), p, F.lit(" ```"))).otherwise("nothing")
+    return table(s, d, "events").select("event_id", answer.alias("answer"))
 
 
-@query("Y5_lenient_json", ANSWER + "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braces' ELSE 'none' END AS strategy, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM a")
+@query("Y5_lenient_json", ANSWER + "SELECT event_id, CASE " + " ".join(f"WHEN json_valid({x}) AND {x} <> '' THEN '{n}'" for n, x in TRIES) + " ELSE 'none' END AS strategy, CASE " + " ".join(f"WHEN json_valid({x}) AND {x} <> '' THEN json_extract_string({x}, '$.k')" for _, x in TRIES) + " END AS k FROM a")
 def y5(s, d):
     strategy, found = references.lenient_json(F.col("answer"))
     return answers(s, d).select("event_id", strategy.alias("strategy"), F.get_json_object(found, "$.k").alias("k"))
 
 
-@query("Y16_message_or_raw", ANSWER + "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') ELSE answer END AS message FROM a")
-def y16(s, d):
-    return answers(s, d).select("event_id", F.coalesce(F.get_json_object("answer", "$.k"), "answer").alias("message"))
-
-
-@query("Y7_state_values", ANSWER + "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS k FROM a")
+@query("Y7_state_values", ANSWER + "SELECT event_id, CASE WHEN json_valid(answer) THEN json_extract_string(answer, '$.k') END AS k FROM a")
 def y7(s, d):
     state = F.coalesce(F.try_parse_json("answer"), F.parse_json(F.lit("{}")))
     return answers(s, d).select("event_id", F.try_variant_get(state, "$.k", "string").alias("k"))
@@ -88,12 +63,6 @@ def y9(s, d):
     return table(s, d, "events").select("event_id", merged["kind"].alias("kind"), merged["k"].alias("k"))
 
 
-@query("Y11_job_status", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '%URGENT' THEN 'completed' ELSE 'processing' END AS status FROM orders")
-def y11(s, d):
-    done = (F.col("o_orderstatus") == "O") & F.col("o_orderpriority").endswith("URGENT")
-    return table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "failed").when(done, "completed").otherwise("processing").alias("status"))
-
-
 @query("Y14_enumerated_answers", "SELECT conv_id, string_agg('Q' || n || ': ' || text, chr(10) ORDER BY n) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'user') GROUP BY 1")
 def y14(s, d):
     asked = table(s, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
@@ -101,51 +70,63 @@ def y14(s, d):
 
 
 # --- citations and Markdown ------------------------------------------------------------------------------------------
-CITED = """WITH m AS (SELECT page_id, '[alpha ' || page_id || ']{' || url || ', https://x.org/' || (page_id % 7) || '} and [none]{} then [beta]{https://x.org/' || (page_id % 7) || '}.' AS line FROM pages) """
+# a page's line with citations of its own address, of one that repeats within it, and of none
+MARKED = r"""WITH m AS (SELECT page_id, '[' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ']{' || url || ', https://x.org/' || (page_id % 7) || '} and []{} ' || regexp_extract(html, '<p>([^<]*)', 1) || ' [none]{ , } then [beta]{https://x.org/' || (page_id % 7) || '}.' AS line FROM pages),
+  a AS (SELECT page_id, unnest(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 1)) AS cited, unnest(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 2)) AS listed, generate_subscripts(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 1), 1) AS i FROM m),
+  u AS (SELECT *, list_filter(list_transform(string_split(listed, ','), lambda x: trim(x)), lambda x: x <> '') AS urls FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS index FROM u WHERE len(urls) > 0) """
 
 
-def cited_lines(s, d):
-    n = F.col("page_id")
-    x = F.concat(F.lit("https://x.org/"), (n % 7).cast("string"))
-    line = F.concat(F.lit("[alpha "), n.cast("string"), F.lit("]{"), "url", F.lit(", "), x, F.lit("} and [none]{} then [beta]{"), x, F.lit("}."))
+def marked_lines(s, d):
+    x = F.concat(F.lit("https://x.org/"), (F.col("page_id") % 7).cast("string"))
+    title, first = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "<p>([^<]*)", 1)
+    line = F.concat(F.lit("["), title, F.lit("]{"), "url", F.lit(", "), x, F.lit("} and []{} "), first, F.lit(" [none]{ , } then [beta]{"), x, F.lit("}."))
     return table(s, d, "pages").select("page_id", line.alias("line"))
 
 
-@query("G4_inline_citations", CITED + "SELECT page_id, 1 AS index, 'alpha ' || page_id AS cited, 2 AS urls FROM m UNION ALL SELECT page_id, 2, 'beta', 1 FROM m")
+@query("G4_inline_citations", MARKED + "SELECT page_id, index, cited, len(urls) AS urls FROM c")
 def g4(s, d):
-    return cited_lines(s, d).select("page_id", F.inline(references.citations(F.col("line")))).select("page_id", "index", "cited", F.size("urls").alias("urls"))
+    return marked_lines(s, d).select("page_id", F.inline(references.citations(F.col("line")))).select("page_id", "index", "cited", F.size("urls").alias("urls"))
 
 
-@query("G4_cleaned_text", CITED + "SELECT page_id, 'alpha ' || page_id || ' and none then beta.' AS cleaned FROM m")
+@query("G4_cleaned_text", MARKED + r"SELECT page_id, regexp_replace(line, '\[([^\]]*)\]\{([^\}]*)\}', '\1', 'g') AS cleaned FROM m")
 def g4_text(s, d):
-    return cited_lines(s, d).select("page_id", references.without_citations(F.col("line")).alias("cleaned"))
+    return marked_lines(s, d).select("page_id", references.without_citations(F.col("line")).alias("cleaned"))
 
 
-@query("A12_citation_indices", """WITH u AS (SELECT page_id, url, 1 AS i FROM pages UNION ALL SELECT page_id, 'https://x.org/' || (page_id % 7), unnest([1, 2]) FROM pages)
-  SELECT page_id, url, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices FROM u GROUP BY 1, 2""")
+@query("A12_citation_indices", MARKED + ", x AS (SELECT page_id, index, unnest(urls) AS url FROM c) SELECT page_id, url, string_agg(index::VARCHAR, ',' ORDER BY index) AS indices FROM x GROUP BY 1, 2")
 def a12(s, d):
-    c = cited_lines(s, d).select("page_id", F.inline(references.citations(F.col("line")))).select("page_id", "index", F.explode("urls").alias("url"))
+    c = marked_lines(s, d).select("page_id", F.inline(references.citations(F.col("line")))).select("page_id", "index", F.explode("urls").alias("url"))
     return c.groupBy("page_id", "url").agg(F.array_join(F.array_sort(F.collect_list("index")), ",").alias("indices"))
 
 
-@query("G7_unknown_citations", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A [@k0] b  c' WHEN 1 THEN 'A [@k1; see p. 3] b  c' ELSE 'A [@k2] b  c' END AS kept FROM pages""")
+# words of a page's text as citation keys: the first one known, the second not
+KEYED = r"""WITH w AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<p>([^<]*)', 1), '[A-Za-z]+') AS w, regexp_extract(html, '<p>([^<]*)', 1) AS p FROM pages), k AS (SELECT page_id, coalesce(w[1], 'a') AS a, coalesce(w[2], 'b') AS b, p FROM w) """
+
+
+@query("G7_unknown_citations", KEYED + "SELECT page_id, 'A [@' || a || '] b ' || CASE WHEN b = a THEN '[-@' || a || '; see p. 3; @' || a || ']' ELSE '[-@' || a || '; see p. 3]' END || ' c ' || CASE WHEN b = a THEN '[@' || a || ']' ELSE '' END || ' ' || replace(p, '@', '') AS kept FROM k")
 def g7(s, d):
-    n = (F.col("page_id") % 3).cast("string")
-    line = F.concat(F.lit("A [@k"), n, F.lit("; @gone"), F.when(F.col("page_id") % 3 == 1, "; see p. 3").otherwise(""), F.lit("] b [@lost; @gone] c"))
-    return table(s, d, "pages").select("page_id", references.known_citations(line, F.array(*map(F.lit, ("k0", "k1", "k2")))).alias("kept"))
+    words = F.regexp_extract_all(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(s, d, "pages").select("page_id", F.coalesce(F.get(words, F.lit(0)), F.lit("a")).alias("a"), F.coalesce(F.get(words, F.lit(1)), F.lit("b")).alias("b"), F.replace(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("@"), F.lit("")).alias("p"))
+    line = F.concat(F.lit("A [@"), "a", F.lit("] b [-@"), "a", F.lit("; see p. 3; @"), "b", F.lit("] c [@"), "b", F.lit("] "), "p")
+    return rows.select("page_id", references.known_citations(line, F.array("a")).alias("kept"))
+
+
+SECTIONED = "SELECT doc_id, '# One' || chr(10) || text || chr(10) || '## ' || source || chr(10) || substr(text, 1, CAST(doc_id % 40 AS INT)) || chr(10) || '#### deep' || chr(10) || '### Last' AS md FROM {0}"
 
 
-@query("G9_short_sections", "SELECT page_id, 'Two' AS title, 5 AS length FROM pages WHERE page_id % 2 = 0")
+@query("G9_short_sections", f"WITH m AS ({SECTIONED.format('documents')})" + r""", p AS (SELECT doc_id, string_split_regex(md, '(?m)^#{1,3}[ \t]+[^\n]+') AS b, regexp_extract_all(md, '(?m)^#{1,3}[ \t]+([^\n]+)$', 1) AS h FROM m), x AS (SELECT doc_id, unnest(h) AS title, unnest(b[2:]) AS body FROM p)
+  SELECT doc_id, title, length(trim(body, ' ' || chr(10) || chr(9)))::INT AS length FROM x WHERE length(trim(body, ' ' || chr(10) || chr(9))) < 20""")
 def g9(s, d):
-    body = F.when(F.col("page_id") % 2 == 0, "short").otherwise("a section that is long enough to stay")
-    md = F.concat(F.lit("# One\nthe first section has enough of text\n## Two\n"), body, F.lit("\n"))
-    return table(s, d, "pages").select("page_id", F.inline(references.sections(md))).filter(F.col("length") < 20).select("page_id", "title", "length")
+    md = table(s, d, "documents").selectExpr(*SECTIONED.removeprefix("SELECT ").removesuffix(" FROM {0}").split(", ", 1))
+    return md.select("doc_id", F.inline(references.sections(F.col("md")))).filter(F.col("length") < 20)
 
 
-@query("G13_cite_tags", "SELECT page_id, 'So it is said.' AS cleaned, (page_id % 5)::VARCHAR || ',6' AS indices FROM pages")
+@query("G13_cite_tags", r"""WITH t AS (SELECT conv_id, turn, 'So <cite index="' || (turn + 1) || '-1,' || length(text) || '-2,x,1">' || replace(text, '<', '') || '</cite> <cite index="2">' || role || '</cite>.' AS line FROM conversations)
+  SELECT conv_id, turn, regexp_replace(line, '<cite index="([^"]+)">([^<]+)</cite>', '\2', 'g') AS cleaned, (SELECT string_agg(i::VARCHAR, ',' ORDER BY i) FROM (SELECT DISTINCT unnest(list_filter(list_transform(string_split(array_to_string(regexp_extract_all(line, '<cite index="([^"]+)">([^<]+)</cite>', 1), ','), ','), lambda p: try_cast(split_part(p, '-', 1) AS INT) - 1), lambda p: p IS NOT NULL)) AS i)) AS indices FROM t""")
 def g13(s, d):
-    line = F.concat(F.lit("So <cite index=\""), (F.col("page_id") % 5 + 1).cast("string"), F.lit("-1,7-2\">it is</cite> said."))
-    return table(s, d, "pages").select("page_id", references.without_cite_tags(line).alias("cleaned"), F.array_join(references.cite_tag_indices(line), ",").alias("indices"))
+    line = F.concat(F.lit('So <cite index="'), (F.col("turn") + 1).cast("string"), F.lit("-1,"), F.length("text").cast("string"), F.lit('-2,x,1">'), F.replace("text", F.lit("<"), F.lit("")), F.lit('</cite> <cite index="2">'), "role", F.lit("</cite>."))
+    rows = table(s, d, "conversations")
+    return rows.select("conv_id", "turn", references.without_cite_tags(line).alias("cleaned"), F.array_join(references.cite_tag_indices(line), ",").alias("indices"))
 
 
 @query("G12_annotation_offsets", "SELECT conv_id, turn, role, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - length(text))::BIGINT AS start FROM conversations")
@@ -154,11 +135,6 @@ def g12(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", "role", (before - F.length("text")).alias("start"))
 
 
-@query("G14_cited_results", "SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 2 = 0 GROUP BY url")
-def g14(s, d):
-    return keyed.keep_first(table(s, d, "pages").filter("page_id % 2 = 0").select("page_id", "url"), ["url"], ["page_id"])
-
-
 @query("G20_knowledge_format", "SELECT source, string_agg(doc_id || chr(10) || substr(text, 1, 300) || '...', chr(10) || chr(10) ORDER BY doc_id) AS formatted FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY 1")
 def g20(s, d):
     top = keyed.top_per_group(table(s, d, "documents").select("source", "doc_id", F.substring("text", 1, 300).alias("head")), "source", ["doc_id"], 5)
@@ -172,20 +148,6 @@ def g21(s, d):
     return table(s, d, "events").select("event_id", references.continuation(F.col("value") >= 10, kind == "error", kind == "purchase", F.col("event_id") % 5 + 1).alias("policy"))
 
 
-@query("G23_repeated_answers", "SELECT b.conv_id, b.turn FROM conversations b WHERE b.role = 'assistant' AND EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = b.conv_id AND a.role = 'assistant' AND a.turn < b.turn AND (a.text = '' OR starts_with(a.text, b.text) OR starts_with(b.text, a.text)))")
-def g23(s, d):
-    said = table(s, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
-    before = said.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("x"))
-    same = (F.col("c") == F.col("conv_id")) & (F.col("t") < F.col("turn")) & ((F.col("x") == "") | F.col("x").startswith(F.col("text")) | F.col("text").startswith(F.col("x")))
-    return said.join(before, same, "left_semi").select("conv_id", "turn")
-
-
-@query("N3_renumbered_results", "SELECT url, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS index FROM (SELECT url, min(page_id) AS page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages GROUP BY url)")
-def n3(s, d):
-    p = table(s, d, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")).withColumn("host", text.host(F.col("url")))
-    return p.select("url", (F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1).alias("index"))
-
-
 # --- BibTeX ----------------------------------------------------------------------------------------------------------
 def entries(s, d):
     n = F.col("p_partkey").cast("string")
@@ -205,13 +167,8 @@ def t22(s, d):
     return entries(s, d).select("p_partkey", references.escaped_fields(F.col("bib")).alias("bib"))
 
 
-text_query("T25_step", "conversations", "conv_id", "text", text.step, r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '^[-*•]\s*', ''), '^\d+[.)]\s*', ''), '\s+', ' ', 'g')), '[.;:,]+$', '')")
-text_query("T27_fork_title", "conversations", "conv_id", "text", lambda x: F.when(x.startswith("Fork: "), x).otherwise(F.concat(F.lit("Fork: "), x)), "CASE WHEN starts_with(text, 'Fork: ') THEN text ELSE 'Fork: ' || text END")
-text_query("T32_mime", "pages", "page_id", "url", references.mime_of, "CASE WHEN lower(url) LIKE '%.html' THEN 'text/html' WHEN lower(url) LIKE '%.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END")
 text_query("T33_last_lines", "documents", "doc_id", "text", lambda x: references.last_lines(x, 3), "array_to_string(list_slice(string_split(text, chr(10)), -3, -1), chr(10))")
 text_query("T18_url_end", "pages", "page_id", "url", lambda x: F.regexp_replace(F.concat(x, F.lit(").")), r"[.,;:)>\]]+$", ""), r"regexp_replace(url || ').', '[.,;:)>\]]+$', '')")
-text_query("G25_without_citations", "documents", "doc_id", "text", lambda x: F.trim(F.regexp_replace(F.concat(x, F.lit("\n#### Citations\n1. a")), r"(?is)####\s+citations.*$", "")), r"trim(regexp_replace(text || chr(10) || '#### Citations' || chr(10) || '1. a', '(?is)####\s+citations.*$', ''))")
-text_query("M13_stage_percent", "orders", "o_orderkey", "o_orderpriority", lambda x: references.stage_percent(F.when(x.startswith("1"), "bibliography").when(x.startswith("2"), "metadata").otherwise("unknown")), "CASE WHEN o_orderpriority LIKE '1%' THEN 75 WHEN o_orderpriority LIKE '2%' THEN 20 ELSE 0 END")
 text_query("M8_retry_wait", "part", "p_partkey", "p_size", lambda x: F.least(F.lit(40000), 4000 * F.pow(F.lit(2), x % 10)).cast("bigint"), "least(40000, 4000 * pow(2, p_size % 10))::BIGINT")
 text_query("P19_job_id", "part", "p_partkey", "p_name", lambda x: ~text.trim(x).isin("N/A", "undefined", "null", ""), "trim(p_name) NOT IN ('N/A', 'undefined', 'null', '')")
 text_query("T29_summary", "documents", "doc_id", "text", references.summary, "substr(text, 1, 300) || '...'")

@@ -20,12 +20,6 @@ def p6(s, d):
     return table(s, d, "documents").filter(F.col("text").isNotNull()).select("doc_id")
 
 
-@query("P13_pending_at_level", "SELECT p_partkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'F') ON l_partkey = p_partkey WHERE p_size = 7 AND l_partkey IS NULL")
-def p13(s, d):
-    done = table(s, d, "lineitem").filter("l_linestatus = 'F'").select("l_partkey")
-    return table(s, d, "part").filter("p_size = 7").join(done, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
-
-
 @query("J5_embedded_row", "SELECT o_orderkey, c_name AS customer_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def j5(s, d):
     c = table(s, d, "customer")
@@ -45,17 +39,6 @@ def a9(s, d):
     return table(s, d, "part").groupBy("p_brand").agg(F.coalesce(F.max(F.coalesce("p_size", F.lit(0))), F.lit(-1)).alias("level"))
 
 
-@query("A14_output_chars", "SELECT source, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
-def a14(s, d):
-    return table(s, d, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
-
-
-@query("A20_flags", "SELECT user_id, count(*) AS n, bool_or(event_type = 'error') AS any_error, bool_or(event_type = 'purchase') AS any_output FROM events GROUP BY 1")
-def a20(s, d):
-    kind = F.col("event_type")
-    return table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(kind == "error").alias("any_error"), F.bool_or(kind == "purchase").alias("any_output"))
-
-
 @query("N9_batches", "SELECT source, ceil(count(*) / 100.0)::BIGINT AS batches FROM documents GROUP BY 1")
 def n9(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.ceil(F.count(F.lit(1)) / 100).alias("batches"))
@@ -67,52 +50,12 @@ def n10(s, d):
     return table(s, d, "documents").select("doc_id", F.coalesce(first("lang"), first("source"), F.lit("unknown")).alias("label"))
 
 
-@query("K8_first_k_cap", "SELECT conv_id, array_to_string(list_slice(list(turn ORDER BY turn), 1, 3), ',') AS turns FROM conversations GROUP BY 1")
-def k8(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("turn")), 1, 3), ",").alias("turns"))
-
-
-@query("U4_distinct_normalized", "SELECT DISTINCT regexp_replace(lower(trim(url)), '[.,;:]+$', '') AS url FROM pages")
-def u4(s, d):
-    return table(s, d, "pages").select(F.regexp_replace(F.lower(F.trim("url")), "[.,;:]+$", "").alias("url")).distinct()
-
-
 @query("U7_known_keys", "SELECT DISTINCT event_id % 97 AS k FROM events WHERE event_id % 97 IN (SELECT item_id FROM benchmark)")
 def u7(s, d):
     known = table(s, d, "benchmark").select(F.col("item_id").alias("k"))
     return table(s, d, "events").select((F.col("event_id") % 97).alias("k")).join(known, "k", "left_semi").distinct()
 
 
-@query("U9_ordered_union", "SELECT url, min(rank) AS rank FROM (SELECT url, 0 AS rank FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1 FROM pages) GROUP BY 1")
-def u9(s, d):
-    p = table(s, d, "pages")
-    both = p.filter("page_id % 2 = 0").select("url", F.lit(0).alias("rank")).unionByName(p.select("url", F.lit(1).alias("rank")))
-    return both.groupBy("url").agg(F.min("rank").alias("rank"))
-
-
-PLAN = "WITH g AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY 1) "
-
-
-def kept_lists(s, d):
-    return table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
-
-
-@query("W12_prepend_or_skip", PLAN + "SELECT o_custkey, array_to_string(CASE WHEN list_contains(x, 5) THEN x ELSE list_prepend(5, list_filter(x, lambda v: v % 7 <> 5)) END, ',') AS x FROM g")
-def w12(s, d):
-    new = F.when(F.array_contains("x", 5), F.col("x")).otherwise(F.concat(F.array(F.lit(5).cast("bigint")), F.filter("x", lambda v: v % 7 != 5)))
-    return kept_lists(s, d).select("o_custkey", F.array_join(new, ",").alias("x"))
-
-
-@query("W13_replace_last", PLAN + "SELECT o_custkey, array_to_string(list_append(list_filter(x, lambda v: v % 7 <> 5), 5), ',') AS x FROM g")
-def w13(s, d):
-    return kept_lists(s, d).select("o_custkey", F.array_join(F.array_append(F.filter("x", lambda v: v % 7 != 5), F.lit(5).cast("bigint")), ",").alias("x"))
-
-
-@query("W14_remove_by_id", PLAN + "SELECT o_custkey, array_to_string(list_filter(x, lambda v: v <> 5), ',') AS x FROM g")
-def w14(s, d):
-    return kept_lists(s, d).select("o_custkey", F.array_join(F.filter("x", lambda v: v != 5), ",").alias("x"))
-
-
 @query("D3_default_expiry", "SELECT event_id, ts + INTERVAL 30 DAY AS expires FROM events")
 def d3(s, d):
     return table(s, d, "events").select("event_id", (F.col("ts") + F.make_dt_interval(F.lit(30))).alias("expires"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,53 @@ PAYMENTS = """payments AS (
   SELECT o_orderkey AS id, o_custkey AS user_id, round(o_totalprice * 100)::BIGINT AS cents,
          CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'settled' WHEN 'P' THEN 'verified' END AS payment_status, o_orderdate AS created_at FROM orders)
 """
+
+
+# Views in SQL that Spark and DuckDB read alike: {table} stands for a given table.
+VIEWS = {
+    # a page as a line that cites it: numbered, as a Markdown link, after its title, or bare; and what the title of the search result was
+    "cited": """SELECT page_id, url, title, CASE page_id % 4 WHEN 0 THEN '[' || (page_id % 9 + 1) || '] ' || title || '. Journal. ' || url WHEN 1 THEN 'See [' || title || '](' || url || ').'
+        WHEN 2 THEN '3. ' || title || ', ' || url ELSE url END AS line, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'www.' || regexp_extract(url, '//([^/]*)', 1) || '/x' ELSE title END AS shown
+        FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {pages}) t""",
+    # a page's report: its title as a heading, its first paragraph, and references with all kinds of identifiers, some of them repeated
+    "reports": """SELECT page_id, '# ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || chr(10) || regexp_extract(html, '<p>([^<]*)', 1) || chr(10) || '## References' || chr(10) || 'See ' || url || ', ' || url || '#top' || chr(10) ||
+        CASE page_id % 10 WHEN 0 THEN 'https://doi.org/10.1234/ABC_' || (page_id % 50) || '. and 10.5555/xyz-' || (page_id % 30) || ';' WHEN 1 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/pmc' || (page_id % 40) || '/)'
+        WHEN 2 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (page_id % 40) || '/' WHEN 3 THEN 'https://clinicaltrials.gov/study/nct' || (page_id % 40) WHEN 4 THEN 'https://arxiv.org/abs/2401.' || (page_id % 40) || 'v2'
+        WHEN 5 THEN 'https://www.biorxiv.org/content/10.1101/2024.' || (page_id % 40) || 'v1' WHEN 6 THEN 'https://www.uniprot.org/uniprotkb/p' || (page_id % 40) || '/entry' WHEN 7 THEN 'https://pubchem.ncbi.nlm.nih.gov/compound/' || (page_id % 40)
+        WHEN 8 THEN 'https://CDN.x.org/a.js https://x.org/f.EOT?v=1 https://fonts.googleapis.com/css2' ELSE '10.4321/q_' || (page_id % 20) || ', https://doi.org/10.4321/q_' || (page_id % 20) END AS body FROM {pages}""",
+    "tasks": """SELECT plan_id, CAST(pos AS INT) AS pos, (CASE WHEN type = 'ANALYSIS' THEN 'ana-' ELSE 'lit-' END) || CAST(floor(pos / 2) AS INT) AS id, job_id, type, CAST(floor(pos / 2) AS INT) AS level, ended, output, objective, o_orderkey AS task_key
+        FROM (SELECT o_custkey AS plan_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' WHEN o_orderkey % 7 = 1 THEN NULL ELSE 'job-' || o_orderkey END AS job_id,
+        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'ANALYSIS' ELSE 'LITERATURE' END AS type, o_orderstatus <> 'O' AS ended, CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'P' THEN '  ' ELSE 'Found ' || o_orderpriority || ' in ' || o_orderkey END AS output,
+        'Look at ' || o_orderpriority || ' of ' || o_custkey AS objective FROM {orders}) t""",
+    "artifacts": """SELECT task_key, art_no, art_id, name, CASE WHEN art_no % 6 = 0 THEN NULL ELSE 'runs/' || task_key || '/' || coalesce(name, 'raw_' || l_suppkey || '.PNG') END AS path, type FROM (
+        SELECT l_orderkey AS task_key, art_no, l_suppkey, 'art-' || l_orderkey || '-' || art_no AS art_id, CASE l_returnflag WHEN 'R' THEN 'fig_' || l_suppkey || '.png' WHEN 'A' THEN 'table_' || l_suppkey || '.csv' END AS name,
+        CASE WHEN l_linestatus = 'F' THEN 'FILE' ELSE 'FOLDER' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS art_no FROM {lineitem}) u) t""",
+    # what a plan's discoveries cite: jobs, tasks, placeholders and jobs of no plan
+    "evidence": """SELECT plan_id, CAST(pos % 3 AS INT) AS discovery, pos, CASE pos % 5 WHEN 1 THEN id WHEN 3 THEN 'job-of-nobody' ELSE coalesce(job_id, id) END AS cited FROM {tasks}""",
+    "messages": """SELECT q.conv_id, q.turn, q.text AS question, a.text AS content FROM {conversations} q JOIN {conversations} a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
+    "files": """SELECT page_id, regexp_extract(url, '([^/?#]*)[^/]*$', 1) || CASE page_id % 12 WHEN 0 THEN '.csv' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.PNG' WHEN 4 THEN '.md' WHEN 5 THEN '.bin' WHEN 6 THEN '.docx' WHEN 7 THEN '.gif' WHEN 8 THEN '.json' WHEN 9 THEN '.txt'
+        WHEN 10 THEN '.jpeg' ELSE '' END AS name, CASE page_id % 7 WHEN 0 THEN 'text/csv; charset=utf-8' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime,
+        CAST(length(html) AS BIGINT) * 1000 AS size FROM {pages}""",
+}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of VIEWS over the given tables."""
+    used = set(re.findall(r"{(\w+)}", VIEWS[name]))
+    frames = {t: view(spark, sf_dir, t) if t in VIEWS else table(spark, sf_dir, t) for t in used}
+    return spark.sql(VIEWS[name], **frames)
+
+
+def with_views(*names: str) -> str:
+    """The same views as SQL common table expressions."""
+    out: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        for t in re.findall(r"{(\w+)}", VIEWS[name]):
+            if t in VIEWS:
+                add(t)
+        out.setdefault(name, f"{name} AS ({re.sub(r'{(\w+)}', lambda m: m[1], VIEWS[name])})")
+
+    for n in names:
+        add(n)
+    return "WITH " + ", ".join(out.values()) + " "
