@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import free_name
+
 SEED = "mix-1"
 #: The sources' table is broadcast only up to this many rows; beyond, a shuffled join that AQE splits on skew.
 MAX_BROADCAST = 2_000
@@ -59,27 +61,31 @@ def target_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
 def replicate(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """docs with columns `copy` (from 1) and `shuffle_key`, each row as often as its Poisson draw says, none at 0.
 
-    A null source is the source ''. Rows that repeat a doc_id get the same number of copies each. Null doc_id: hashed as
-    the empty text. An empty table gives an empty result. Sources not in rates are dropped (their rate is 0).
+    Where docs has columns of these names, they stay, and the new ones get an underscore more. A null source is the source ''. Rows that
+    repeat a doc_id get the same number of copies each. Null doc_id: hashed as the empty text. An empty table gives an empty result. Sources
+    not in rates are dropped (their rate is 0).
     """
-    table = distribution(rates).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    n, numbers = rates.agg(F.count(F.lit(1)), F.sum(F.col("rate") + 12 * F.sqrt("rate") + 30)).first()
-    few = n <= MAX_BROADCAST and (numbers or 0) <= MAX_NUMBERS
+    copy, order = (free_name(x, docs.columns) for x in ("copy", "shuffle_key"))
+    own, cdf, u, n = (free_name(x, docs.columns) for x in ("__source", "__cdf", "__u", "__n"))
+    table = distribution(rates).select(F.col("source").alias(own), F.col("cdf").alias(cdf))
+    rows, numbers = rates.agg(F.count(F.lit(1)), F.sum(F.col("rate") + 12 * F.sqrt("rate") + 30)).first()
+    few = rows <= MAX_BROADCAST and (numbers or 0) <= MAX_NUMBERS
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = (
-        docs.withColumn("__u", uniform(F.lit("n"), key))
-        .join(F.broadcast(table) if few else table, F.coalesce("source", F.lit("")) == F.col("__source"))
-        .withColumn("__n", F.size(F.filter("__cdf", lambda c: c < F.col("__u"))))
+        docs.withColumn(u, uniform(F.lit("n"), key))
+        .join(F.broadcast(table) if few else table, F.coalesce("source", F.lit("")) == F.col(own))
+        .withColumn(n, F.size(F.filter(cdf, lambda c: c < F.col(u))))
     )
-    copies = drawn.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    copies = drawn.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     return copies.withColumn(
-        "shuffle_key", F.md5(F.concat_ws(":", F.lit(SEED), F.lit("s"), key, F.col("copy").cast("string")).cast("binary"))
-    ).drop("__source", "__cdf", "__u", "__n")
+        order, F.md5(F.concat_ws(":", F.lit(SEED), F.lit("s"), key, F.col(copy).cast("string")).cast("binary"))
+    ).drop(own, cdf, u, n)
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None) -> DataFrame:
-    """Replicated docs in a global random order: rows are range-partitioned and sorted by shuffle_key."""
-    return replicate(docs, target_rates(docs, weights, total)).orderBy("shuffle_key")
+    """Replicated docs in a global random order: rows are range-partitioned and sorted by the key of the shuffle, their last column."""
+    copies = replicate(docs, target_rates(docs, weights, total))
+    return copies.orderBy(copies.columns[-1])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +94,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH sizes AS (SELECT coalesce(source, '') AS source, count(*) AS n_rows FROM documents GROUP BY 1),
-rates AS (SELECT source, least(64.0, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM sizes)
-                 * (SELECT sum(n_rows) FROM sizes)::DOUBLE / n_rows) AS rate FROM sizes),
+rates AS (SELECT source, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM sizes)
+                 * (SELECT sum(n_rows) FROM sizes)::DOUBLE / n_rows AS rate FROM sizes),
 ks AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::INT + 1)) AS k FROM rates),
 lp AS (SELECT source, k, sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(k::DOUBLE) END)
               OVER (PARTITION BY source ORDER BY k) AS log_p FROM ks),
