@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, prepare
+from .common import free_name, held_out, prepare
 
-#: n-gram length in characters, slots of the table, n-grams kept of each language at most.
-N, SLOTS, MOST = 4, 1 << 20, 40_000
+#: n-gram length in characters, slots of the table.
+N, SLOTS = 4, 1 << 20
 #: The filters are fitted on about so many labelled rows of each language, chosen by hash of doc_id (all, if fewer).
 FIT_ROWS = 2_000
 #: An n-gram belongs to a language if it is in this share of its fitted rows, and in two rows, at least.
@@ -97,16 +97,17 @@ class Filters:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
     """labelled (doc_id, text, lang): rows with a null text or lang teach nothing. Languages are in order of falling rows, then name.
 
-    Each language is sampled on its own, so a rare one is learned beside any number of other rows. What reaches the driver is bounded:
-    MOST n-grams of a language.
+    Each language is sampled on its own, so a rare one is learned beside any number of other rows. What reaches the driver is bounded by the
+    sample: the n-grams that are in SHARE of a language's fitted rows, at most 1 / SHARE times the mean number of n-grams of a row.
     """
-    prepare(labelled.sparkSession)
+    spark = labelled.sparkSession
+    prepare(spark)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     steps = 1 << 40
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if any(n > fit_rows for n in totals.values()):
         bounds = [(lang, max(1, steps * fit_rows // n)) for lang, n in totals.items()]
-        table = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound bigint"))
+        table = F.broadcast(spark.createDataFrame(bounds, "lang string, bound bigint"))
         rows = rows.join(table, "lang").filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(steps)) < F.col("bound")).select("doc_id", "text", "lang")
 
     def run(batches):
@@ -123,43 +124,45 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
                 )
 
     counted = rows.mapInArrow(run, "lang string, gram bigint, n bigint, rows bigint").persist()
-    sizes = {r["lang"]: r["rows"] for r in counted.groupBy("lang").agg(F.sum("rows").alias("rows")).collect()}
-    languages = sorted(sizes, key=lambda x: (-totals[x], x))
-    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = []
-    for lang in languages:  # a bounded top list of each language
-        top = grams.filter((F.col("lang") == lang) & (F.col("n") >= max(2, SHARE * sizes[lang]) if sizes[lang] > 2 else F.col("lang") == lang))
-        kept.append(np.array(top.orderBy(F.desc("n"), "gram").limit(MOST).select("gram").toPandas()["gram"], dtype=np.int64).view(np.uint64))
+    sizes = counted.groupBy("lang").agg(F.sum("rows").alias("size"))
+    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).join(F.broadcast(sizes), "lang")  # a row per language
+    least = F.when(F.col("size") > 2, F.greatest(F.lit(2.0), SHARE * F.col("size"))).otherwise(1.0)
+    kept = grams.filter(F.col("n") >= least).select("lang", "gram").toArrow()
+    languages = sorted((r["lang"] for r in sizes.collect()), key=lambda x: (-totals[x], x))
     counted.unpersist()
-    return Filters(languages, kept)
+    number = {lang: i for i, lang in enumerate(languages)}
+    of = np.array([number[x] for x in kept["lang"].to_pylist()], dtype=np.int64)
+    gram = kept["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    return Filters(languages, [gram[of == i] for i in range(len(languages))])
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score (share of the best language in all corrected counts). Columns stay; rows are independent.
+    """docs with lang_pred and score (share of the best language in all corrected counts). Rows are independent, repeated ones alike.
 
+    Columns stay; where docs has columns of these names, the new ones, which come last, get an underscore more. An empty table gives none.
     The table that is broadcast is SLOTS x 8 bytes for each 64 languages, whatever the corpus.
     """
     spark = docs.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(filters)
-    clean = docs.drop("lang_pred", "score")
+    names = [free_name(x, docs.columns) for x in ("lang_pred", "score")]
 
     def run(batches):
         for b in batches:
             found = [model.value.decide(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*b.schema.names, "lang_pred", "score"],
+                [*b.schema.names, *names],
             )
 
-    schema = StructType([*clean.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return clean.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, ...) with held_out, lang_pred and score; learned from rows that aren't held out."""
     filters = fit(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    return predict(docs, filters).withColumn("held_out", held_out())
+    return predict(docs, filters).withColumn(free_name("held_out", docs.columns), held_out())
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
