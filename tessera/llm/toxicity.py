@@ -144,17 +144,18 @@ def train(rows: list[tuple[int, float, np.ndarray, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic); null labels teach nothing. Sampled classes are weighted back to their share.
 
-    The labels are sampled before they meet the texts: about 2 x fit_rows of them, a bounded table that is broadcast, so no text is
-    shuffled. The driver gets the hashed features of those rows.
+    A doc_id labelled twice counts once, as toxic if any label says so; of documents that share a doc_id one is learned from. The labels are
+    sampled before they meet the texts: about 2 x fit_rows of them, a bounded table that is broadcast, so no text but theirs is shuffled. The
+    driver gets the hashed features of those rows.
     """
     prepare(docs.sparkSession)
-    marked = labels.filter("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    steps = 1_000_000
+    steps = 1 << 40
     share = {c: min(1.0, fit_rows / n) for c, n in sizes.items()}
-    limit = F.when(F.col("toxic") == 1, int(steps * share.get(1, 0))).otherwise(int(steps * share.get(0, 0)))
+    limit = F.when(F.col("toxic") == 1, max(1, int(steps * share.get(1, 0)))).otherwise(max(1, int(steps * share.get(0, 0))))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit("tox"), "doc_id"), F.lit(steps)) < limit)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
     def run(batches):
         features = Features()
