@@ -1,121 +1,157 @@
 """Exact top-k inner products by vector-approximation files.
 
-The approximation file holds for each vector a byte per component: the cell of a uniform grid over that component's range. Per
-query, cells give an upper and a lower bound of the inner product. One pass over the approximations keeps, per query, the vectors whose upper
-bound reaches the k-th best lower bound; exact vectors are then read in the order of their bounds, in two reads: the best
-FIRST of each query, and after them only those whose bound reaches the exact k-th score. What is left can't enter the result.
+The approximation file holds for each block of vectors the range of each component and, for each vector, a byte per component: the cell of a
+uniform grid over that range. Per query, cells give an upper and a lower bound of the inner product. One pass over the approximations keeps,
+per query, the vectors whose upper bound reaches the k-th best lower bound; exact vectors are then read in the order of their bounds, in two
+reads: the best FIRST of each query, and after them those whose bound reaches the exact k-th score. What is left can't enter the result.
 
 Equal vectors are folded first, with their smallest ids, so one very common vector costs a single row. Queries and
-vectors meet block by block; each task holds one block of either, whatever the number of rows.
+vectors meet block by block, a block of vectors as one row; a task compares TILE vectors at a time, whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import prepare, saved
 
 K, SCALE, CELLS = 10, 1024, 256
-#: Rows of a block of queries and of a block of vectors.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
+#: Rows of a block of queries and of a block of vectors; vectors compared with a block of queries at a time.
+QUERY_BLOCK, VECTOR_BLOCK, TILE = 1024, 16_384, 1024
 #: Candidates of each query whose exact vectors are read first.
 FIRST = 40
+#: Scores are longs; a product beyond them counts as the nearest one.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v: array of longs floor(SCALE * x); without null vectors and those holding null, NaN or infinite components."""
+    """vec_id, v: array of longs floor(SCALE * x); without null vectors and those holding null, NaN or infinite components.
+
+    A component beyond the longs counts as the nearest one.
+    """
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return embeddings.filter(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
 
 
-def grid(vectors: DataFrame) -> DataFrame:
-    """dim -> lows and highs, the range of each component over all vectors of that length: a row per length."""
-    ranges = vectors.select(F.size("v").alias("dim"), F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    return ranges.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("axes"))
+def matrix(table: pa.Table, dim: int) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(table.num_rows, dim)
 
 
-def approximated(vectors: DataFrame, axes: DataFrame) -> DataFrame:
-    """vectors (number, v) with `cells`, a byte per component, and `axes`."""
-    dims = vectors.withColumn("dim", F.size("v")).join(F.broadcast(axes) if axes.limit(65).count() <= 64 else axes, "dim")
+def approximated(vectors: DataFrame) -> DataFrame:
+    """vectors (dim, vb, number, v) -> the file, a row per block: dim, vb, numbers, lows, highs and cells (bytes, vector by vector)."""
 
-    def cell(x, a):
-        width = F.greatest((a["high"] - a["low"]).cast("double") / CELLS, F.lit(1e-9))
-        return F.least(F.floor((x - a["low"]) / width), F.lit(CELLS - 1)).cast("smallint")
+    def build(table: pa.Table) -> pa.Table:
+        dim, vb = table.column("dim")[0].as_py(), table.column("vb")[0].as_py()
+        v = matrix(table, dim)
+        lows, highs = (v.min(0), v.max(0)) if dim else (np.zeros(0), np.zeros(0))
+        width = np.maximum((highs - lows) / CELLS, 1e-9)
+        cells = np.minimum((v - lows) / width, CELLS - 1).astype(np.uint8)
+        row = [[dim], [vb], [table.column("number").to_numpy().tobytes()], [lows.tobytes()], [highs.tobytes()], [cells.tobytes()]]
+        return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["dim", "vb", "numbers", "lows", "highs", "cells"])
 
-    return dims.withColumn("cells", F.zip_with("v", "axes", cell))
+    return vectors.groupBy("dim", "vb").applyInArrow(build, "dim int, vb int, numbers binary, lows binary, highs binary, cells binary")
 
 
-def bounds(queries: np.ndarray, cells: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of each query's product with each vector of a block."""
+def corners(cells: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest vector of each row of cells; a unit and what rounding may take, wider each way."""
     width = np.maximum((highs - lows) / CELLS, 1e-9)
-    low, high = lows + cells * width - 1, np.minimum(lows + (cells + 1) * width, highs) + 1  # a unit each way for rounding
+    slack = 1 + 1e-14 * np.maximum(np.abs(lows), np.abs(highs))
+    return lows + cells * width - slack, np.minimum(lows + (cells + 1.0) * width, highs) + slack
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bound of each query's product with each vector of a tile, within the longs."""
+    low, high = corners(cells, lows, highs)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    return plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
+    slack = (1e-13 * (np.abs(queries) @ np.maximum(np.abs(lows), np.abs(highs))))[:, None]
+    ends = (float(LEAST), float(MOST))
+    return np.clip(plus @ low.T + minus @ high.T - slack, *ends), np.clip(plus @ high.T + minus @ low.T + slack, *ends)
+
+
+def near_vectors(queries: np.ndarray, cells: np.ndarray, lows: np.ndarray, highs: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, vector row, lower, upper bound) of the vectors whose upper bound reaches the k-th best lower bound of their query's in the block."""
+    best = np.full((len(queries), k), -np.inf)
+    found: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(cells), TILE):
+        low, high = bounds(queries, cells[at : at + TILE], lows, highs)
+        best = np.partition(np.concatenate([best, low], axis=1), -k, axis=1)[:, -k:]
+        q, v = np.nonzero(high >= best[:, :1])  # the least of a query's k best stands first
+        found.append((q, v + at, low[q, v], high[q, v]))
+    q, v, low, high = (np.concatenate(x) for x in zip(*found))
+    stay = high >= best[q, 0]
+    return q[stay], v[stay], low[stay], high[stay]
+
+
+def product(a: Column, b: Column, largest: Column) -> Column:
+    """Inner product of two arrays of longs as a long; exact, or the nearest long where it lies beyond. largest: bound of its terms' sum, as a double."""
+    plain = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    wide = lambda x: x.cast("decimal(19,0)")
+    exact = F.aggregate(F.zip_with(a, b, lambda x, y: F.try_multiply(wide(x), wide(y)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"), lambda s, x: F.try_add(s, x).try_cast("decimal(38,0)"))
+    about = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    held = F.least(F.greatest(exact, F.lit(LEAST).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("bigint")
+    return F.when(largest < 9e18, plain).when(exact.isNull(), F.when(about > 0, F.lit(MOST)).otherwise(F.lit(LEAST))).otherwise(held)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """vectors (vec_id, v) -> query_id, rank, vec_id, score: each query's k highest products with other rows, ties to the smaller vec_id.
 
-    Only vectors of one length are compared. Repeated rows with one vec_id count once. Scores are exact up to 2^53; components
-    are meant to stay under 2^20.
+    Only vectors of one length are compared. Every row is a candidate: rows that share a vec_id are listed each. A query is a vec_id and a
+    vector, without one row of its own; where a query's vec_id has several vectors, each has a list. An empty table gives none.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
-    rows = saved(vectors.groupBy("vec_id").agg(F.min("v").alias("v")))
+    prepare(vectors.sparkSession)
+    rows = saved(vectors.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")))
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     # of equal vectors the k + 1 smallest ids: one of them may be the query's own
     members = rows.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= k + 1)
-    distinct = saved(members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("number", F.col("ids")[0]))
-    axes = saved(grid(distinct))
+    size = F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))), F.lit(0.0)).alias("size")
+    distinct = saved(members.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "copies"))).alias("ids")).select("v", "ids", F.size("v").alias("dim"), size, F.monotonically_increasing_id().alias("number")))
     asked = rows.filter(is_query).select("vec_id", "v")
-    queries = saved(asked.groupBy("v").agg(F.min("vec_id").alias("q")).withColumn("dim", F.size("v")))
+    queries = saved(asked.select("v").distinct().join(distinct.select("v", "dim", "size", F.col("number").alias("q")), "v"))
     n_queries, n_vectors = queries.count(), distinct.count()
     q_blocks, v_blocks = -(-n_queries // QUERY_BLOCK) or 1, max(-(-n_vectors // VECTOR_BLOCK), 1)
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    file = approximated(distinct.select("number", "v"), axes).select("number", "dim", "cells", "axes")
-    d = file.withColumn("vb", F.pmod(F.xxhash64("number"), F.lit(v_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asking = queries.select("dim", "q", "v", block("q", q_blocks).alias("qb")).withColumn("vb", numbers(v_blocks))
+    file = approximated(distinct.select("dim", "number", "v", block("number", v_blocks).alias("vb"))).withColumn("qb", numbers(q_blocks))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        kinds = {"q": np.int64, "number": np.int64, "low": np.float64, "high": np.float64}
+        out = [np.zeros(0, dtype=t) for t in kinds.values()]
         if left.num_rows and right.num_rows:
-            dim = left.column("dim")[0].as_py()
-            flat = lambda t, c: t.column(c).combine_chunks().values.to_numpy().astype(np.float64).reshape(-1, dim)
-            axis = right.column("axes")[0].as_py()
-            lows, highs = (np.array([a[s] for a in axis], dtype=np.float64) for s in ("low", "high"))
-            ids, numbers = left.column("q").to_numpy(), right.column("number").to_numpy()
-            low, high = bounds(flat(left, "v"), flat(right, "cells"), lows, highs)
-            kth = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if low.shape[1] > k + 1 else np.full(len(ids), -np.inf)
-            for i, row in enumerate(high):
-                near = np.flatnonzero(row >= kth[i])
-                for o, x in zip(out, (np.full(len(near), ids[i]), numbers[near], low[i][near], row[near])):
-                    o.append(x)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-        return pa.table({"q": cat(out[0], np.int64), "number": cat(out[1], np.int64), "low": cat(out[2], np.float64), "high": cat(out[3], np.float64)})
-
-    near = saved(q.groupBy("dim", "qb", "vb").cogroup(d.groupBy("dim", "qb", "vb")).applyInArrow(scan, "q bigint, number bigint, low double, high double"))
+            dim = right.column("dim")[0].as_py()
+            number, lows, highs, cells = (np.frombuffer(right.column(c)[0].as_py(), dtype=t) for c, t in (("numbers", np.int64), ("lows", np.float64), ("highs", np.float64), ("cells", np.uint8)))
+            q, v, low, high = near_vectors(matrix(left, dim), cells.reshape(len(number), dim), lows, highs, k + 1)
+            out = [left.column("q").to_numpy()[q], number[v], low, high]
+        return pa.table(dict(zip(kinds, out)))
+
+    near = saved(asking.groupBy("dim", "qb", "vb").cogroup(file.groupBy("dim", "qb", "vb")).applyInArrow(scan, "q bigint, number bigint, low double, high double"))
     # the k+1st best lower bound over all blocks; its own vector may be one of them
     by_low, by_high = Window.partitionBy("q").orderBy(F.desc("low"), "number"), Window.partitionBy("q").orderBy(F.desc("high"), "number")
-    kth = near.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == k + 1).select("q", F.col("low").alias("kth"))
-    left = saved(near.join(kth, "q", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).withColumn("r", F.row_number().over(by_high)).select("q", "number", "high", "r"))
-    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    kth = saved(near.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == k + 1).select("q", F.col("low").alias("kth")))
+    left = saved(near.join(kth, "q", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("q", "number", "high"))
+    other = queries.select("q", F.col("v").alias("qv"), F.col("size").alias("q_size"))
+    largest = F.col("size") * F.col("q_size") * F.size("v")
 
     def read(candidates: DataFrame) -> DataFrame:
-        return candidates.join(distinct, "number").join(queries.select("q", F.col("v").alias("qv")), "q").select("q", "number", "ids", exact.alias("score"))
+        return candidates.join(distinct.select("number", "v", "size"), "number").join(other, "q").select("q", "number", product(F.col("qv"), F.col("v"), largest).alias("score"))
 
-    first = read(left.filter(F.col("r") <= FIRST))
-    certain = first.withColumn("s", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("s") == k + 1).select("q", F.col("score").alias("enough"))
-    rest = read(left.filter(F.col("r") > FIRST).join(certain, "q").filter(F.col("high") >= F.col("enough")).select("q", "number"))
-    scored = first.unionByName(rest)
+    first = read(left.withColumn("r", F.row_number().over(by_high)).filter(F.col("r") <= FIRST).select("q", "number"))
+    certain = saved(first.withColumn("s", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("s") == k + 1).select("q", F.col("score").alias("enough")))
+    scored = saved(read(left.join(certain, "q", "left").filter(F.col("enough").isNull() | (F.col("high") >= F.col("enough"))).select("q", "number")))
     # a query's k + 1 best distinct vectors hold its k best rows besides itself
     best = scored.withColumn("s", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("s") <= k + 1).drop("s")
-    pairs = best.withColumn("vec_id", F.explode("ids")).withColumn("s", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("s") <= k + 1)
-    ask = asked.join(queries.select("q", F.col("v").alias("w")), F.col("v") == F.col("w")).select(F.col("vec_id").alias("query_id"), "q")
-    ranked = pairs.join(ask, "q").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    pairs = best.join(distinct.select("number", "ids"), "number").select("q", "number", "score", F.inline("ids"))
+    pairs = pairs.withColumn("s", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("s") <= k + 1)
+    ask = asked.join(queries.select("q", "v"), "v").select(F.col("vec_id").alias("query_id"), "q")
+    own = ((F.col("q") == F.col("number")) & (F.col("query_id") == F.col("vec_id"))).cast("bigint")
+    others = pairs.join(ask, "q").withColumn("copies", F.least(F.col("copies") - own, F.lit(k))).filter("copies > 0")
+    listed = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
