@@ -8,8 +8,10 @@ passages of a document with the same anchor occurrence form a fragment. Steps, e
 2. fold equal fragments (anchor, content) into one, with their number and first place: groups of copies end here;
 3. anchors left with over one content: the contents go to a shard by anchor, where the operator's index (a suffix automaton,
    or suffix arrays of a prefix-free parse) finds the repeated passages of contents that differ as a whole;
-4. an anchor with over HOT contents would fill a shard: its fragments are cut into single passages, folded by the passage itself.
+4. an anchor with over HOT contents would fill a shard, and no longer anchor would split what surrounds a very common passage: its fragments
+   are cut into single passages, which fold by anchor and content like whole fragments.
 
+Folding takes fragments of one anchor for equal by two hashes of 64 bits each, of the anchor and of the content; the index compares units themselves.
 Every document, fragment and passage takes part; nothing is capped or sampled.
 """
 
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, text_bytes
+from .common import discard, prepare, saved, text_bytes
 
 #: Passages of a document looked at together, which bounds the memory for a very long text.
 BLOCK = 1 << 17
-#: Contents of one anchor from which its passages are routed one by one: about 6 MB of bytes, or what 100 MB of automaton hold.
-HOT = {"words": 2_000, "bytes": 20_000}
+#: Contents of one anchor from which its passages are routed one by one: about 1 MB of bytes, or what 100 MB of automaton hold.
+HOT = {"words": 2_000, "bytes": 4_000}
 #: Units of content that a shard is to hold.
 SHARD_UNITS = {"words": 150_000, "bytes": 1_200_000}
 ODD = 0x9E3779B97F4A7C15 | 1
@@ -42,7 +44,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any range of a sequence of 64-bit unit hashes in O(1): sums of unit x ODD^i, shifted back by ODD^-i."""
+    """Hashes of any range of a sequence of 64-bit unit hashes in O(1): sums of unit x ODD^i, shifted back by ODD^-i.
+
+    The powers are kept for the longest sequence so far; these are blocks, or the contents of a shard.
+    """
 
     up = down = np.ones(1, dtype=np.uint64)
 
@@ -176,8 +181,11 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     # written, so that the join below has two plain shuffles and AQE splits a very common anchor
     often = saved(scan(rows, unit_hashes, window, k, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
     found = saved(scan(rows, unit_hashes, window, k, True).join(often, "anchor"))
-    once = folded(found)
-    contents = saved(once.join(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")), "anchor"))
+    # both sides written, so that an anchor with very many contents is split
+    once = saved(folded(found))
+    many = saved(once.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1"))
+    contents = saved(once.join(many, "anchor", "left").withColumn("contents", F.coalesce("contents", F.lit(1))))
+    discard(spark, once, many)
 
     # whole fragments that are copies: all places, or all but the first
     calm = contents.filter(F.col("contents") <= HOT[unit]).select(*[F.col(c).alias(f"c_{c}") for c in ("anchor", "content", "n", "first", "contents")])
@@ -224,18 +232,18 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     # anchors with too many contents: passage by passage
     if contents.filter(F.col("contents") > HOT[unit]).limit(1).count():
         hot = contents.filter(F.col("contents") > HOT[unit]).select("anchor").distinct()
-        wanted = found.join(hot, "anchor", "left_semi").select(*KEY, F.struct("a", "b").alias("want"))
+        wanted = found.join(hot, "anchor", "left_semi").select(*KEY, F.struct("anchor", "a", "b").alias("want"))
 
         def passages(doc, sub, text, wants):
             roll = Rolling(unit_hashes()(text))
             for w in wants:
                 start = np.arange(w["a"], w["b"] + 1)
                 for s, h in zip(start.tolist(), roll.ranges(start, start + window).view(np.int64).tolist()):
-                    yield h, doc, sub, s
+                    yield w["anchor"], h, doc, sub, s
 
-        single = saved(cut(rows, wanted, unit, passages, "passage bigint, doc_id bigint, sub int, a int"))
-        again = single.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sub", "a")).alias("first")).filter("n > 1")
-        here = single.join(again, "passage")
+        single = saved(cut(rows, wanted, unit, passages, "anchor bigint, passage bigint, doc_id bigint, sub int, a int"))
+        again = saved(single.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sub", "a")).alias("first")).filter("n > 1"))
+        here = single.join(again, ["anchor", "passage"])
         if keep_first:
             here = here.filter(~F.struct("doc_id", "sub", "a").eqNullSafe(F.col("first")))
         spans = spans.unionByName(here.select(*KEY, "a", F.col("a").alias("b")))

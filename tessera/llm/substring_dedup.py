@@ -10,6 +10,7 @@ broadcast; `matching_spans` broadcasts automata of a reference set of bounded si
 
 from __future__ import annotations
 
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from .common import prepare, text_bytes
 from .repeats import covered, repeated_spans, with_spans
 
 WINDOW, GRAM = 20, 5
-#: Words of all references together that may be broadcast as automata.
-MAX_REFERENCE_WORDS = 2_000_000
+#: Words of all references together that may be broadcast as automata (about 0.5 KB a word), and of a shard's automaton.
+MAX_REFERENCE_WORDS, REFERENCE_SHARD = 200_000, 25_000
 
 
 class SuffixAutomaton:
@@ -140,27 +141,47 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return with_spans(rows, spans).mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept binary, removed array<struct<start:int,end:int>>")
 
 
+def reference_automata(references: DataFrame) -> DataFrame:
+    """references (text) -> automaton, a row per shard of about REFERENCE_SHARD words: a pickled suffix automaton of whole texts, built by a task."""
+
+    def run(batches):
+        automaton, words = SuffixAutomaton(), 0
+        for b in batches:
+            for text in text_bytes(b.column("text")):
+                automaton.add(text.split())
+                words += len(text.split())
+                if words >= REFERENCE_SHARD:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(automaton)], pa.binary())], ["automaton"])
+                    automaton, words = SuffixAutomaton(), 0
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(automaton)], pa.binary())], ["automaton"])
+
+    return references.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "automaton binary")
+
+
 def matching_spans(docs: DataFrame, references: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs against a bounded reference table (text): doc_id and removed, the maximal word ranges whose matching statistics reach window.
 
-    The references' words are counted first; above MAX_REFERENCE_WORDS this raises, and the union of both tables belongs in substring_dedup.
+    Automata of the references' shards, built by tasks, are broadcast, and each document is streamed through all of them. The references' words are
+    counted first; above MAX_REFERENCE_WORDS this raises, and the union of both tables belongs in substring_dedup. Null texts have no words; an
+    empty table of either side gives no ranges.
     """
     spark = docs.sparkSession
     prepare(spark)
     size = references.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     if size > MAX_REFERENCE_WORDS:
         raise ValueError(f"{size} words of references are too many to broadcast; use substring_dedup")
-    texts = spark.sparkContext.broadcast([r[0].encode() for r in references.filter("text is not null").select("text").collect()])
+    shards = spark.sparkContext.broadcast([r["automaton"] for r in reference_automata(references).collect()])
 
     def run(batches):
-        automaton = SuffixAutomaton()
-        for t in texts.value:
-            automaton.add(t.split())
+        automata = [pickle.loads(x) for x in shards.value]  # noqa: S301  (built by this job)
         for b in batches:
             out = []
             for text in text_bytes(b.column("text")):
-                found = np.flatnonzero(np.array(automaton.matching(text.split())) >= window) - window + 1
-                mask = covered([{"a": x, "b": x} for x in found.tolist()], len(text.split()), window)
+                words = text.split()
+                statistics = np.max([np.zeros(len(words), dtype=np.int64), *(np.array(a.matching(words), dtype=np.int64) for a in automata)], axis=0)
+                found = np.flatnonzero(statistics >= window) - window + 1
+                mask = covered([{"a": x, "b": x} for x in found.tolist()], len(words), window)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                 out.append([{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "removed"])
