@@ -117,14 +117,16 @@ def marked(docs: DataFrame, digest: Column | None = None, bytes_per_batch: int =
     members = saved(texts.join(few(hits.select("digest")), "digest", "left_semi"))
     at = [F.col(c).eqNullSafe(F.col(f"holder.{c}")) for c in ("file", "row", "doc_id")]
     held = saved(members.join(few(hits), "digest").filter(at[0] & at[1] & at[2]).groupBy("digest").agg(F.min("text").alias("held_text")))
-    clash = saved(members.join(held, "digest").filter("text <> held_text").select("digest").distinct())
-    if not clash.isEmpty():
+    # the join alone, so that a large group is split
+    unlike = saved(members.join(held, "digest").filter("text <> held_text").select("digest"))
+    if not unlike.isEmpty():
+        clash = unlike.distinct()
         again = members.join(clash, "digest", "left_semi").select("digest", "doc_id", "text")
         groups = again.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         known = saved(known.join(clash, "digest", "left_anti").unionByName(
             again.join(groups, ["digest", "text"]).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "doc_id", "keep_id", "group_size")
         ))
-    discard(docs.sparkSession, members, held, clash)
+    discard(docs.sparkSession, members, held, unlike)
     return known
 
 
