@@ -191,7 +191,8 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     calm = contents.filter(F.col("contents") <= HOT[unit]).select(*[F.col(c).alias(f"c_{c}") for c in ("anchor", "content", "n", "first", "contents")])
     at = found.join(calm.filter("c_n > 1"), (F.col("anchor") == F.col("c_anchor")) & (F.col("content") == F.col("c_content")))
     not_first = ~F.struct("doc_id", "sub", "a", "b").eqNullSafe(F.col("c_first"))
-    spans = (at.filter(not_first) if keep_first else at).select(*KEY, "a", "b")
+    # each part written on its own: a join alone in its stage is split where a content is very common, and no shard is decided twice
+    spans = saved((at.filter(not_first) if keep_first else at).select(*KEY, "a", "b"))
 
     # contents that share an anchor, by shard
     shared = contents.filter((F.col("contents") > 1) & (F.col("contents") <= HOT[unit]))
@@ -227,7 +228,7 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
         def by_shard(table: pa.Table) -> pa.Table:
             return next(decide([table]))
 
-        spans = spans.unionByName(pieces.groupBy("shard").applyInArrow(by_shard, "doc_id bigint, sub int, a int, b int"))
+        spans = spans.unionByName(saved(pieces.groupBy("shard").applyInArrow(by_shard, "doc_id bigint, sub int, a int, b int")))
 
     # anchors with too many contents: passage by passage
     if contents.filter(F.col("contents") > HOT[unit]).limit(1).count():
@@ -246,7 +247,7 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
         here = single.join(again, ["anchor", "passage"])
         if keep_first:
             here = here.filter(~F.struct("doc_id", "sub", "a").eqNullSafe(F.col("first")))
-        spans = spans.unionByName(here.select(*KEY, "a", F.col("a").alias("b")))
+        spans = spans.unionByName(saved(here.select(*KEY, "a", F.col("a").alias("b"))))
     return rows, spans
 
 
