@@ -32,6 +32,8 @@ BLOCK = 1 << 17
 HOT = {"words": 2_000, "bytes": 4_000}
 #: Units of content that a shard is to hold.
 SHARD_UNITS = {"words": 150_000, "bytes": 1_200_000}
+#: Anchors with over HOT contents are broadcast up to this many (8 bytes each).
+MAX_BROADCAST = 200_000
 ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
 KEY = ["doc_id", "sub"]
@@ -232,8 +234,9 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
 
     # anchors with too many contents: passage by passage
     if contents.filter(F.col("contents") > HOT[unit]).limit(1).count():
-        hot = contents.filter(F.col("contents") > HOT[unit]).select("anchor").distinct()
-        wanted = found.join(hot, "anchor", "left_semi").select(*KEY, F.struct("anchor", "a", "b").alias("want"))
+        # written, so a join is split where an anchor is very common; a short list is broadcast, and then no fragment moves
+        hot = saved(contents.filter(F.col("contents") > HOT[unit]).select("anchor").distinct())
+        wanted = found.join(F.broadcast(hot) if hot.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else hot, "anchor", "left_semi").select(*KEY, F.struct("anchor", "a", "b").alias("want"))
 
         def passages(doc, sub, text, wants):
             roll = Rolling(unit_hashes()(text))
