@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, saved, text_bytes
+from .common import discard, prepare, saved, text_bytes
 from .components import Forest, components
 
 #: Members of a chunk of a cell.
@@ -242,15 +242,15 @@ def head_nodes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefix_links(sets: DataFrame) -> DataFrame:
-    """sets (node, part, n, grams) -> links (u, v) that put every pair at similarity 4/5 into one component.
+    """sets (node, n, grams) -> links (u, v) that put every pair at similarity 4/5 into one component.
 
     Prefix filter: with the shingles of each row sorted by the number of rows that have them, rarest first, both rows of such a pair have a
     common one among their first n - ceil(4n/5) + 1. The rows of a shingle link to the least of them, so a common one makes no pairs.
-    part tells rows of one node apart.
+    Rows of one node and size go as one: with more shingles to sort, its head is longer by as many as it gained and so holds the head of each row.
     """
-    flat = sets.select("node", "part", "n", F.explode("grams").alias("gram"))
+    flat = sets.select("node", "n", F.explode("grams").alias("gram"))
     often = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-    ranked = flat.join(often, "gram").groupBy("node", "part", "n").agg(F.array_sort(F.collect_set(F.struct("rows", "gram"))).alias("common"))
+    ranked = flat.join(often, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_set(F.struct("rows", "gram"))).alias("common"))
     take = F.size("common") + 1 - F.ceil(F.col("n") * 4 / 5).cast("int")  # the shingles of one row come first
     heads = saved(ranked.withColumn("take", take).filter("take > 0").select("node", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("node", "x.gram"))
     least = heads.groupBy("gram").agg(F.min("node").alias("least"))
@@ -369,9 +369,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     worded = docs.filter(F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    texts = worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("part"))
-    likely = saved(shingle_sets(texts.join(head_nodes(texts, NEAR_WORDS), "node", "left_semi"), NEAR_WORDS, "part"))
-    sets = saved(likely.join(components(prefix_links(likely)), "node").select("node", "root", "wide", "n", "grams"))
+    texts = worded.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    # written, so that its size is known when the join is planned: a list small enough to be broadcast moves no text
+    heads = saved(head_nodes(texts, NEAR_WORDS))
+    likely = saved(shingle_sets(texts.join(heads, "node", "left_semi"), NEAR_WORDS))
+    # written for the same reason: sets move only if the list of families is large
+    families = saved(components(prefix_links(likely)))
+    sets = saved(likely.join(families, "node").select("node", "root", "wide", "n", "grams"))
+    discard(docs.sparkSession, heads, likely, families)
     first = saved(pivot_links(sets))
     links_found = saved(first.unionByName(family_links(sets, components(first).withColumnRenamed("root", "tree"))))
     gone = components(links_found).filter("node <> root").select(F.col("node").alias("__gone")).distinct()
