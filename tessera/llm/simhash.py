@@ -206,38 +206,42 @@ def head_nodes(docs: DataFrame, k: int) -> DataFrame:
 
     Of a pair at 4/5 each row shares at least 4/5 of its own n shingles, so m >= 1 shared ones are among the least n - ceil(4n/5) + m
     hashes of both. With m = 1 + n // 20 a row needs 1 + ceil(4n/5) // 20 head shingles that another row's head has: that holds for a
-    partner of any size. Heads are a quarter of all shingles; only they are dealt out by shingle, sorted and read as a stream.
+    partner of any size. Heads are a quarter of all shingles; only they are dealt out by shingle. Rows of
+    one batch that share a shingle count it there and send it on once: of a very common one, a task gets a record a batch, not a record a row.
     """
 
     def heads(batches):
+        """gram, node, need, known: 0 for a shingle of one row of the batch, 1 for one of several, -times for what a row shares within the batch."""
         for b in batches:
             sets = [np.unique(np.concatenate([*shingle_hashes(t, k), np.empty(0, np.uint64)])) for t in text_bytes(b.column("text"))]
             n = np.array([len(g) for g in sets], dtype=np.int64)
             least = -(-4 * n // 5)
-            heads = [g[:m].view(np.int64) for g, m in zip(sets, n - least + 1 + n // 20)]
-            ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array((1 + least // 20).astype(np.int32)), grams], ["node", "need", "grams"])
-
-    def shared(batches):
-        last = None  # gram, node, need of the row before, and whether it is out
-        for b in batches:
-            gram, node, need = (b.column(i).to_numpy() for i in range(3))
-            if not len(gram):
-                continue
-            same = gram[1:] == gram[:-1]
-            goes_on = last is not None and last[0] == gram[0]
-            hit = np.r_[goes_on, same] | np.r_[same, False]
-            nodes, needs = node[hit], need[hit]
-            if goes_on and not last[3]:
-                nodes, needs = np.r_[nodes, last[1]], np.r_[needs, last[2]]
-            last = gram[-1], node[-1], need[-1], hit[-1]
-            pairs, times = np.unique(np.stack([nodes, needs.astype(np.int64)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times.astype(np.int64))], ["node", "need", "times"])
-
-    rows = docs.select("node", "text").mapInArrow(heads, "node bigint, need int, grams array<bigint>")
-    dealt = rows.select(F.explode("grams").alias("gram"), "node", "need").repartition("gram").sortWithinPartitions("gram")
-    found = dealt.mapInArrow(shared, "node bigint, need bigint, times bigint")
+            take = n - least + 1 + n // 20
+            gram = np.concatenate([*(g[:m] for g, m in zip(sets, take)), np.empty(0, np.uint64)]).view(np.int64)
+            row = np.repeat(np.arange(len(sets)), np.minimum(take, n))
+            order = np.argsort(gram, kind="stable")
+            again = gram[order][1:] == gram[order][:-1]
+            first, several = np.zeros((2, len(gram)), dtype=bool)
+            first[order] = np.r_[True, ~again][: len(gram)]
+            several[order] = (np.r_[again, False] | np.r_[False, again])[: len(gram)]
+            times = np.bincount(row[several], minlength=len(sets))
+            inside = np.flatnonzero(times)
+            rows = np.r_[row[first], inside]
+            node = b.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[gram[first], node[inside]]),  # the latter only spread; one that meets a shingle makes it count, which loses nothing
+                    pa.array(node[rows]),
+                    pa.array((1 + least // 20)[rows].astype(np.int32)),
+                    pa.array(np.r_[several[first], -times[inside]].astype(np.int32)),
+                ],
+                ["gram", "node", "need", "known"],
+            )
+
+    dealt = docs.select("node", "text").mapInArrow(heads, "gram bigint, node bigint, need int, known int")
+    rows = F.count(F.lit(1)).over(Window.partitionBy("gram"))
+    times = F.when(F.col("known") < 0, -F.col("known")).when((F.col("known") == 0) & (rows > 1), 1).otherwise(0)
+    found = dealt.select("node", "need", times.alias("times")).filter("times > 0")
     return found.groupBy("node").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("node")
 
 
