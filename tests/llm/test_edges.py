@@ -366,6 +366,37 @@ def test_near_dedup_is_complete(spark):
     assert got == want
 
 
+def test_head_nodes_over_batches(spark):
+    """Rows with enough head shingles that another row's head has, wherever the batches end; a shingle of all rows, copies, empty texts."""
+    dice = random.Random(5)
+    texts = ["", "one", "one"]
+    for i in range(40):
+        words = [f"w{dice.randrange(5000)}" for _ in range(dice.choice([6, 30, 90, 200]))]
+        texts.append(" ".join(["a very common line here", *words]))
+        if i % 4 == 0:
+            texts.append(" ".join(["a very common line here", *words, "and", "one", "more"]))
+    heads, need = [], []
+    for t in texts:
+        w = t.split()
+        g = sorted({xxhash.xxh64_intdigest(" ".join(w[j : j + 5]), 42) for j in range(max(1, len(w) - 4))}) if w else []
+        least = -(-4 * len(g) // 5)
+        heads.append(g[: len(g) - least + 1 + len(g) // 20])
+        need.append(1 + least // 20)
+    often = Counter(x for h in heads for x in h)
+    want = {i for i, h in enumerate(heads) if sum(often[x] > 1 for x in h) >= need[i]}
+    assert 10 < len(want) < len(texts)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size in (1, 7, 500):
+            spark.conf.set(key, str(size))
+            docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+            assert {r["node"] for r in simhash.head_nodes(docs, 5).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+    assert simhash.head_nodes(spark.createDataFrame([], "node long, text string"), 5).count() == 0
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's rows against a plain version on what the stage before it kept."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
