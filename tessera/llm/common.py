@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that goes to a Python worker; keeps a batch of whole texts in bounded memory.
 BATCH_ROWS = 500
+#: Bytes of such a batch, so that very long texts go a few at a time.
+BATCH_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and the package on the executors' path where PYTHONPATH doesn't provide it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
@@ -34,6 +38,19 @@ def prepare(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]):
+    """conf within the block, what was set before it afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

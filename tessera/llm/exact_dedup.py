@@ -11,13 +11,11 @@ Everything here is DataFrame or SQL operations.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, saved, shared_folder
+from .common import configured, discard, free_name, saved, shared_folder
 
 #: The digests hit more than once are broadcast up to this many (40 bytes each); beyond, a shuffled join that AQE splits on skew.
 MAX_BROADCAST = 100_000
@@ -32,18 +30,6 @@ ROCKS = {
 }
 
 
-@contextmanager
-def configured(spark: SparkSession, conf: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def body() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

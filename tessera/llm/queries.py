@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from . import bpe, divergence, exact_dedup, hard_negatives, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,8 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_suffix_array_dedup": suffix_dedup.op9,
     "op10_simhash_near_dedup": simhash.op10,
+    "op12_hard_negatives": hard_negatives.op12,
+    "op13_source_divergence": divergence.op13,
     "pipeline": pipeline,
 }
 
@@ -30,4 +32,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op6_exact_top_k": topk.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
