@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, exact_dedup, hard_negatives, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from . import bpe, divergence, exact_dedup, hard_negatives, html_extraction, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_suffix_array_dedup": suffix_dedup.op9,
     "op10_simhash_near_dedup": simhash.op10,
+    "op11_html_extraction": html_extraction.op11,
     "op12_hard_negatives": hard_negatives.op12,
     "op13_source_divergence": divergence.op13,
     "pipeline": pipeline,
@@ -32,6 +33,7 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op6_exact_top_k": topk.ORACLE,
+    "op11_html_extraction": html_extraction.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
