@@ -408,10 +408,12 @@ LEASES = """WITH e AS (SELECT user_id AS conv, ts AS tm, event_id AS n, CASE eve
   f AS (SELECT *, run > 0 AND coalesce(root = own, root IS NULL, FALSE) AS fits FROM o), g AS (SELECT *, coalesce(bool_or(kind = 'finish' AND fits) OVER (PARTITION BY conv, run ORDER BY tm, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS over FROM f)"""
 
 
-def lease_events(s, d):
+def lease_events(s, d, rows=None):
+    """The events, or a stream of them, as starts, touches and finishes of runs."""
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "finish").otherwise("touch")
     root = F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k").cast("int") % 3)
-    return table(s, d, "events").select(F.col("user_id").alias("conv"), F.col("ts").alias("at"), F.col("event_id").alias("n"), kind.alias("kind"), root.alias("root"))
+    rows = table(s, d, "events") if rows is None else rows
+    return rows.select(F.col("user_id").alias("conv"), F.col("ts").alias("at"), F.col("event_id").alias("n"), kind.alias("kind"), root.alias("root"))
 
 
 @query("E2_leases", LEASES + " SELECT conv, n, CASE kind WHEN 'start' THEN TRUE WHEN 'touch' THEN fits AND NOT over ELSE fits END AS done, run > 0 AND NOT over AND NOT (kind = 'finish' AND fits) AS running FROM g")

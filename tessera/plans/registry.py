@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bibliography, catalog, documents, planning, records, relations, sources  # noqa: F401  (all add to the catalogue)
+from . import bibliography, catalog, documents, live, planning, records, relations, sources  # noqa: F401  (all add to the catalogue)
 
 
 def queries():
