@@ -21,7 +21,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, prepare, saved, text_bytes
@@ -36,8 +37,9 @@ SHARD_UNITS = {"words": 150_000, "bytes": 1_200_000}
 MAX_BROADCAST = 200_000
 ODD = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(ODD, -1, 1 << 64)
-KEY = ["doc_id", "sub"]
-PLACE = "struct<doc_id: bigint, sub: int, a: int>"
+#: A document: an id with a text, this as two hashes of 64 bits each. Rows that are alike in both are one document.
+KEY = ["doc_id", "sub", "sup"]
+DOCUMENT = "doc_id bigint, sub bigint, sup bigint"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -105,13 +107,31 @@ def fragments(units: np.ndarray, window: int, k: int) -> Iterator[tuple[np.ndarr
         yield grams[place[first]].view(np.int64), roll.ranges(first, last + window).view(np.int64), (first + at).astype(np.int32), (last + at).astype(np.int32)
 
 
-def sub_key():
-    """Tells apart rows that share a doc_id (or have none) by their text."""
-    return F.hash("text").alias("sub")
+def source(docs: DataFrame) -> DataFrame:
+    """docs as doc_id, sub, sup, text. A row is told apart from others of its doc_id, or without one, by 128 bits of hashes of its text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("sub"), F.xxhash64(F.lit("second"), "text").alias("sup"), "text")
 
 
-def source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", sub_key(), "text")
+def same_document() -> Column:
+    """Joins rows with those of renamed keys d, s and u."""
+    return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sub") == F.col("s")) & (F.col("sup") == F.col("u"))
+
+
+def renamed(rows: DataFrame, *others: str) -> DataFrame:
+    return rows.select(*(F.col(x).alias(y) for x, y in zip(KEY, "dsu")), *others)
+
+
+def once_each(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a row for each document, those of them that stand in several rows or None if there are none)."""
+    equal = saved(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY))
+    n = equal.limit(MAX_BROADCAST + 1).count()
+    if not n:
+        discard(rows.sparkSession, equal)
+        return rows, None
+    keys = renamed(F.broadcast(equal) if n <= MAX_BROADCAST else equal)
+    first = saved(rows.join(keys, same_document(), "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")))
+    return rows.join(keys, same_document(), "left_anti").unionByName(first), first
 
 
 def scan(rows: DataFrame, unit_hashes: Callable, window: int, k: int, with_place: bool) -> DataFrame:
@@ -120,7 +140,6 @@ def scan(rows: DataFrame, unit_hashes: Callable, window: int, k: int, with_place
     def run(batches):
         hashes = unit_hashes()
         for b in batches:
-            ids, subs = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("sub").to_numpy()
             parts: list[list[np.ndarray]] = [[] for _ in range(4)]
             rows_of: list[tuple[int, int]] = []
             for i, text in enumerate(text_bytes(b.column("text"))):
@@ -136,50 +155,52 @@ def scan(rows: DataFrame, unit_hashes: Callable, window: int, k: int, with_place
                 continue
             row = np.repeat([r for r, _ in rows_of], [n for _, n in rows_of])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(content), b.column("doc_id").take(pa.array(row)), pa.array(subs[row]), pa.array(a), pa.array(last)],
-                ["anchor", "content", "doc_id", "sub", "a", "b"],
+                [pa.array(anchor), pa.array(content), *(b.column(c).take(pa.array(row)) for c in KEY), pa.array(a), pa.array(last)],
+                ["anchor", "content", *KEY, "a", "b"],
             )
 
-    schema = "anchor bigint, content bigint, doc_id bigint, sub int, a int, b int" if with_place else "anchor bigint"
+    schema = f"anchor bigint, content bigint, {DOCUMENT}, a int, b int" if with_place else "anchor bigint"
     return rows.mapInArrow(run, schema)
 
 
 def folded(found: DataFrame) -> DataFrame:
     """(anchor, content) -> number n and first place (smallest doc_id, then start)."""
     return found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sub", "a", "b")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "a", "b")).alias("first")
     )
 
 
 def cut(rows: DataFrame, wanted: DataFrame, unit: str, slices: Callable, schema: str) -> DataFrame:
-    """Run slices(text, list of wanted structs) -> list of columns' values on each row that `wanted` has entries for."""
+    """Run slices(document, text, list of wanted structs) -> columns' values on each document that `wanted` has entries for."""
     listed = wanted.groupBy(*KEY).agg(F.collect_list("want").alias("wants"))
-    joined = rows.join(listed.select(F.col("doc_id").alias("d"), F.col("sub").alias("s"), "wants"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sub") == F.col("s")))
+    joined = rows.join(renamed(listed, "wants"), same_document())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for doc, sub, text, wants in zip(b.column("doc_id").to_pylist(), b.column("sub").to_pylist(), text_bytes(b.column("text")), b.column("wants").to_pylist()):
-                for values in slices(doc, sub, text, wants):
+            for *doc, text, wants in zip(*(b.column(c).to_pylist() for c in KEY), text_bytes(b.column("text")), b.column("wants").to_pylist()):
+                for values in slices(doc, text, wants):
                     for o, v in zip(out, values):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, type=t) for o, t in zip(out, types)], names)
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
-    return joined.select("doc_id", "sub", "text", "wants").mapInArrow(run, schema)
+    return joined.select(*KEY, "text", "wants").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: int, k: int, split: Callable, join: Callable, index: Callable, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """-> (rows, spans): rows (doc_id, sub, text) and spans (doc_id, sub, a, b): passages starting at a..b that go.
+    """-> (rows, spans): rows (doc_id, sub, sup, text) and spans (doc_id, sub, sup, a, b): passages starting at a..b that go.
 
+    Rows alike in id and text are one document, whose spans hold for each of them; unless keep_first (units are bytes then), all their passages stand elsewhere and go.
     unit_hashes() -> function(text) -> uint64 per unit; split(text) -> units, join(units) -> bytes of a content. index(list of contents in order of
     first place) -> for each a bool array, a value per passage: whether it occurs in a content before (keep_first), or in any other.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = source(docs)
+    every = source(docs)
+    rows, equal = once_each(every)
     # written, so that the join below has two plain shuffles and AQE splits a very common anchor
     often = saved(scan(rows, unit_hashes, window, k, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"))
     found = saved(scan(rows, unit_hashes, window, k, True).join(often, "anchor"))
@@ -192,7 +213,7 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     # whole fragments that are copies: all places, or all but the first
     calm = contents.filter(F.col("contents") <= HOT[unit]).select(*[F.col(c).alias(f"c_{c}") for c in ("anchor", "content", "n", "first", "contents")])
     at = found.join(calm.filter("c_n > 1"), (F.col("anchor") == F.col("c_anchor")) & (F.col("content") == F.col("c_content")))
-    not_first = ~F.struct("doc_id", "sub", "a", "b").eqNullSafe(F.col("c_first"))
+    not_first = ~F.struct(*KEY, "a", "b").eqNullSafe(F.col("c_first"))
     # each part written on its own: a join alone in its stage is split where a content is very common, and no shard is decided twice
     spans = saved((at.filter(not_first) if keep_first else at).select(*KEY, "a", "b"))
 
@@ -201,18 +222,19 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
     sizes = shared.agg(F.sum(F.col("first.b") - F.col("first.a") + window)).first()[0] or 0
     if sizes:
         shards = int(sizes // SHARD_UNITS[unit]) + 1
-        wanted = shared.select("first.doc_id", "first.sub", F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("n").alias("n")).alias("want"))
+        wanted = shared.select(*(F.col(f"first.{c}").alias(c) for c in KEY), F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("n").alias("n")).alias("want"))
 
-        def slices(doc, sub, text, wants):
+        def slices(doc, text, wants):
             units = split(text)
             for w in wants:
-                yield w["shard"], doc, sub, w["a"], w["n"], join(units[w["a"] : w["b"] + window])
+                yield w["shard"], *doc, w["a"], w["n"], join(units[w["a"] : w["b"] + window])
 
-        pieces = cut(rows, wanted, unit, slices, "shard int, doc_id bigint, sub int, a int, n bigint, content binary")
+        pieces = cut(rows, wanted, unit, slices, f"shard int, {DOCUMENT}, a int, n bigint, content binary")
 
         def decide(batches):
             for table in batches:
-                order = table.sort_by([("doc_id", "ascending"), ("sub", "ascending"), ("a", "ascending")])
+                # nulls first, as in Spark's order of places
+                order = table.take(pc.sort_indices(table, [(c, "ascending") for c in (*KEY, "a")], null_placement="at_start"))
                 starts = order.column("a").to_numpy()
                 marks = index(order.column("content").to_pylist())
                 n = order.column("n").to_numpy()
@@ -224,13 +246,13 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
                     row += [i] * (len(edge) // 2)
                     a += (edge[::2] + starts[i]).tolist()
                     b += (edge[1::2] - 1 + starts[i]).tolist()
-                got = order.select(["doc_id", "sub"]).take(pa.array(row, pa.int64()))
+                got = order.select(KEY).take(pa.array(row, pa.int64()))
                 yield got.append_column("a", pa.array(a, pa.int32())).append_column("b", pa.array(b, pa.int32()))
 
         def by_shard(table: pa.Table) -> pa.Table:
             return next(decide([table]))
 
-        spans = spans.unionByName(saved(pieces.groupBy("shard").applyInArrow(by_shard, "doc_id bigint, sub int, a int, b int")))
+        spans = spans.unionByName(saved(pieces.groupBy("shard").applyInArrow(by_shard, f"{DOCUMENT}, a int, b int")))
 
     # anchors with too many contents: passage by passage
     if contents.filter(F.col("contents") > HOT[unit]).limit(1).count():
@@ -238,28 +260,31 @@ def repeated_spans(docs: DataFrame, unit_hashes: Callable, unit: str, window: in
         hot = saved(contents.filter(F.col("contents") > HOT[unit]).select("anchor").distinct())
         wanted = found.join(F.broadcast(hot) if hot.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else hot, "anchor", "left_semi").select(*KEY, F.struct("anchor", "a", "b").alias("want"))
 
-        def passages(doc, sub, text, wants):
+        def passages(doc, text, wants):
             roll = Rolling(unit_hashes()(text))
             for w in wants:
                 start = np.arange(w["a"], w["b"] + 1)
                 for s, h in zip(start.tolist(), roll.ranges(start, start + window).view(np.int64).tolist()):
-                    yield w["anchor"], h, doc, sub, s
+                    yield w["anchor"], h, *doc, s
 
-        single = saved(cut(rows, wanted, unit, passages, "anchor bigint, passage bigint, doc_id bigint, sub int, a int"))
-        again = saved(single.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sub", "a")).alias("first")).filter("n > 1"))
+        single = saved(cut(rows, wanted, unit, passages, f"anchor bigint, passage bigint, {DOCUMENT}, a int"))
+        again = saved(single.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "a")).alias("first")).filter("n > 1"))
         here = single.join(again, ["anchor", "passage"])
         if keep_first:
-            here = here.filter(~F.struct("doc_id", "sub", "a").eqNullSafe(F.col("first")))
+            here = here.filter(~F.struct(*KEY, "a").eqNullSafe(F.col("first")))
         spans = spans.unionByName(saved(here.select(*KEY, "a", F.col("a").alias("b"))))
-    return rows, spans
+        discard(spark, hot, single, again)
+    if equal is not None and not keep_first:
+        last = (F.octet_length("text") - window).cast("int")
+        spans = spans.unionByName(equal.select(*KEY, F.lit(0).alias("a"), last.alias("b")).filter("b >= 0"))
+    discard(spark, often, found, contents)
+    return every, spans
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with `spans`, an array of struct(a, b); null where there are none."""
     listed = spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(
-        listed.select(F.col("doc_id").alias("d"), F.col("sub").alias("s"), "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sub") == F.col("s")), "left"
-    ).select("doc_id", "text", "spans")
+    return rows.join(renamed(listed, "spans"), same_document(), "left").select("doc_id", "text", "spans")
 
 
 def covered(spans: list[dict] | None, n: int, window: int) -> np.ndarray:

@@ -117,8 +117,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> a row per row: doc_id, n_words, n_removed, kept (text of the kept words), removed (array of word ranges).
 
     A word goes if a passage of `window` words covers it whose words also start earlier: in a smaller doc_id, or in the same
-    document before. Null text: no words. A null doc_id is smaller than any other; of rows that repeat a doc_id with different texts those
-    with the smaller text hash come first, and equal rows are treated as one document, each giving the same result.
+    document before. Null text: no words. A null doc_id is smaller than any other; of rows that repeat a doc_id, or have none, with different
+    texts those with the smaller text hash come first, and rows alike in doc_id and text are one document, each giving the same result: a document's
+    words are lost only where they stand earlier in another one or in itself. An empty table gives none.
     """
     rows, spans = repeated_spans(docs, word_hashes, "words", window, GRAM, bytes.split, b" ".join, lambda c: repeated_before(c, window), True)
 

@@ -120,7 +120,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> a row per row: doc_id, n_bytes, n_removed, n_spans, kept (binary), removed (array of byte ranges).
 
     A byte goes if a string of `window` bytes covers it that also starts elsewhere, in any document. Null text is empty. Rows that
-    repeat a doc_id or have none are documents of their own; two equal rows are two places.
+    repeat a doc_id or have none are documents of their own; two equal rows are two places, so both lose what is as long as a window. An
+    empty table gives none.
     """
     rows, spans = repeated_spans(docs, byte_hashes, "bytes", window, GRAM, bytes, bytes, lambda c: repeated_anywhere(c, window), False)
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import divergence, hard_negatives, html_extraction
+from tessera.llm import divergence, hard_negatives, html_extraction, substring_dedup, suffix_dedup
 from tessera.llm.html_extraction import Page
 
 ROOT_HOST = 7
@@ -183,3 +183,59 @@ def test_pages_of_the_tables_give_their_article(spark):
         blocks = re.split(r"</?(?:h1|p)>", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
         plain = (" ".join(stdlib_html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in b else "", b)).split()) for b in blocks)
         assert r["text"] == "\n".join(x for x in plain if x)
+
+
+# --- op1, op9: rows that share an id, or have none -------------------------------------------------------------------
+def passages_of(doc_id_and_text):
+    """Plain versions for rows in any order: op1 as documents (id, text) by id, those of one id in the order found; op9 by rows."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    docs = spark.createDataFrame(doc_id_and_text, "doc_id long, text string").repartition(3)
+    words = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring_dedup.substring_dedup(docs).collect()]
+    cut = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(docs).collect()]
+    return words, cut
+
+
+def test_equal_rows_beside_a_similar_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    more = text + " zz yy xx"
+    words, cut = passages_of([(7, text), (7, text), (9, more)])
+    # both rows 7 are one document, which keeps its words; row 9 keeps what stands nowhere else
+    assert sorted(words) == [(7, 60, 0, text), (7, 60, 0, text), (9, 63, 60, "zz yy xx")]
+    assert sorted(cut) == [(7, len(text), len(text)), (7, len(text), len(text)), (9, len(more), len(text))]
+    # many equal rows without an id, and one alone
+    words, cut = passages_of([(None, more)] * 300 + [(None, "a b"), (1, text)])
+    assert Counter(w[2] for w in words) == {0: 301, 60: 1} and Counter(c[2] for c in cut) == {len(more): 300, 0: 1, len(text): 1}
+
+
+def test_null_ids_with_equal_short_hashes(spark):
+    """Two texts of one 32-bit hash, without ids: each keeps what stands nowhere else."""
+    probe = " ".join(f"v{i}" for i in range(31))
+    table = spark.range(0, 400_000).select(F.concat(F.lit(probe + " n"), F.col("id").cast("string")).alias("a")).withColumn("h", F.hash("a"))
+    other = spark.range(0, 400_000).select(F.concat(F.lit(" ".join(f"u{i}" for i in range(60)) + " m"), F.col("id").cast("string")).alias("b")).withColumn("h", F.hash("b"))
+    pair = table.join(other, "h").orderBy("a", "b").first()
+    assert pair is not None
+    third = " ".join(pair["a"].split()[5:]) + " tail"
+    words, cut = passages_of([(None, pair["a"]), (None, pair["b"]), (5, third)])
+    assert sorted(w[2] for w in words) == [0, 0, 27]
+    assert dict((c[1], c[2]) for c in cut)[len(pair["b"])] == 0
+
+
+def test_repeated_ids_by_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"q{i}" for i in range(400)]
+    passages = [" ".join(rnd.choices(vocabulary, k=50)) for _ in range(3)]
+    rows = [(rnd.choice([None, 1, 2, 3]), f"{' '.join(rnd.choices(vocabulary, k=rnd.randint(0, 30)))} {rnd.choice(passages)} {' '.join(rnd.choices(vocabulary, k=3))}") for _ in range(40)]
+    rows += [rows[i] for i in (0, 0, 5, 9)]
+    words, _ = passages_of(rows)
+    order = {(i, t): tuple(k) for i, t, *k in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")).collect()}
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, order[r])):
+        w, gone = t.split(), set()
+        for s in range(len(w) - 19):
+            gram = tuple(w[s : s + 20])
+            gone |= set(range(s, s + 20)) if gram in seen else set()
+            seen.add(gram)
+        want[i, t] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert Counter(words) == Counter((i, *want[i, t]) for i, t in rows)
