@@ -99,18 +99,22 @@ def stage_percent(stage: Column) -> Column:
 
 
 def is_json(x: Column) -> Column:
-    return F.coalesce((x != "") & F.try_parse_json(x).isNotNull(), F.lit(False))
+    # what doesn't begin like JSON is told without a parse that fails
+    begins = x.rlike(r"\A[ \t\r\n]*(?:[\[{\"\-\d]|true|false|null)")
+    return F.coalesce(F.when(begins, F.try_parse_json(x).isNotNull()), F.lit(False))
 
 
 def lenient_json(x: Column) -> tuple[Column, Column]:
     """(strategy, JSON) of an answer: the whole, without fences, or from the first brace to the last; ('none', null) if none parses."""
-    whole = text.trim(x)
-    unfenced = [F.regexp_replace(F.regexp_replace(whole, rf"(?i)^```{kind}\s*", ""), r"\s*```\z", "") for kind in ("json", "")]
-    tries = [("direct", whole), ("json_fence", unfenced[0]), ("fence", unfenced[1]), ("braces", F.regexp_extract(whole, r"(?s)(\{.*\})", 1))]
-    return (
-        F.coalesce(*[F.when(is_json(part), name) for name, part in tries], F.lit("none")),
-        F.coalesce(*[F.when(is_json(part), part) for _, part in tries]),
-    )
+    def tries(whole: Column) -> Column:
+        bare = [F.regexp_replace(F.regexp_replace(whole, rf"(?i)^```{kind}\s*", ""), r"\s*```\z", "") for kind in ("json", "")]
+        ways = [("direct", whole), ("json_fence", bare[0]), ("fence", bare[1]), ("braces", F.regexp_extract(whole, r"(?s)(\{.*\})", 1))]
+        parsed = lambda name: lambda t: F.when(is_json(t), F.struct(F.lit(name).alias("way"), t.alias("json")))
+        found = [text.let(part, parsed(name)) for name, part in ways]
+        return F.coalesce(*found, F.struct(F.lit("none").alias("way"), F.lit(None).cast("string").alias("json")))
+
+    found = text.let(text.trim(x), tries)
+    return found["way"], found["json"]
 
 
 def merged(old: Column, new: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .references import is_json
+from .text import let
 
 TASK = "type string, objective string, level int, output string"
 PLANNING = f"currentObjective string, plan array<struct<{TASK}>>"
@@ -36,11 +37,7 @@ def planning(x: Column, fallback: Column) -> Column:
     direct: the whole is JSON; code_block: the first fenced block is; json_match: from the first brace to the last, if that has a plan or an
     objective; regex: an objective or tasks are found as quoted fields; default: the fallback objective as a task, or nothing.
     """
-    block = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    braces = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    of_braces = F.from_json(braces, PLANNING)
-    meant = is_json(braces) & (of_braces["plan"].isNotNull() | (F.coalesce(of_braces["currentObjective"], F.lit("")) != ""))
-    ways = [("direct", x, is_json(x)), ("code_block", block, is_json(block)), ("json_match", braces, meant)]
+    result = lambda method, o, plan: F.struct(F.lit(method).alias("method"), o.alias("objective"), plan.alias("plan"))
     objective = unescaped(F.regexp_extract(x, r'"currentObjective"\s*:\s*' + QUOTED, 1))
     field = r'(?s)"type"\s*:\s*"(LITERATURE|ANALYSIS)".*?"objective"\s*:\s*' + QUOTED
     kinds, aims = (F.regexp_extract_all(x, F.lit(field), F.lit(i)) for i in (1, 2))
@@ -48,14 +45,41 @@ def planning(x: Column, fallback: Column) -> Column:
         F.zip_with(kinds, aims, lambda k, o: F.struct(k.alias("type"), unescaped(o).alias("objective"), F.lit(None).cast("int").alias("level"), F.lit("").alias("output"))), whole_task
     )
     usual = F.struct(F.lit("LITERATURE").alias("type"), fallback.alias("objective"), F.lit(1).alias("level"), F.lit("").alias("output"))
-    result = lambda method, o, plan: F.struct(F.lit(method).alias("method"), o.alias("objective"), plan.alias("plan"))
-    out = F.when((F.size(found) > 0) | (objective != ""), result("regex", objective, found)).otherwise(
-        result("default", F.coalesce(fallback, F.lit("Continue research based on user query")), F.when(fallback.isNotNull(), F.array(usual)).otherwise(no_tasks()))
-    )
-    for method, part, fits in reversed(ways):
-        parsed = F.from_json(part, PLANNING)
-        out = F.when(fits, result(method, F.coalesce(parsed["currentObjective"], F.lit("")), F.coalesce(F.transform(parsed["plan"], whole_task), no_tasks()))).otherwise(out)
-    return out
+    default = result("default", F.coalesce(fallback, F.lit("Continue research based on user query")), F.when(fallback.isNotNull(), F.array(usual)).otherwise(no_tasks()))
+    fields = let(F.struct(objective.alias("o"), found.alias("t")), lambda r: F.when((F.size(r["t"]) > 0) | (r["o"] != ""), result("regex", r["o"], r["t"])))
+
+    def way(method: str, part: Column, meant=None) -> Column:
+        """The result of a part, null if it isn't JSON or not meant."""
+        tasks = lambda p: result(method, F.coalesce(p["currentObjective"], F.lit("")), F.coalesce(F.transform(p["plan"], whole_task), no_tasks()))
+        parsed = lambda t: let(F.from_json(t, PLANNING), lambda p: tasks(p) if meant is None else F.when(meant(p), tasks(p)))
+        return let(part, lambda t: F.when(is_json(t), parsed(t)))
+
+    planned = lambda p: p["plan"].isNotNull() | (F.coalesce(p["currentObjective"], F.lit("")) != "")
+    block, braces = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.regexp_extract(x, r"(?s)(\{.*\})", 1)
+    return F.coalesce(way("direct", x), way("code_block", block), way("json_match", braces, planned), fields, default)
+
+
+def largest_planning(x: Column) -> Column:
+    """What stands from the first brace to the last, if it is JSON with a plan or an objective."""
+    return let(F.regexp_extract(x, r"(?s)(\{.*\})", 1), lambda t: F.when(is_json(t), let(F.from_json(t, PLANNING), lambda p: F.when(p["plan"].isNotNull() | (F.coalesce(p["currentObjective"], F.lit("")) != ""), t))))
+
+
+def nested_objects(x: Column) -> Column:
+    """All that stands between a brace and the one that closes it, within others too, in the order of their ends; braces in quotes within an object don't count.
+
+    One pass over the braces and quotes, with the places of the open ones as a stack.
+    """
+    tokens = F.regexp_extract_all(x, F.lit(r'(?s)[^{}"\\]+|\\.|["{}]|\\'), F.lit(0))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.lit(False).alias("quoted"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        to, depth = s["at"] + F.length(t), F.size(s["open"])
+        closes = ~s["quoted"] & (t == "}") & (depth > 0)
+        opened = F.when(~s["quoted"] & (t == "{"), F.array_append(s["open"], s["at"])).when(closes, F.slice(s["open"], F.lit(1), depth - 1)).otherwise(s["open"])
+        span = F.struct(F.try_element_at(s["open"], depth).alias("a"), to.alias("b"))
+        return F.struct(to.alias("at"), opened.alias("open"), F.when((t == '"') & (depth > 0), ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), F.when(closes, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+
+    return F.transform(F.aggregate(tokens, start, step, lambda s: s["found"]), lambda f: F.substring(x, f["a"], f["b"] - f["a"]))
 
 
 def unfenced(x: Column) -> Column:
@@ -69,25 +93,25 @@ def fenced_object(x: Column) -> Column:
 
 def reply_json(x: Column) -> Column:
     """The JSON of a model's reply: without fences, or its first fenced object; null if neither parses."""
-    return F.coalesce(F.when(is_json(unfenced(x)), unfenced(x)), F.when(is_json(fenced_object(x)), fenced_object(x)))
+    return F.coalesce(*(let(part, lambda t: F.when(is_json(t), t)) for part in (unfenced(x), fenced_object(x))))
 
 
 def discovered(x: Column, existing: Column) -> Column:
     """Titles of a reply's discoveries; of the existing ones where the reply doesn't parse; none where it has no list of them."""
-    found = reply_json(x)
-    items = F.try_variant_get(F.try_parse_json(found), "$.discoveries", "array<variant>")
-    titles = F.transform(items, lambda v: F.try_variant_get(v, "$.title", "string"))
-    return F.when(found.isNull(), existing).otherwise(F.coalesce(titles, F.array().cast("array<string>")))
+    items = lambda found: F.try_variant_get(F.try_parse_json(found), "$.discoveries", "array<variant>")
+    titles = lambda found: F.transform(items(found), lambda v: F.try_variant_get(v, "$.title", "string"))
+    return let(reply_json(x), lambda found: F.when(found.isNull(), existing).otherwise(F.coalesce(titles(found), F.array().cast("array<string>"))))
 
 
 def reflection(x: Column, stored: Column) -> Column:
     """struct(objective, insights) of a reply; those stored where it doesn't parse; insights that are no list count as none."""
-    found = reply_json(x)
-    value = F.try_parse_json(found)
-    insights = F.coalesce(F.try_variant_get(value, "$.keyInsights", "array<string>"), F.array().cast("array<string>"))
-    parsed = F.struct(F.try_variant_get(value, "$.currentObjective", "string").alias("objective"), insights.alias("insights"))
     kept = F.struct(F.coalesce(stored["objective"], F.lit("")).alias("objective"), F.coalesce(stored["insights"], F.array().cast("array<string>")).alias("insights"))
-    return F.when(found.isNull(), kept).otherwise(parsed)
+
+    def parsed(value: Column) -> Column:
+        insights = F.coalesce(F.try_variant_get(value, "$.keyInsights", "array<string>"), F.array().cast("array<string>"))
+        return F.struct(F.try_variant_get(value, "$.currentObjective", "string").alias("objective"), insights.alias("insights"))
+
+    return let(reply_json(x), lambda found: F.when(found.isNull(), kept).otherwise(let(F.try_parse_json(found), parsed)))
 
 
 # Categories and priorities of a clarifying question.
@@ -98,11 +122,11 @@ QUESTION = "category string, question string, priority string"
 
 def question_list(x: Column) -> Column:
     """Questions of a reply, its first fenced block or the whole; none if that doesn't parse."""
-    whole = text.trim(x)
-    block = text.trim(F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)```", 1))
-    part = F.when(block != "", block).otherwise(whole)
     none = F.array().cast(f"array<struct<{QUESTION}>>")
-    return F.when(is_json(part), F.coalesce(F.from_json(part, f"questions array<struct<{QUESTION}>>")["questions"], none)).otherwise(none)
+    listed = lambda part: F.when(is_json(part), F.from_json(part, f"questions array<struct<{QUESTION}>>")["questions"])
+    block = lambda whole: text.trim(F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    part = let(text.trim(x), lambda whole: let(block(whole), lambda b: F.when(b != "", b).otherwise(whole)))
+    return F.coalesce(let(part, listed), none)
 
 
 def valid_questions(questions: Column) -> Column:
@@ -148,10 +172,13 @@ def xml_values(x: Column) -> Column:
 
 def kept_steps(steps: Column, least: int = 5, most: int = 15) -> Column:
     """Steps, cleaned, of 3 to 8 words and at most 80 characters, each once whatever its case; null unless there are `least` to `most`."""
-    clean = F.filter(F.transform(steps, text.step), lambda x: F.size(F.split(x, r"\s+")).between(3, 8) & (F.length(x) <= 80))
-    low = F.transform(clean, F.lower)
-    once = F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.when(F.size(once).between(least, most), once)
+    fits = lambda x: F.size(F.split(x, r"\s+")).between(3, 8) & (F.length(x) <= 80)
+    # in the order of their lower case the first of each stands first: no step is compared with all others
+    placed = lambda clean: F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    firsts = lambda p: F.filter(p, lambda e, k: (k == 0) | (F.get(p, k - 1)["low"] != e["low"]))
+    in_order = lambda p: F.transform(F.array_sort(F.transform(firsts(p), lambda e: F.struct(e["i"], e["x"].alias("x")))), lambda e: e["x"])
+    once = let(F.filter(F.transform(steps, text.step), fits), lambda clean: let(placed(clean), in_order))
+    return let(once, lambda o: F.when(F.size(o).between(least, most), o))
 
 
 def visible_count(steps: Column, visible: Column) -> Column:
@@ -192,11 +219,9 @@ def xelatex_preamble(tex: Column) -> Column:
 
 def front_matter(x: Column) -> tuple[Column, Column]:
     """(map of a file's leading `key: value` block between lines of ---, the trimmed text after it); an empty map without such a block."""
-    pattern = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)(.*)\z"
-    lines = F.filter(F.split(F.regexp_extract(x, pattern, 1), r"\r?\n"), lambda w: w.rlike(r"^[\w-]+\s*:"))
+    head = F.when(x.startswith("---"), F.regexp_extract(x, r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 0)).otherwise("")
+    inner = lambda h: F.regexp_extract(h, r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
     value = lambda w: F.regexp_replace(text.trim(F.regexp_extract(w, r"^[^:]*:(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2")
-    keys = F.transform(lines, lambda w: text.trim(F.split(w, ":", 2)[0]))
-    return (
-        F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: value(F.element_at(F.filter(lines, lambda w: text.trim(F.split(w, ":", 2)[0]) == k), -1)))),
-        text.trim(F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2)).otherwise(x)),
-    )
+    pairs = lambda h: F.transform(F.filter(F.split(inner(h), r"\r?\n"), lambda w: w.rlike(r"^[\w-]+\s*:")), lambda w: F.struct(text.trim(F.split(w, ":", 2)[0]).alias("k"), value(w).alias("v")))
+    last = lambda p: F.filter(p, lambda e, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda other: other["k"] == e["k"]))
+    return let(head, lambda h: F.map_from_entries(let(pairs(h), last))), let(head, lambda h: text.trim(F.substring(x, F.length(h) + 1, F.length(x))))

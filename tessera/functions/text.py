@@ -162,6 +162,11 @@ def fork_title(x: Column) -> Column:
     return F.when(bare.startswith("[Deep Research]"), bare).otherwise(F.concat(F.lit("[Deep Research] "), bare))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def step(x: Column) -> Column:
     """A plan step without bullets, number, doubled spaces and punctuation at the end."""
     bare = F.regexp_replace(F.regexp_replace(x, f"^{SPACE}*[-*•]+{SPACE}*", ""), rf"^{SPACE}*\d+[\].:)\-]?{SPACE}*", "")

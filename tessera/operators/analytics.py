@@ -67,7 +67,14 @@ def orphans(rows: DataFrame, referring: DataFrame, key: str) -> DataFrame:
     return rows.join(referring.select(key), key, "left_anti")
 
 
-def prefix_price(rows: DataFrame, key: str, path: str, routes: DataFrame, fallback: float) -> DataFrame:
-    """key, price: that of the first route (pos, route, price; a short list) that begins the row's path, or the fallback."""
-    hits = rows.join(F.broadcast(routes), F.col(path).startswith(F.col("route")), "left")
-    return hits.groupBy(key).agg(F.coalesce(F.min_by("price", "pos"), F.lit(fallback)).alias("price"))
+def prefix_price(rows: DataFrame, path: str, routes: DataFrame, fallback: float) -> DataFrame:
+    """rows with `price`: that of the first route (pos, route, price) that begins the row's path, or the fallback. Rows stay as they are, alike ones too.
+
+    A distinct path meets the routes by equality, through its beginnings of those lengths that routes have (as many numbers as there are lengths);
+    neither side need be small. An empty route begins every path; a null path has none.
+    """
+    lengths = sorted(r[0] for r in routes.select(F.length("route")).distinct().collect() if r[0] is not None)
+    paths = rows.select(F.col(path).alias("__path")).filter("__path is not null").distinct()
+    parts = F.filter(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.when(n <= F.length("__path"), F.substring(F.col("__path"), F.lit(1), n))), lambda x: x.isNotNull())
+    first = paths.select("__path", F.explode(parts).alias("route")).join(routes.select("route", "pos", F.col("price").alias("__price")), "route").groupBy("__path").agg(F.min_by("__price", "pos").alias("price"))
+    return rows.join(first, F.col(path) == F.col("__path"), "left").drop("__path").withColumn("price", F.coalesce("price", F.lit(fallback)))

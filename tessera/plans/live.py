@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql
-from tessera.sources import readers
+from tessera.sources import loading, readers, versions
 from tessera.sources.bindings import TOKEN_USAGE, owners, table, token_usage
 from tessera.streaming import expiry
 
@@ -92,3 +92,29 @@ def file_updates(events):
 def e11_sweep(s, d):
     """A stream over the events, with a timer for each user's next file to end."""
     return expiry.run_through(s, expiry.swept_stream(file_updates(streamed(s, d, "events")), 720), readers.scratch(s))[0]
+
+
+# --- writes that reach storage ---------------------------------------------------------------------------------------
+FITS = 60_000
+
+
+@query("W17_failing_batches", f"""WITH b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch, text IS NULL OR length(text) > {FITS} AS bad FROM documents)
+  SELECT batch, count(*) AS n, CASE WHEN bool_or(bad) THEN 'failed' ELSE 'loaded' END AS status, max(CASE WHEN bad THEN 'ValueError' END) AS error FROM b GROUP BY 1""")
+def w17_failing(s, d):
+    """Documents go in by batches; a batch with a text that is too long fails, and the others are there."""
+    report = loading.load(table(s, d, "documents").select("doc_id", "text"), "doc_id", readers.scratch(s), loading.embeddable(FITS))
+    return report.select("batch", "n", "status", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+@query("W4_copy_on_write", """WITH u AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey <= 20 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey NOT BETWEEN 31 AND 35)
+  SELECT * FROM u UNION ALL SELECT o_orderkey + 1000000000, 1, 'N' FROM orders WHERE o_custkey = 1""")
+def w4_stored(s, d):
+    """Updates and deletes by key, and inserts of what isn't there, as versions of a stored table, read back."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    stored = versions.Table(s, readers.scratch(s))
+    stored.create(orders.repartitionByRange("o_custkey"))
+    stored.update_by_key(orders.filter("o_custkey <= 20").select("o_orderkey", F.lit("X").alias("o_orderstatus")), "o_orderkey")
+    stored.delete_by_key(orders.filter("o_custkey between 31 and 35"), "o_orderkey")
+    more = orders.filter("o_custkey = 1").select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"))
+    stored.upsert_ignore(more.unionByName(orders.filter("o_custkey <= 20")), "o_orderkey")
+    return stored.read()

@@ -59,11 +59,22 @@ def y4(s, d):
     return r.select("event_id", (F.col("i") + 1).alias("place"), "t.type", "t.objective", "t.level")
 
 
-@query("K9_longest_json", replies_sql("plan") + r""" SELECT event_id, c FROM (SELECT event_id, c, row_number() OVER (PARTITION BY event_id ORDER BY length(c) DESC, c) AS n FROM (SELECT event_id, unnest(regexp_extract_all(x, '\{[^{}]*\}')) AS c FROM a) WHERE json_valid(c)) WHERE n = 1""")
+@query("K9_longest_json", replies_sql("plan") + f""" SELECT event_id, {BRACES} AS c FROM a WHERE {VALID.format(BRACES)} AND (json_exists({BRACES}, '$.plan') OR coalesce(json_extract_string({BRACES}, '$.currentObjective'), '') <> '')""")
 def k9(s, d):
-    parts = F.filter(F.regexp_extract_all("x", F.lit(r"\{[^{}]*\}"), F.lit(0)), references.is_json)
-    ordered = F.array_sort(F.transform(parts, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c"))))
-    return replies(s, d, "plan").select("event_id", F.try_element_at(ordered, F.lit(1))["c"].alias("c")).filter("c is not null")
+    return replies(s, d, "plan").select("event_id", state.largest_planning(F.col("x")).alias("c")).filter("c is not null")
+
+
+# two replies in one, so that what stands from the first brace to the last is no JSON, with a brace in quotes
+TWICE = """'first ' || x || ' or {not ' || chr(10) || '{"again": {"plan": "a } b ' || user_id || '"}}'"""
+
+
+@query("K9_nested_objects", replies_sql("plan") + rf""", t AS (SELECT event_id, {TWICE} AS x FROM a), o AS (SELECT event_id, x, unnest(list_filter(range(1, length(x) + 1), lambda i: x[i] = '{{')) AS i FROM t),
+  c AS (SELECT event_id, substr(x, i, j - i + 1) AS c FROM (SELECT *, unnest(list_filter(range(i, length(x) + 1), lambda j: x[j] = '}}')) AS j FROM o))
+  SELECT DISTINCT event_id, c FROM c WHERE json_valid(c)""")
+def k9_nested(s, d):
+    """Every object in a reply that is JSON by itself; the SQL tries each brace with each later one."""
+    rows = replies(s, d, "plan").selectExpr("event_id", f"{TWICE} AS x")
+    return rows.select("event_id", F.explode(state.nested_objects(F.col("x"))).alias("c")).filter(references.is_json(F.col("c"))).distinct()
 
 
 UNFENCED = r"trim(regexp_replace(regexp_replace(x, '```json\n?', ''), '\n?```$', ''), ' ' || chr(10))"
