@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 #: Characters that a trim takes off: ASCII and Unicode white space, and the byte order mark.
 SPACE = r"[\s   -     　﻿]"
+#: The same one by one.
+SPACES = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def normalize_doi(x: Column) -> Column:
