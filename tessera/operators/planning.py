@@ -20,21 +20,27 @@ def valid_job_id(x: Column) -> Column:
     return x.isNotNull() & (x != "") & ~text.trim(x).isin("N/A", "undefined", "null", "")
 
 
-def allowed_tasks(evidence: DataFrame, tasks: DataFrame) -> DataFrame:
+def allowed_tasks(evidence: DataFrame, tasks: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """evidence (plan_id, discovery, cited) -> plan_id, discovery, pos of the tasks that it may draw on.
 
-    A cited id that is none brings in all tasks not cited yet; a discovery left without a task draws on all.
+    own (plan_id, discovery, job_id): a discovery's own job, which counts as cited where its evidence cites none that is valid, or where it has no evidence.
+    A cited id that is none brings in all tasks not cited yet; a discovery left without a task draws on all. tasks is read several times.
     """
-    cited = evidence.select("plan_id", "discovery", "cited").withColumn("ok", valid_job_id(F.col("cited")))
-    found = cited.filter("ok").join(task_index(tasks).withColumnRenamed("k", "cited"), ["plan_id", "cited"]).select("plan_id", "discovery", "pos")
-    some = found.groupBy("plan_id", "discovery").agg(F.count(F.lit(1)).alias("n"))
-    open_ones = cited.groupBy("plan_id", "discovery").agg(F.bool_or(~F.col("ok")).alias("bad")).join(some, ["plan_id", "discovery"], "left").filter("bad or n is null")
+    key = ["plan_id", "discovery"]
+    cited = evidence.select(*key, "cited").withColumn("ok", valid_job_id(F.col("cited")))
+    every = cited.groupBy(*key).agg(F.bool_or("ok").alias("some"), F.bool_or(~F.col("ok")).alias("bad"))
+    if own is not None:
+        every = every.join(own, key, "full").select(*key, "some", "bad", F.when(~F.coalesce("some", F.lit(False)) & (F.col("job_id") != ""), F.col("job_id")).alias("own"))
+        cited = cited.unionByName(every.filter("own is not null").select(*key, F.col("own").alias("cited"), valid_job_id(F.col("own")).alias("ok")))
+        every = every.withColumn("bad", F.coalesce("bad", F.lit(False)) | (F.col("own").isNotNull() & ~valid_job_id(F.col("own"))))
+    found = cited.filter("ok").join(task_index(tasks).withColumnRenamed("k", "cited"), ["plan_id", "cited"]).select(*key, "pos")
+    some = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    open_ones = every.join(some, key, "left").filter("bad or n is null")
     # what is taken already goes by its job id, or else its id
-    taken = found.join(tasks.select("plan_id", "pos", F.coalesce("job_id", "id").alias("k")), ["plan_id", "pos"]).select("plan_id", "discovery", "k")
-    rest = open_ones.select("plan_id", "discovery").join(tasks.select("plan_id", "pos", F.explode(F.array_compact(F.array("job_id", "id"))).alias("k")), "plan_id")
-    known = rest.join(taken, ["plan_id", "discovery", "k"], "left_semi").select("plan_id", "discovery", "pos")
-    added = rest.select("plan_id", "discovery", "pos").distinct().join(known, ["plan_id", "discovery", "pos"], "left_anti")
-    return found.unionByName(added)
+    taken = found.join(tasks.select("plan_id", "pos", F.coalesce("job_id", "id").alias("k")), ["plan_id", "pos"]).select(*key, "k")
+    rest = open_ones.select(*key).join(tasks.select("plan_id", "pos", F.array_compact(F.array("job_id", "id")).alias("ks")), "plan_id")
+    known = rest.select(*key, "pos", F.explode("ks").alias("k")).join(taken, [*key, "k"], "left_semi").select(*key, "pos")
+    return found.unionByName(rest.select(*key, "pos").join(known, [*key, "pos"], "left_anti"))
 
 
 def evidence_tasks(allowed: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -52,12 +58,17 @@ def with_artifacts(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def repaired_paths(said: DataFrame, known: DataFrame) -> DataFrame:
-    """said (task_key, name, path, ...): the path of the known artifact of that name, or of the path's last part; the last one wins."""
-    by_name = known.filter("name is not null").select("task_key", F.col("name").alias("key"), "path", (F.col("art_no") * 2).alias("order"))
-    by_path = known.filter("path is not null").select("task_key", text.basename(F.col("path")).alias("key"), "path", (F.col("art_no") * 2 + 1).alias("order"))
-    index = by_name.unionByName(by_path).groupBy("task_key", "key").agg(F.max_by("path", "order").alias("good"))
-    named, placed = index.select("task_key", F.col("key").alias("name"), F.col("good").alias("by_name")), index.select("task_key", F.col("key").alias("last"), F.col("good").alias("by_path"))
-    return said.withColumn("last", text.basename(F.col("path"))).join(named, ["task_key", "name"], "left").join(placed, ["task_key", "last"], "left").withColumn("path", F.coalesce("by_name", "by_path", "path"))
+    """said (plan_id, name, path, ...): the path of the plan's artifact of that name, or else of its own path's last part.
+
+    known (plan_id, pos, art_no, name, path): artifacts of all tasks of a plan. A name, and then the last part of its path, is the key of an artifact, and the
+    last one in the order of tasks and artifacts has it, whichever of both it is. Where that one has no path, the key finds nothing.
+    """
+    last = text.basename(F.col("path"))
+    keys = F.array_compact(F.array(F.when(F.col("name") != "", F.struct(F.lit(0).alias("kind"), F.col("name").alias("key"))), F.when(last != "", F.struct(F.lit(1).alias("kind"), last.alias("key")))))
+    placed = known.select("plan_id", "path", "pos", "art_no", F.explode(keys).alias("k"))
+    index = placed.groupBy("plan_id", F.col("k.key").alias("key")).agg(F.max_by("path", F.struct("pos", "art_no", "k.kind")).alias("good")).filter("good <> ''")
+    named, ended = index.select("plan_id", F.col("key").alias("name"), F.col("good").alias("by_name")), index.select("plan_id", F.col("key").alias("last"), F.col("good").alias("by_path"))
+    return said.withColumn("last", last).join(named, ["plan_id", "name"], "left").join(ended, ["plan_id", "last"], "left").withColumn("path", F.coalesce("by_name", "by_path", "path")).drop("by_name", "by_path", "last")
 
 
 def promoted(plan: DataFrame, suggested: DataFrame) -> DataFrame:

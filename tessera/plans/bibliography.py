@@ -215,16 +215,18 @@ def g6(s, d):
     return view(s, d, "reports").join(keys, "page_id", "left").select("page_id", cited.alias("cited"))
 
 
-@query("J14_source_metadata", r"""WITH s AS (SELECT url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '#.*$', '') || '#again' END AS url FROM pages),
-  k AS (SELECT url AS key, title, url, 0 AS near FROM s UNION ALL SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '/$', ''), title, url, 1 FROM s WHERE NOT contains(url, '?')),
-  j AS (SELECT page_id, c.url AS cited, k.title, k.url, row_number() OVER (PARTITION BY page_id ORDER BY (k.key IS NULL), (k.key <> c.url)::INT, k.url) AS r FROM c LEFT JOIN k ON k.key = c.url OR (NOT contains(c.url, '?') AND k.key = regexp_replace(regexp_replace(c.url, '#.*$', ''), '/$', '')))
-  SELECT page_id, coalesce(title, '') AS title, coalesce(url, cited) AS url FROM j WHERE r = 1 AND NOT contains(cited, '?')""")
+@query("J14_source_metadata", r"""WITH s AS (SELECT url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '#.*$', '') || '#again' END AS cited FROM pages),
+  u AS (SELECT url, regexp_replace(url, '#.*$', '') AS bare FROM (SELECT url FROM s UNION SELECT cited FROM c)), q AS (SELECT url, regexp_extract(bare, '^([^?]*)', 1) AS path, regexp_extract(bare, '\?(.*)$', 1) AS query FROM u),
+  r AS (SELECT url, query, CASE WHEN regexp_matches(path, '^https?://[^/]+$') THEN path || '/' WHEN regexp_matches(path, '^https?://[^/]+/$') THEN path ELSE regexp_replace(path, '/$', '') END AS path FROM q),
+  n AS (SELECT url, path || CASE WHEN query = '' THEN '' ELSE '?' || (SELECT string_agg(x, '&' ORDER BY split_part(x, '=', 1), i) FROM (SELECT unnest(string_split(query, '&')) AS x, generate_subscripts(string_split(query, '&'), 1) AS i)) END AS normal FROM r),
+  k AS (SELECT url AS key, FALSE AS other, url, title FROM s UNION ALL SELECT normal, normal <> url, url, title FROM s JOIN n USING (url)), b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY other, url, title) = 1)
+  SELECT page_id, coalesce(x.title, y.title, '') AS title, coalesce(x.url, y.url, cited) AS url FROM c LEFT JOIN b x ON x.key = cited LEFT JOIN n ON n.url = cited LEFT JOIN b y ON y.key = n.normal""")
 def j14(s, d):
     p = table(s, d, "pages")
     cited = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")))
     known = p.select(F.explode(F.array(F.struct(F.col("url").alias("key")), F.struct(text.normal_url(F.col("url")).alias("key")))).alias("k"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).select("k.key", "url", "title")
     known = known.groupBy("key").agg(F.min(F.struct((F.col("key") != F.col("url")).alias("other"), "url", "title")).alias("source"))
-    rows = p.select("page_id", cited.alias("cited")).filter(~F.col("cited").contains("?"))
+    rows = p.select("page_id", cited.alias("cited"))
     raw, normal = known.select(F.col("key").alias("cited"), F.col("source").alias("raw")), known.select(F.col("key").alias("normal"), F.col("source").alias("by_normal"))
     found = rows.join(raw, "cited", "left").withColumn("normal", text.normal_url(F.col("cited"))).join(normal, "normal", "left").withColumn("source", F.coalesce("raw", "by_normal"))
     return found.select("page_id", F.coalesce("source.title", F.lit("")).alias("title"), F.coalesce("source.url", "cited").alias("url"))

@@ -9,7 +9,7 @@ from tessera.functions import references, text
 from tessera.operators import keyed
 from tessera.sources.bindings import table
 
-from .catalog import query, text_query
+from .catalog import HTML_TEXT, query, text_query
 
 
 # --- readers ---------------------------------------------------------------------------------------------------------
@@ -71,14 +71,14 @@ def y14(s, d):
 
 # --- citations and Markdown ------------------------------------------------------------------------------------------
 # a page's line with citations of its own address, of one that repeats within it, and of none
-MARKED = r"""WITH m AS (SELECT page_id, '[' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ']{' || url || ', https://x.org/' || (page_id % 7) || '} and []{} ' || regexp_extract(html, '<p>([^<]*)', 1) || ' [none]{ , } then [beta]{https://x.org/' || (page_id % 7) || '}.' AS line FROM pages),
+MARKED = r"""WITH m AS (SELECT page_id, '[' || regexp_extract(html, '<title>([^<]*)</title>', 1) || ']{' || url || ', https://x.org/' || (page_id % 7) || '} and []{} ' || """ + HTML_TEXT + r""" || ' [none]{ , } then [beta]{https://x.org/' || (page_id % 7) || '}.' AS line FROM pages),
   a AS (SELECT page_id, unnest(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 1)) AS cited, unnest(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 2)) AS listed, generate_subscripts(regexp_extract_all(line, '\[([^\]]*)\]\{([^\}]*)\}', 1), 1) AS i FROM m),
   u AS (SELECT *, list_filter(list_transform(string_split(listed, ','), lambda x: trim(x)), lambda x: x <> '') AS urls FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS index FROM u WHERE len(urls) > 0) """
 
 
 def marked_lines(s, d):
     x = F.concat(F.lit("https://x.org/"), (F.col("page_id") % 7).cast("string"))
-    title, first = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "<p>([^<]*)", 1)
+    title, first = F.regexp_extract("html", "<title>([^<]*)</title>", 1), text.html_text(F.col("html"))
     line = F.concat(F.lit("["), title, F.lit("]{"), "url", F.lit(", "), x, F.lit("} and []{} "), first, F.lit(" [none]{ , } then [beta]{"), x, F.lit("}."))
     return table(s, d, "pages").select("page_id", line.alias("line"))
 
@@ -100,13 +100,13 @@ def a12(s, d):
 
 
 # words of a page's text as citation keys: the first one known, the second not
-KEYED = r"""WITH w AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<p>([^<]*)', 1), '[A-Za-z]+') AS w, regexp_extract(html, '<p>([^<]*)', 1) AS p FROM pages), k AS (SELECT page_id, coalesce(w[1], 'a') AS a, coalesce(w[2], 'b') AS b, p FROM w) """
+KEYED = r"""WITH h AS (SELECT page_id, """ + HTML_TEXT + r""" AS p FROM pages), w AS (SELECT page_id, regexp_extract_all(p, '[A-Za-z]+') AS w, p FROM h), k AS (SELECT page_id, coalesce(w[1], 'a') AS a, coalesce(w[2], 'b') AS b, p FROM w) """
 
 
 @query("G7_unknown_citations", KEYED + "SELECT page_id, 'A [@' || a || '] b ' || CASE WHEN b = a THEN '[-@' || a || '; see p. 3; @' || a || ']' ELSE '[-@' || a || '; see p. 3]' END || ' c ' || CASE WHEN b = a THEN '[@' || a || ']' ELSE '' END || ' ' || replace(p, '@', '') AS kept FROM k")
 def g7(s, d):
-    words = F.regexp_extract_all(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("[A-Za-z]+"), F.lit(0))
-    rows = table(s, d, "pages").select("page_id", F.coalesce(F.get(words, F.lit(0)), F.lit("a")).alias("a"), F.coalesce(F.get(words, F.lit(1)), F.lit("b")).alias("b"), F.replace(F.regexp_extract("html", "<p>([^<]*)", 1), F.lit("@"), F.lit("")).alias("p"))
+    words = F.regexp_extract_all("p", F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(s, d, "pages").select("page_id", text.html_text(F.col("html")).alias("p")).select("page_id", F.coalesce(F.get(words, F.lit(0)), F.lit("a")).alias("a"), F.coalesce(F.get(words, F.lit(1)), F.lit("b")).alias("b"), F.replace("p", F.lit("@"), F.lit("")).alias("p"))
     line = F.concat(F.lit("A [@"), "a", F.lit("] b [-@"), "a", F.lit("; see p. 3; @"), "b", F.lit("] c [@"), "b", F.lit("] "), "p")
     return rows.select("page_id", references.known_citations(line, F.array("a")).alias("kept"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import references, state, text
 from tessera.operators import keyed, planning
+from tessera.sources import readers
 from tessera.sources.bindings import table, view, with_views
 
 from .catalog import query
@@ -131,29 +132,37 @@ def y8(s, d):
 
 
 # --- tasks and evidence ----------------------------------------------------------------------------------------------
-TASKS, ARTIFACTS, EVIDENCE = with_views("tasks"), with_views("tasks", "artifacts"), with_views("evidence")
+TASKS, ARTIFACTS, EVIDENCE = with_views("tasks"), with_views("tasks", "artifacts"), with_views("evidence", "discoveries")
 INDEX = """, ix AS (SELECT plan_id, k, max_by(pos, pos) AS pos FROM (SELECT plan_id, job_id AS k, pos FROM tasks WHERE job_id IS NOT NULL UNION ALL SELECT plan_id, id, pos FROM tasks) GROUP BY 1, 2)"""
-ALLOWED = EVIDENCE + INDEX + """, v AS (SELECT *, trim(cited) IN ('N/A', 'undefined', 'null', '') AS bad FROM evidence), g AS (SELECT plan_id, discovery, bool_or(bad) AS bad FROM v GROUP BY 1, 2),
+ALLOWED = EVIDENCE + INDEX + """, e AS (SELECT plan_id, discovery, cited, trim(cited) IN ('N/A', 'undefined', 'null', '') AS bad FROM evidence), h AS (SELECT plan_id, discovery, bool_or(NOT bad) AS usable, bool_or(bad) AS bad FROM e GROUP BY 1, 2),
+  o AS (SELECT plan_id, discovery, h.bad, CASE WHEN NOT coalesce(usable, FALSE) AND job_id <> '' THEN job_id END AS own FROM h FULL JOIN discoveries USING (plan_id, discovery)),
+  v AS (SELECT * FROM e UNION ALL SELECT plan_id, discovery, own, trim(own) IN ('N/A', 'undefined', 'null', '') FROM o WHERE own IS NOT NULL), g AS (SELECT plan_id, discovery, coalesce(bad, FALSE) OR coalesce(trim(own) IN ('N/A', 'undefined', 'null', ''), FALSE) AS bad FROM o),
   f AS (SELECT v.plan_id, v.discovery, ix.pos FROM v JOIN ix ON ix.plan_id = v.plan_id AND ix.k = v.cited WHERE NOT v.bad), n AS (SELECT plan_id, discovery, count(*) AS n FROM f GROUP BY 1, 2),
   al AS (SELECT * FROM f UNION ALL SELECT g.plan_id, g.discovery, t.pos FROM g LEFT JOIN n USING (plan_id, discovery) JOIN tasks t ON t.plan_id = g.plan_id WHERE n.n IS NULL OR (g.bad AND NOT EXISTS (
   SELECT 1 FROM f JOIN tasks x ON x.plan_id = f.plan_id AND x.pos = f.pos WHERE f.plan_id = g.plan_id AND f.discovery = g.discovery AND (coalesce(x.job_id, x.id) = t.job_id OR coalesce(x.job_id, x.id) = t.id))))"""
 
 
+def allowed(s, d) -> tuple[DataFrame, DataFrame]:
+    """(tasks, what discoveries may draw on); the tasks are numbered once and written, as several steps read them."""
+    tasks = readers.kept(view(s, d, "tasks"))
+    return tasks, planning.allowed_tasks(view(s, d, "evidence", tasks=tasks), tasks, view(s, d, "discoveries", tasks=tasks))
+
+
 @query("J10_evidence_tasks", ALLOWED + " SELECT plan_id, discovery, pos FROM al")
 def j10(s, d):
-    return planning.allowed_tasks(view(s, d, "evidence"), view(s, d, "tasks")).select("plan_id", "discovery", "pos")
+    return allowed(s, d)[1].select("plan_id", "discovery", "pos")
 
 
 @query("G18_evidence_expansion", ALLOWED + ", k AS (SELECT DISTINCT al.plan_id, unnest([t.job_id, t.id]) AS k FROM al JOIN tasks t ON t.plan_id = al.plan_id AND t.pos = al.pos) SELECT ix.plan_id, ix.k, ix.pos FROM k JOIN ix ON ix.plan_id = k.plan_id AND ix.k = k.k")
 def g18(s, d):
-    tasks = view(s, d, "tasks")
-    return planning.evidence_tasks(planning.allowed_tasks(view(s, d, "evidence"), tasks), tasks).select("plan_id", "k", "pos")
+    tasks, drawn = allowed(s, d)
+    return planning.evidence_tasks(drawn, tasks).select("plan_id", "k", "pos")
 
 
 @query("A14_output_chars", ALLOWED + " SELECT al.plan_id, al.discovery, sum(length(coalesce(output, '')))::BIGINT AS chars FROM al JOIN tasks t ON t.plan_id = al.plan_id AND t.pos = al.pos GROUP BY 1, 2")
 def a14(s, d):
-    tasks = view(s, d, "tasks")
-    taken = planning.allowed_tasks(view(s, d, "evidence"), tasks).join(tasks.select("plan_id", "pos", "output"), ["plan_id", "pos"])
+    tasks, drawn = allowed(s, d)
+    taken = drawn.join(tasks.select("plan_id", "pos", "output"), ["plan_id", "pos"])
     return taken.groupBy("plan_id", "discovery").agg(F.sum(F.length(F.coalesce("output", F.lit("")))).alias("chars"))
 
 
@@ -181,12 +190,13 @@ def j8(s, d):
     return wanted.join(known, "id", "left").select("task_key", "n", F.coalesce("known", F.concat(F.lit("uploads/"), "filename")).alias("path"))
 
 
-@query("J11_repaired_paths", ARTIFACTS + r""", k AS (SELECT task_key, key, arg_max_null(path, art_no * 2 + b) AS path FROM (SELECT task_key, name AS key, path, art_no, 0 AS b FROM artifacts WHERE name IS NOT NULL UNION ALL SELECT task_key, list_extract(string_split(path, '/'), -1), path, art_no, 1 FROM artifacts WHERE path IS NOT NULL) GROUP BY 1, 2),
-  w AS (SELECT task_key, art_no, CASE WHEN art_no % 2 = 0 THEN name END AS name, '/home/user/' || coalesce(list_extract(string_split(path, '/'), -1), 'gone.png') AS path FROM artifacts)
-  SELECT w.task_key, w.art_no, coalesce(a.path, b.path, w.path) AS path FROM w LEFT JOIN k a ON a.task_key = w.task_key AND a.key = w.name LEFT JOIN k b ON b.task_key = w.task_key AND b.key = list_extract(string_split(w.path, '/'), -1)""")
+@query("J11_repaired_paths", ARTIFACTS + r""", a AS (SELECT t.plan_id, t.pos, a.* FROM artifacts a JOIN tasks t USING (task_key)), last AS (SELECT *, list_extract(string_split(path, '/'), -1) AS base FROM a),
+  k AS (SELECT plan_id, key, arg_max_null(path, (pos, art_no, b)) AS path FROM (SELECT plan_id, name AS key, path, pos, art_no, 0 AS b FROM last WHERE name <> '' UNION ALL SELECT plan_id, base, path, pos, art_no, 1 FROM last WHERE base <> '') GROUP BY 1, 2),
+  w AS (SELECT plan_id, task_key, art_no, CASE WHEN art_no % 2 = 0 THEN name END AS name, '/home/user/' || coalesce(base, 'gone.png') AS path, coalesce(base, 'gone.png') AS base FROM last)
+  SELECT w.task_key, w.art_no, coalesce(nullif(a.path, ''), nullif(b.path, ''), w.path) AS path FROM w LEFT JOIN k a ON a.plan_id = w.plan_id AND a.key = w.name LEFT JOIN k b ON b.plan_id = w.plan_id AND b.key = w.base""")
 def j11(s, d):
-    known = view(s, d, "artifacts")
-    said = known.select("task_key", "art_no", F.when(F.col("art_no") % 2 == 0, F.col("name")).alias("name"), F.concat(F.lit("/home/user/"), F.coalesce(text.basename(F.col("path")), F.lit("gone.png"))).alias("path"))
+    known = view(s, d, "artifacts").join(view(s, d, "tasks").select("task_key", "plan_id", "pos"), "task_key")
+    said = known.select("plan_id", "task_key", "art_no", F.when(F.col("art_no") % 2 == 0, F.col("name")).alias("name"), F.concat(F.lit("/home/user/"), F.coalesce(text.basename(F.col("path")), F.lit("gone.png"))).alias("path"))
     return planning.repaired_paths(said, known).select("task_key", "art_no", "path")
 
 

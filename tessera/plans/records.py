@@ -11,7 +11,7 @@ from tessera.sources.bindings import PAYMENTS, TOKEN_USAGE, owners, payments, ta
 from tessera.streaming import events as feeds
 from tessera.streaming import limits
 
-from .catalog import AS_OF, query
+from .catalog import AS_OF, HTML_TEXT, query
 
 # --- writes ----------------------------------------------------------------------------------------------------------
 @query("W1_insert_one", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT max(r_regionkey) + 1, 'NEW' FROM region")
@@ -99,12 +99,12 @@ def w17(s, d):
     return loaded.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("W19_markdown", with_views("reports") + r""", b AS (SELECT p.page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<p>([^<]*)', 1) AS abstract, body FROM pages p JOIN reports USING (page_id))
+@query("W19_markdown", with_views("reports") + r""", b AS (SELECT p.page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, """ + HTML_TEXT + r""" AS abstract, body FROM pages p JOIN reports USING (page_id))
   SELECT page_id, '---' || chr(10) || 'title: |' || chr(10) || '  ' || title || chr(10) || 'author: "A \"B\" C"' || chr(10) || 'abstract: |' || chr(10) || '  ' || replace(abstract, chr(10), chr(10) || '  ') || chr(10) || 'bibliography: refs.bib' || chr(10) || 'biblio-style: unsrtnat' || chr(10) || 'natbiboptions: numbers' || chr(10) || 'header-includes: |' || chr(10) ||
   '  \usepackage{amsmath}' || chr(10) || '  \usepackage{amssymb}' || chr(10) || '  \usepackage{graphicx}' || chr(10) || '  \usepackage{booktabs}' || chr(10) || '---' || chr(10) || chr(10) || '# Research Snapshot' || chr(10) || chr(10) || abstract || chr(10) || chr(10) || '# Background' || chr(10) || chr(10) || body ||
   CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || '# Key Insights' || chr(10) || chr(10) || '- ' || title || chr(10) || '- b' ELSE '' END || chr(10) || chr(10) || '## One' || chr(10) AS document FROM b""")
 def w19(s, d):
-    p = table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]*)", 1).alias("abstract"))
+    p = table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), text.html_text(F.col("html")).alias("abstract"))
     insights = F.when(F.col("page_id") % 2 == 0, F.array("title", F.lit("b"))).otherwise(F.array().cast("array<string>"))
     document = references.paper(F.col("title"), F.lit('A "B" C'), F.col("abstract"), F.col("abstract"), F.col("body"), insights, F.lit(None).cast("string"), F.array(F.lit("## One")), "refs.bib")
     return p.join(view(s, d, "reports"), "page_id").select("page_id", document.alias("document"))

@@ -91,6 +91,9 @@ VIEWS = {
         CASE WHEN l_linestatus = 'F' THEN 'FILE' ELSE 'FOLDER' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS art_no FROM {lineitem}) u) t""",
     # what a plan's discoveries cite: jobs, tasks, placeholders and jobs of no plan
     "evidence": """SELECT plan_id, CAST(pos % 3 AS INT) AS discovery, pos, CASE pos % 5 WHEN 1 THEN id WHEN 3 THEN 'job-of-nobody' ELSE coalesce(job_id, id) END AS cited FROM {tasks}""",
+    # a discovery's own job: valid, a placeholder or none; the last of a plan has no evidence
+    "discoveries": """SELECT plan_id, discovery, CASE pos % 4 WHEN 0 THEN own WHEN 1 THEN 'undefined' WHEN 2 THEN '' END AS job_id FROM (SELECT plan_id, CAST(pos % 3 AS INT) AS discovery, min(pos) AS pos, max(job_id) AS own FROM {tasks} GROUP BY 1, 2) d
+        UNION ALL SELECT plan_id, 9, CASE plan_id % 3 WHEN 0 THEN max(job_id) WHEN 1 THEN 'N/A' END FROM {tasks} GROUP BY plan_id""",
     "messages": """SELECT q.conv_id, q.turn, q.text AS question, a.text AS content FROM {conversations} q JOIN {conversations} a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
     "files": """SELECT page_id, regexp_extract(url, '([^/?#]*)[^/]*$', 1) || CASE page_id % 12 WHEN 0 THEN '.csv' WHEN 1 THEN '.pdf' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.PNG' WHEN 4 THEN '.md' WHEN 5 THEN '.bin' WHEN 6 THEN '.docx' WHEN 7 THEN '.gif' WHEN 8 THEN '.json' WHEN 9 THEN '.txt'
         WHEN 10 THEN '.jpeg' ELSE '' END AS name, CASE page_id % 7 WHEN 0 THEN 'text/csv; charset=utf-8' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime,
@@ -98,10 +101,10 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of VIEWS over the given tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view of VIEWS over the given tables. given: views that are there already, such as a written one that several others read."""
     used = set(re.findall(r"{(\w+)}", VIEWS[name]))
-    frames = {t: view(spark, sf_dir, t) if t in VIEWS else table(spark, sf_dir, t) for t in used}
+    frames = {t: given[t] if t in given else view(spark, sf_dir, t, **given) if t in VIEWS else table(spark, sf_dir, t) for t in used}
     return spark.sql(VIEWS[name], **frames)
 
 

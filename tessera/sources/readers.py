@@ -23,6 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows written to a folder of their own and read from there, so that what reads them several times works them out once."""
+    folder = scratch(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def scanned(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, modificationTime, length, content of the files below a folder, subfolders included, whose name fits the pattern."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
