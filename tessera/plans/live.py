@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import sql
 from tessera.sources import loading, readers, versions
 from tessera.sources.bindings import TOKEN_USAGE, owners, table, token_usage
-from tessera.streaming import expiry
+from tessera.streaming import expiry, scans
 
 from .catalog import AS_OF, query, usd
 from .records import LEASES, lease_events
@@ -118,3 +118,49 @@ def w4_stored(s, d):
     more = orders.filter("o_custkey = 1").select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"))
     stored.upsert_ignore(more.unionByName(orders.filter("o_custkey <= 20")), "o_orderkey")
     return stored.read()
+
+
+@query("S2_incremental_scan", r"""SELECT lang, source, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS line, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def s2_incremental(s, d):
+    """The documents as text files in nested folders, scanned twice: once with one language there, and again when the others and a file in another encoding have come."""
+    folder, store = readers.scratch(s), readers.scratch(s)
+    line = F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
+    rows = table(s, d, "documents").filter("text is not null").select("lang", "source", line)
+    rows.filter("lang = 'en'").write.partitionBy("lang", "source").text(folder)
+    scans.scan_new(s, folder, store, "*.txt")
+    taken = readers.kept(scans.texts(s, store).select("path"))
+    rows.filter("lang <> 'en'").write.mode("append").partitionBy("lang", "source").text(folder)
+    table(s, d, "nation").select("n_name").write.option("encoding", "UTF-16").csv(f"{folder}/other")
+    scans.scan_new(s, folder, store, "*.{txt,csv}")
+    found = scans.texts(s, store).join(taken.withColumn("early", F.lit(1)), "path", "left")
+    lines = found.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.coalesce("early", F.lit(2)).alias("run"), F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("lang", "source", F.md5("line").alias("line"), "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+# props within an object within an array, with empty ones, an escaped quote and a number at each level; text that Spark and DuckDB build alike
+NESTED = """'{"b": [' || event_id || ', {"props": ' || props || ', "none": {}, "empty": [ ]}, "a' || chr(92) || '"{:,", [[' || user_id || ']]], "a" :' || CASE event_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '-1.5e3' ELSE '"x, y"' END || '}'"""
+LAID_OUT = """{
+  "b": [
+    <event>,
+    {
+      "props": {
+        "k": <k>
+      },
+      "none": {},
+      "empty": []
+    },
+    "a\\"{:,",
+    [
+      [
+        <user>
+      ]
+    ]
+  ],
+  "a": <a>
+}"""
+
+
+@query("S10_nested_json", f"""SELECT event_id, replace(replace(replace(replace('{LAID_OUT}', '<event>', event_id::VARCHAR), '<k>', json_extract_string(props, '$.k')), '<user>', user_id::VARCHAR),
+  '<a>', CASE event_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '-1.5e3' ELSE '"x, y"' END) AS text FROM events""")
+def s10_nested(s, d):
+    return table(s, d, "events").selectExpr("event_id", f"{NESTED} AS x").select("event_id", readers.indented_json(F.col("x")).alias("text"))

@@ -64,14 +64,44 @@ def json_kind(x: Column) -> Column:
     )
 
 
+#: Steps that a running sum takes at a time.
+BLOCK = 128
+
+
+def running_sums(x: Column) -> Column:
+    """For each number of an array the sum up to it. Sums go by blocks of BLOCK, so that a long array isn't copied for each of its numbers."""
+    def up_to(part: Column, start: Column) -> Column:
+        begun = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begun, lambda a, v: F.struct((a["s"] + v).alias("s"), F.array_append(a["out"], a["s"] + v).alias("out")), lambda a: a["out"])
+
+    zero = F.lit(0).cast("int")
+    total = lambda part: F.aggregate(part, zero, lambda a, v: a + v)
+    parts = F.when(F.size(x) == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(BLOCK)), lambda i: F.slice(x, i + 1, F.lit(BLOCK))))
+    sums = lambda p: F.zip_with(p, F.concat(F.array(zero), up_to(F.transform(p, total), zero)), lambda part, before: F.when(part.isNotNull(), up_to(part, before)))
+    return text.let(parts, lambda p: F.flatten(F.array_compact(sums(p))))
+
+
 def indented_json(x: Column) -> Column:
-    """JSON over lines, two spaces a level, for values and for objects and arrays of plain values."""
-    value = F.try_parse_json(x)
-    pairs, items = F.from_json(x, "map<string,variant>"), F.from_json(x, "array<variant>")
-    block = lambda opened, parts, closed: F.when(F.size(parts) == 0, opened + closed).otherwise(F.concat(F.lit(opened + "\n  "), F.array_join(parts, ",\n  "), F.lit("\n" + closed)))
-    members = F.transform(F.map_entries(pairs), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), F.to_json(e["value"])))
-    kind = json_kind(x)
-    return F.when(kind == "object", block("{", members, "}")).when(kind == "array", block("[", F.transform(items, lambda v: F.to_json(v)), "]")).otherwise(F.to_json(value))
+    """JSON over lines, two spaces a level, whatever its nesting, with the members in their order; null for what is no JSON.
+
+    Strings and numbers stay as they are written. A key that stands twice in an object stays twice.
+    """
+    tokens = F.regexp_extract_all(x, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]+'), F.lit(0))
+    step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def written(t: Column, depth: Column, before: Column, after: Column) -> Column:
+        opened, closed = t.isin("{", "["), t.isin("}", "]")
+        return (
+            F.when(opened & ~F.coalesce(after.isin("}", "]"), F.lit(False)), F.concat(t, line(depth))).when(closed & ~F.coalesce(before.isin("{", "["), F.lit(False)), F.concat(line(depth), t))
+            .when(t == ",", F.concat(t, line(depth))).when(t == ":", F.lit(": ")).otherwise(t)
+        )
+
+    def laid_out(ts: Column) -> Column:
+        placed = lambda depths: F.transform(ts, lambda t, i: written(t, F.get(depths, i), F.get(ts, i - 1), F.get(ts, i + 1)))
+        return F.array_join(text.let(running_sums(F.transform(ts, step)), placed), "")
+
+    return F.when(F.try_parse_json(x).isNotNull(), text.let(tokens, laid_out))
 
 
 def enriched(messages: DataFrame, pages: DataFrame) -> DataFrame:

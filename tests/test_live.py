@@ -82,3 +82,122 @@ def test_functions_of_sql(spark):
     with pytest.raises(Exception, match="(?i)argument|parameter"):
         spark.sql("SELECT * FROM get_cost_by_model('a', 'b')").collect()
     assert live.call(spark, D, "SELECT * FROM get_cost_by_model('no such')").count() == 0
+
+
+def test_batches_fail_alone_and_load_once(spark, tmp_path):
+    """Planted bad rows fail their batch and no other, the report names them, and a second run over mended rows loads the rest once."""
+    from tessera.sources import loading
+
+    good = [(i, f"text {i}") for i in range(1050)]
+    bad = [(i, None if i == 250 else "x" * 99 if i in (251, 777) else t) for i, t in good]
+    check = loading.embeddable(50)
+    first = {r["batch"]: r for r in loading.load(spark.createDataFrame(bad, "doc_id long, text string").repartition(5), "doc_id", str(tmp_path), check).collect()}
+    assert {b for b, r in first.items() if r["status"] == "failed"} == {2, 7} and {r["status"] for r in first.values()} == {"failed", "loaded"}
+    assert first[2]["error"] == "ValueError: row 50 of the batch: no text" and "99 characters" in first[7]["error"] and first[10]["n"] == 50 and sum(r["n"] for r in first.values()) == 1050
+    table = spark.createDataFrame(good, "doc_id long, text string")
+    assert loading.loaded(spark, str(tmp_path), table).count() == 850
+    again = {r["batch"]: r["status"] for r in loading.load(table, "doc_id", str(tmp_path), check).collect()}
+    assert {b for b, x in again.items() if x == "loaded"} == {2, 7} and set(again.values()) == {"loaded", "there"}
+    assert sorted(map(tuple, loading.loaded(spark, str(tmp_path), table).collect())) == good
+    assert loading.load(table.limit(0), "doc_id", f"{tmp_path}/none", check).count() == 0
+
+
+def test_versions_rewrite_only_touched_files(spark, tmp_path):
+    from tessera.sources import versions
+
+    rows = spark.range(0, 1000, 1, 10).select(F.col("id"), F.col("id").cast("string").alias("v"))
+    table = versions.Table(spark, str(tmp_path))
+    assert table.create(rows) == 1
+    _, before = table.files()
+    changes = spark.createDataFrame([(5, "five"), (6, None), (905, "x"), (5000, "no such")], "id long, v string")
+    assert table.update_by_key(changes, "id") == 2
+    _, after = table.files()
+    assert len(before) == 10 and len(set(before) & set(after)) == 8  # files without a key keep their names
+    want = {i: str(i) for i in range(1000)} | {5: "five", 6: None, 905: "x"}
+    assert {r["id"]: r["v"] for r in table.read().collect()} == want and table.read(1).filter("id = 5").first()["v"] == "5"
+    assert table.update_by_key(spark.createDataFrame([(7777, "x")], "id long, v string"), "id") == 2  # nothing to do
+    assert table.delete_by_key(spark.range(100, 200), "id") == 3 and len(table.files()[1]) == len(after) - 1
+    assert table.upsert_ignore(spark.createDataFrame([(1, "old"), (150, "new")], "id long, v string"), "id") == 4
+    want = {i: v for i, v in want.items() if not 100 <= i < 200} | {150: "new"}
+    assert {r["id"]: r["v"] for r in table.read().collect()} == want
+    schema, names = table.files()
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        table._commit(4, schema, names)
+    assert table.delete_by_key(table.read(), "id") == 5 and table.read().count() == 0 and table.insert(rows.limit(3)) == 6 and table.read().count() == 3
+
+
+def test_prefix_price_without_nested_loop(spark):
+    from tessera.operators import analytics
+
+    routes = [(0, "/api/chat", 1.0), (1, "/api", 2.0), (2, "/api/chat/x", 3.0), (3, "/b", 4.0), (4, "/b", 5.0)]
+    paths = ["/api/chat/x", "/api/chat/x", "/apis", "/", "", None, "/b", "/bc", "/ap"]
+    rows = spark.createDataFrame([(i % 3, p) for i, p in enumerate(paths)], "k int, path string")
+    priced = analytics.prefix_price(rows, "path", spark.createDataFrame(routes, "pos int, route string, price double"), 0.01)
+    assert "NestedLoop" not in priced._jdf.queryExecution().toString() and "Cartesian" not in priced._jdf.queryExecution().toString()
+    plain = lambda p: next((c for _, r, c in routes if p is not None and p.startswith(r)), 0.01)
+    assert sorted(map(str, priced.select("k", "path", "price").collect())) == sorted(str(r) for r in spark.createDataFrame([(i % 3, p, plain(p)) for i, p in enumerate(paths)], "k int, path string, price double").collect())
+
+
+def test_scans_take_new_files_only(spark, tmp_path):
+    from tessera.streaming import scans
+
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    (folder / "a" / "b").mkdir(parents=True)
+    (folder / "a" / "one.md").write_text("ä\n")
+    (folder / "a" / "b" / "two.md").write_text("")
+    (folder / "a" / "b" / "bad.md").write_bytes(b"\xff\xfe\x00x")
+    (folder / "skip.bin").write_bytes(b"no")
+    assert scans.scan_new(spark, str(folder), store, "*.md") == 2
+    (folder / "c").mkdir()
+    (folder / "c" / "three.md").write_text("new")
+    assert scans.scan_new(spark, str(folder), store, "*.md") == 1 and scans.scan_new(spark, str(folder), store, "*.md") == 0
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["run"]) for r in scans.texts(spark, store).collect()}
+    assert got == {"one.md": ("ä\n", 0), "three.md": ("new", 1)}
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in scans.rejects(spark, store).collect()] == [("bad.md", "not UTF-8")]
+
+
+def test_json_of_any_nesting(spark):
+    import json
+    import time
+
+    from tessera.functions import state
+    from tessera.sources import readers
+
+    rnd = random.Random(1)
+
+    def value(depth):
+        kind = rnd.randint(0, 6 if depth else 3)
+        if kind > 4:
+            return {rnd.choice(["a", "b\"", "ü{", "c,:", ""]) + str(i): value(depth - 1) for i in range(rnd.randint(0, 3))}
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 3))]
+        return [None, True, rnd.randint(-9, 9) / 4, "x \\ \" [ ] { } , : \n é"][kind]
+
+    whole = [value(5) for _ in range(150)] + [[], {}, [[]], [{}], "", 0, {"a": {"b": {"c": [1, [2, [3]]]}}}, list(range(500))]
+    rows = spark.createDataFrame([(i, json.dumps(v, ensure_ascii=False)) for i, v in enumerate(whole)] + [(-1, "{nope"), (-2, ""), (-3, None)], "i int, x string")
+    got = {r["i"]: r["y"] for r in rows.select("i", readers.indented_json(F.col("x")).alias("y")).collect()}
+    assert all(got[i] == json.dumps(v, indent=2, ensure_ascii=False) for i, v in enumerate(whole)) and got[-1] is got[-2] is got[-3] is None
+    began = time.time()
+    long = spark.createDataFrame([(json.dumps([{"k": i} for i in range(20_000)]),)], "x string").select(readers.indented_json(F.col("x")).alias("y")).first()["y"]
+    assert long == json.dumps([{"k": i} for i in range(20_000)], indent=2) and time.time() - began < 60
+    spans = lambda x: spark.range(1).select(state.nested_objects(F.lit(x)).alias("o")).first()["o"]
+    assert spans('a {b {"c": "}{"} d} } { e') == ['{"c": "}{"}', '{b {"c": "}{"} d}'] and spans("none") == [] and spans('" {"x": "\\"}"}') == ['{"x": "\\"}"}']
+
+
+def test_plans_by_worked_examples(spark):
+    """A discovery's own job counts where it cites nothing valid; a later task's artifact of the same name wins over an earlier one's."""
+    from tessera.operators import planning
+
+    tasks = spark.createDataFrame([(1, 0, "lit-0", "j0"), (1, 1, "ana-0", "j1"), (1, 2, "lit-1", None)], "plan_id long, pos int, id string, job_id string")
+    evidence = spark.createDataFrame([(1, 0, "j1"), (1, 1, "N/A"), (1, 2, None), (1, 3, "gone")], "plan_id long, discovery int, cited string")
+    own = spark.createDataFrame([(1, 0, "j0"), (1, 1, "j0"), (1, 4, "j1"), (1, 5, "null"), (1, 6, None)], "plan_id long, discovery int, job_id string")
+    got = {}
+    for r in planning.allowed_tasks(evidence, tasks, own).collect():
+        got.setdefault(r["discovery"], []).append(r["pos"])
+    # 1 cites a placeholder, so it gets its own job and all the rest; 4 has no evidence but its own job
+    assert {d: sorted(p) for d, p in got.items()} == {0: [1], 1: [0, 1, 2], 2: [0, 1, 2], 3: [0, 1, 2], 4: [1], 5: [0, 1, 2], 6: [0, 1, 2]}
+    known = spark.createDataFrame([(1, 0, 1, "f.png", "runs/a/f.png"), (1, 1, 1, "f.png", "runs/b/g.png"), (1, 2, 1, "lost", None), (1, 0, 2, "lost", "runs/a/lost"), (2, 0, 1, "f.png", "other/f.png")], "plan_id long, pos int, art_no int, name string, path string")
+    said = spark.createDataFrame([(1, "f.png", "x"), (1, None, "/home/g.png"), (1, "lost", "/home/f.png"), (1, "lost", "p"), (2, "f.png", None), (3, "f.png", "kept")], "plan_id long, name string, path string")
+    assert sorted(map(str, planning.repaired_paths(said, known).select("plan_id", "name", "path").collect())) == sorted(
+        str(r) for r in spark.createDataFrame([(1, "f.png", "runs/b/g.png"), (1, None, "runs/b/g.png"), (1, "lost", "runs/b/g.png"), (1, "lost", "p"), (2, "f.png", "other/f.png"), (3, "f.png", "kept")], "plan_id long, name string, path string").collect()
+    )
