@@ -5,8 +5,9 @@ uniform grid over that range. Per query, cells give an upper and a lower bound o
 per query, the vectors whose upper bound reaches the k-th best lower bound; exact vectors are then read in the order of their bounds, in two
 reads: the best FIRST of each query, and after them those whose bound reaches the exact k-th score. What is left can't enter the result.
 
-Equal vectors are folded first, with their smallest ids, so one very common vector costs a single row. Queries and
-vectors meet block by block, a block of vectors as one row; a task compares TILE vectors at a time, whatever the number of rows.
+Equal vectors are folded first, with their smallest ids, so one very common vector costs a single row. Blocks of queries are
+broadcast, about GROUP_BYTES of them at a time, and each task scans its part of the written file once for each such group: the file is never shuffled or
+copied. A task compares TILE vectors at a time, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, saved
+from .common import configured, discard, prepare, saved
 
 K, SCALE, CELLS = 10, 1024, 256
 #: Rows of a block of queries and of a block of vectors; vectors compared with a block of queries at a time.
 QUERY_BLOCK, VECTOR_BLOCK, TILE = 1024, 16_384, 1024
+#: Bytes of queries that are broadcast at a time, in the mean.
+GROUP_BYTES = 32 << 20
 #: Candidates of each query whose exact vectors are read first.
 FIRST = 40
 #: Scores are longs; a product beyond them counts as the nearest one.
@@ -57,6 +60,16 @@ def approximated(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("dim", "vb").applyInArrow(build, "dim int, vb int, numbers binary, lows binary, highs binary, cells binary")
 
 
+def asked_blocks(queries: DataFrame) -> DataFrame:
+    """queries (dim, qb, q, v) -> a row per block: dim, qs and asked (longs as bytes, vector by vector)."""
+
+    def build(table: pa.Table) -> pa.Table:
+        row = [[table.column("dim")[0].as_py()], [table.column("q").to_numpy().tobytes()], [table.column("v").combine_chunks().flatten().to_numpy().tobytes()]]
+        return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()))], names=["dim", "qs", "asked"])
+
+    return queries.groupBy("dim", "qb").applyInArrow(build, "dim int, qs binary, asked binary")
+
+
 def corners(cells: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest vector of each row of cells; a unit and what rounding may take, wider each way."""
     width = np.maximum((highs - lows) / CELLS, 1e-9)
@@ -114,22 +127,26 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     queries = saved(asked.select("v").distinct().join(distinct.select("v", "dim", "size", F.col("number").alias("q")), "v"))
     n_queries, n_vectors = queries.count(), distinct.count()
     q_blocks, v_blocks = -(-n_queries // QUERY_BLOCK) or 1, max(-(-n_vectors // VECTOR_BLOCK), 1)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asking = queries.select("dim", "q", "v", block("q", q_blocks).alias("qb")).withColumn("vb", numbers(v_blocks))
-    file = approximated(distinct.select("dim", "number", "v", block("number", v_blocks).alias("vb"))).withColumn("qb", numbers(q_blocks))
+    asking = saved(asked_blocks(queries.select("dim", "q", "v", block("q", q_blocks).alias("qb"))))
+    file = saved(approximated(distinct.select("dim", "number", "v", block("number", v_blocks).alias("vb"))))
+    groups = max(1, -(-(asking.agg(F.sum(F.octet_length("asked"))).first()[0] or 0) // GROUP_BYTES))
 
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+    def scan(batches):
         kinds = {"q": np.int64, "number": np.int64, "low": np.float64, "high": np.float64}
-        out = [np.zeros(0, dtype=t) for t in kinds.values()]
-        if left.num_rows and right.num_rows:
-            dim = right.column("dim")[0].as_py()
-            number, lows, highs, cells = (np.frombuffer(right.column(c)[0].as_py(), dtype=t) for c, t in (("numbers", np.int64), ("lows", np.float64), ("highs", np.float64), ("cells", np.uint8)))
-            q, v, low, high = near_vectors(matrix(left, dim), cells.reshape(len(number), dim), lows, highs, k + 1)
-            out = [left.column("q").to_numpy()[q], number[v], low, high]
-        return pa.table(dict(zip(kinds, out)))
-
-    near = saved(asking.groupBy("dim", "qb", "vb").cogroup(file.groupBy("dim", "qb", "vb")).applyInArrow(scan, "q bigint, number bigint, low double, high double"))
+        for b in batches:
+            for x in b.to_pylist():
+                qs, number, lows, highs, cells, asked = (np.frombuffer(x[c], dtype=t) for c, t in (("qs", np.int64), ("numbers", np.int64), ("lows", np.float64), ("highs", np.float64), ("cells", np.uint8), ("asked", np.int64)))
+                q, v, low, high = near_vectors(asked.reshape(len(qs), x["dim"]).astype(np.float64), cells.reshape(len(number), x["dim"]), lows, highs, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.from_numpy_dtype(t)) for c, t in zip((qs[q], number[v], low, high), kinds.values())], list(kinds))
+
+    parts = []
+    # a few whole blocks at a time; the join repeats a block of vectors for each block of queries as it streams by, without a shuffle
+    with configured(vectors.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+        for g in range(groups):
+            some = asking.filter(block("qs", groups) == g)
+            parts.append(saved(file.join(F.broadcast(some), "dim").mapInArrow(scan, "q bigint, number bigint, low double, high double")))
+    near = vectors.sparkSession.read.schema(parts[0].schema).parquet(*(p.__dict__["saved_at"] for p in parts))
     # the k+1st best lower bound over all blocks; its own vector may be one of them
     by_low, by_high = Window.partitionBy("q").orderBy(F.desc("low"), "number"), Window.partitionBy("q").orderBy(F.desc("high"), "number")
     kth = saved(near.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == k + 1).select("q", F.col("low").alias("kth")))
@@ -152,7 +169,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     others = pairs.join(ask, "q").withColumn("copies", F.least(F.col("copies") - own, F.lit(k))).filter("copies > 0")
     listed = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    result = saved(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(vectors.sparkSession, rows, distinct, queries, asking, file, *parts, kth, left, certain, scored)
+    return result
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
