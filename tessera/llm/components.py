@@ -49,17 +49,22 @@ def thinned(edges: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. Large: each node links its larger neighbours to its smallest one. Small: the same for smaller ones."""
+    """One round, saved. Large: each node links its larger neighbours to its smallest one. Small: the same for smaller ones.
+
+    The least neighbours are written first: then the join has two plain shuffles, or a broadcast, and the edges of a hub are split over tasks.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
     joined = both.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    result = saved(out.filter("u <> v").distinct())
+    discard(edges.sparkSession, least)
+    return result
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -70,8 +75,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = saved(thinned(edges.filter("u is not null and v is not null and u <> v")))
     seen = None
     for _ in range(rounds):
-        before, now = now, saved(star(star(now, True), False))
-        discard(now.sparkSession, before)
+        wide = star(now, True)
+        before, now = now, star(wide, False)
+        discard(now.sparkSession, before, wide)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import divergence, hard_negatives, html_extraction, substring_dedup, suffix_dedup
+from tessera.llm import components, divergence, hard_negatives, html_extraction, substring_dedup, suffix_dedup, topk
 from tessera.llm.html_extraction import Page
 
 ROOT_HOST = 7
@@ -239,3 +239,37 @@ def test_repeated_ids_by_brute_force(spark):
             seen.add(gram)
         want[i, t] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
     assert Counter(words) == Counter((i, *want[i, t]) for i, t in rows)
+
+
+# --- op6, components -------------------------------------------------------------------------------------------------
+def test_top_k_by_groups_of_queries(spark, monkeypatch):
+    """Several groups and blocks; one vector that fills more than a block; empty vectors, which have the product 0 with each other."""
+    for name, value in (("QUERY_BLOCK", 4), ("VECTOR_BLOCK", 16), ("GROUP_BYTES", 300), ("TILE", 5)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = random.Random(6)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(90)] + [(200 + i, [0.5] * 6) for i in range(70)] + [(400 + i, []) for i in range(15)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in topk.top_k(topk.whole_vectors(table), F.col("vec_id") % 5 == 0, 7).select("query_id", "rank", "vec_id", "score").collect()]
+    whole = {i: [int(1024 * x // 1) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        scored = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])))[:7]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+
+
+def test_components_of_a_hub(spark):
+    rnd = random.Random(4)
+    edges = [(1000, i) for i in range(300)] + [(rnd.randint(2000, 2100), rnd.randint(2000, 2100)) for _ in range(60)] + [(i, i + 1) for i in range(3000, 3040)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
