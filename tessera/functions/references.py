@@ -203,6 +203,21 @@ def cite_tag_indices(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.isNotNull())))
 
 
+def matches(x: Column, pattern: str) -> Column:
+    """Spans (start, end inclusive, from 0) of a pattern's matches, none of them empty; null for null."""
+    sizes = F.transform(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.length(m))
+    gaps = F.slice(F.transform(F.split(x, pattern, -1), lambda g: F.length(g)), F.lit(1), F.size(sizes))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def further(done, p):
+        start = done["at"] + p["gap"]
+        span = F.struct(start.alias("start"), (start + p["size"] - 1).alias("end"))
+        return F.struct((start + p["size"]).alias("at"), F.array_append(done["spans"], span).alias("spans"))
+
+    pairs = F.zip_with(gaps, sizes, lambda g, n: F.struct(g.alias("gap"), n.alias("size")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), further, lambda done: done["spans"])
+
+
 def without_spans(x: Column, spans: Column) -> Column:
     """x without spans (start, end inclusive, from 0), from right to left; a span outside of what is left is passed over."""
     ordered = F.array_sort(spans, lambda a, b: b["start"].cast("int") - a["start"].cast("int"))

@@ -55,12 +55,14 @@ def y1(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("Y9_shallow_merge", "SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events")
+@query("Y9_shallow_merge", """SELECT event_id, CASE event_type WHEN 'error' THEN lag(event_type) OVER w ELSE event_type END AS kind, CASE event_type WHEN 'view' THEN lag(json_extract_string(props, '$.k')) OVER w ELSE json_extract_string(props, '$.k') END AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def y9(s, d):
-    stored = F.create_map(F.lit("kind"), F.lit("old"), F.lit("k"), F.lit("0"))
-    new = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
-    merged = references.merged(stored, new)
-    return table(s, d, "events").select("event_id", merged["kind"].alias("kind"), merged["k"].alias("k"))
+    """Stored is the map of the user's event before; an error brings no kind, a view no k."""
+    own = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    brings = lambda key, v: ~((F.col("event_type") == "error") & (key == "kind")) & ~((F.col("event_type") == "view") & (key == "k"))
+    before = F.coalesce(F.lag(own).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.create_map().cast("map<string,string>"))
+    e = table(s, d, "events").select("event_id", before.alias("stored"), F.map_filter(own, brings).alias("new"))
+    return e.select("event_id", references.merged(F.col("stored"), F.col("new")).alias("m")).select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["k"].alias("k"))
 
 
 @query("Y14_enumerated_answers", "SELECT conv_id, string_agg('Q' || n || ': ' || text, chr(10) ORDER BY n) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'user') GROUP BY 1")

@@ -232,10 +232,13 @@ def g22(s, d):
     return planning.discovery_gate(counts, t, t.join(t.groupBy("plan_id").agg(F.max("level").alias("level")), ["plan_id", "level"], "left_semi"))
 
 
-@query("A20_flags", ARTIFACTS + """, n AS (SELECT task_key, count(*) AS n FROM artifacts GROUP BY 1) SELECT plan_id, sum(CASE WHEN ended THEN task_key % 100 ELSE 0 END)::BIGINT AS took, bool_or(trim(coalesce(output, '')) <> '') AS any_output, bool_or(coalesce(job_id, '') = 'N/A') AS any_error, coalesce(sum(n.n), 0)::BIGINT AS artifacts
-  FROM tasks LEFT JOIN n USING (task_key) GROUP BY 1""")
+@query("A20_flags", ARTIFACTS + """, n AS (SELECT task_key, count(*) AS n FROM artifacts GROUP BY 1), d AS (SELECT o_orderkey AS task_key, date_diff('day', o_orderdate::DATE, max(l_shipdate)::DATE) AS took FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O' GROUP BY 1, o_orderdate) SELECT plan_id, sum(coalesce(took, 0))::BIGINT AS took, bool_or(trim(coalesce(output, '')) <> '') AS any_output, bool_or(coalesce(job_id, '') = 'N/A') AS any_error, coalesce(sum(n.n), 0)::BIGINT AS artifacts
+  FROM tasks LEFT JOIN n USING (task_key) LEFT JOIN d USING (task_key) GROUP BY 1""")
 def a20(s, d):
-    rows = planning.with_artifacts(view(s, d, "tasks"), view(s, d, "artifacts")).withColumn("took", F.when(F.col("ended"), F.col("task_key") % 100))
+    """A task took the days from its order to the last shipment of its lines; one that has not ended has no time yet."""
+    last = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("task_key")).agg(F.max("l_shipdate").alias("last"))
+    days = table(s, d, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("task_key"), "o_orderdate").join(last, "task_key").select("task_key", F.datediff("last", "o_orderdate").alias("took"))
+    rows = planning.with_artifacts(view(s, d, "tasks"), view(s, d, "artifacts")).join(days, "task_key", "left")
     g = rows.groupBy("plan_id").agg(
         F.sum(F.coalesce("took", F.lit(0))).alias("took"), F.bool_or(F.coalesce(F.col("output").rlike(r"\S"), F.lit(False))).alias("any_output"),
         F.bool_or(F.coalesce(F.col("job_id") == "N/A", F.lit(False))).alias("any_error"), F.flatten(F.collect_list("artifacts")).alias("all"),

@@ -55,11 +55,14 @@ def w16(s, d):
     return out.select(F.col("user_id").alias("c_custkey"), "c_name")
 
 
-@query("W8_preserved_field", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'stored ' || event_type END AS datasets, json_extract_string(props, '$.k') AS k FROM events")
+@query("W8_preserved_field", """SELECT event_id, coalesce(lag(CASE WHEN event_type <> 'error' THEN event_type || event_id END) OVER w, event_type || event_id) AS datasets, json_extract_string(props, '$.k') AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def w8(s, d):
-    stored = F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("k"), F.lit("old"), F.lit("uploadedDatasets"), F.concat(F.lit("stored "), "event_type"))).when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), F.lit("older")))
-    new = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("uploadedDatasets"), F.lit("new"))
-    merged = table(s, d, "events").select("event_id", records.preserved(stored, new, "uploadedDatasets").alias("m"))
+    """Stored is the document of the user's event before; that of an error has no datasets, and the first event finds none."""
+    own, k = F.concat("event_type", F.col("event_id").cast("string")), F.get_json_object("props", "$.k")
+    e = table(s, d, "events").withColumn("new", F.create_map(F.lit("k"), k, F.lit("uploadedDatasets"), own))
+    kept = F.when(F.col("event_type") == "error", F.map_filter("new", lambda key, v: key == "k")).otherwise(F.col("new"))
+    stored = F.lag(kept).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    merged = e.withColumn("stored", stored).select("event_id", records.preserved(F.col("stored"), F.col("new"), "uploadedDatasets").alias("m"))
     return merged.select("event_id", F.col("m")["uploadedDatasets"].alias("datasets"), F.col("m")["k"].alias("k"))
 
 
@@ -338,10 +341,12 @@ def d5(s, d):
     return table(s, d, "events").select("event_id", F.unix_millis(F.try_to_timestamp(said)).alias("ms"))
 
 
-@query("T27_fork_title", "SELECT conv_id, turn, CASE WHEN starts_with(trim(t), '[Deep Research]') THEN trim(t) ELSE '[Deep Research] ' || trim(t) END AS title FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '  [Deep Research] ' || role || ' ' ELSE '  ' || role || ' ' END AS t FROM conversations)")
+@query("T27_fork_title", "WITH x AS (SELECT page_id, fork, '  ' || repeat('[Deep Research] ', fork) || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' AS t FROM pages, (SELECT unnest([0, 1, 2]) AS fork)) SELECT page_id, fork, CASE WHEN fork > 0 THEN trim(t) ELSE '[Deep Research] ' || trim(t) END AS title FROM x")
 def t27(s, d):
-    raw = F.concat(F.lit("  "), F.when(F.col("turn") % 2 == 0, "[Deep Research] ").otherwise(""), "role", F.lit(" "))
-    return table(s, d, "conversations").select("conv_id", "turn", text.fork_title(raw).alias("title"))
+    """Titles of pages as they are, and as they are after one fork and two."""
+    forks = table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.explode(F.array(*map(F.lit, range(3)))).alias("fork"))
+    raw = F.concat(F.lit("  "), F.repeat(F.lit("[Deep Research] "), F.col("fork")), "t", F.lit(" "))
+    return forks.select("page_id", "fork", text.fork_title(raw).alias("title"))
 
 
 @query("G25_without_citations", r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(10)) ELSE text || ' ' END AS value FROM documents")
@@ -371,12 +376,15 @@ def g23(s, d):
 
 
 # --- spans in texts --------------------------------------------------------------------------------------------------
-@query("G10_spans_removed", """WITH a AS (SELECT doc_id, CASE WHEN length(text) > 70 THEN substr(text, 1, 70) || substr(text, 72) ELSE text END AS t FROM documents), b AS (SELECT doc_id, CASE WHEN length(t) > 40 THEN substr(t, 1, 20) || substr(t, 42) ELSE t END AS t FROM a)
-  SELECT doc_id, CASE WHEN length(t) > 9 THEN substr(t, 1, 5) || substr(t, 11) ELSE t END AS value FROM b""")
+LINK = '<a [^>]*>[^<]*</a>'
+
+
+@query("G10_spans_removed", f"SELECT page_id, regexp_replace(html, '{LINK}', '', 'g') AS value FROM pages")
 def g10(s, d):
-    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
-    spans = F.array(span(20, 40), span(70, 70), span(-3, 4), span(5, 9), span(60, 50), span(1_000_000_000, 1_000_000_009))
-    return table(s, d, "documents").select("doc_id", references.without_spans(F.col("text"), spans).alias("value"))
+    """The page without its links; a span that ends after the page is passed over."""
+    n = F.length("html")
+    outside = F.struct((n - (F.col("page_id") % 7).cast("int")).alias("start"), (n + (F.col("page_id") % 5).cast("int")).alias("end"))
+    return table(s, d, "pages").select("page_id", references.without_spans(F.col("html"), F.array_append(references.matches(F.col("html"), LINK), outside)).alias("value"))
 
 
 @query("K7_spans_by_start", "WITH m AS (SELECT page_id, unnest(list_transform(range(1, len(string_split(html, '<a ')) + 0), lambda i: length(array_to_string(string_split(html, '<a ')[1:i], '<a ')))) AS start FROM pages) SELECT page_id, start, row_number() OVER (PARTITION BY page_id ORDER BY start DESC) AS place FROM m")
@@ -387,19 +395,27 @@ def k7(s, d):
     return spans.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("start"))))
 
 
-@query("G11_marks_put_in", "SELECT doc_id, CASE WHEN length(text) >= 12 THEN substr(text, 1, 4) || '[1], [3]' || substr(text, 5, 8) || '[2]' || substr(text, 13) ELSE substr(text, 1, 4) || '[1], [3]' || substr(text, 5) || '[2]' END AS value FROM documents")
+@query("G11_marks_put_in", """SELECT page_id, array_to_string(list_transform(string_split(html, '</a>'), lambda x, i: x || CASE WHEN i = len(string_split(html, '</a>')) THEN '' ELSE '</a>' || CASE WHEN i % 4 = 0 THEN '' WHEN i % 3 = 0 THEN '[' || i || '], [1]' ELSE '[' || i || ']' END END), '') AS value FROM pages""")
 def g11(s, d):
-    mark = lambda end, *i: F.struct(F.lit(end).alias("end"), F.array(*map(F.lit, i)).cast("array<int>").alias("indices"))
-    return table(s, d, "documents").select("doc_id", references.with_marks(F.col("text"), F.array(mark(4, 0, 2), mark(12, 1), mark(7))).alias("value"))
+    """After each link its number; every third cites the first link too, every fourth nothing."""
+    indices = lambda i: F.when(i % 4 == 3, F.array().cast("array<int>")).when(i % 3 == 2, F.array(i, F.lit(0))).otherwise(F.array(i))
+    marks = F.transform(references.matches(F.col("html"), "</a>"), lambda m, i: F.struct((m["end"] + 1).alias("end"), indices(i).alias("indices")))
+    return table(s, d, "pages").select("page_id", references.with_marks(F.col("html"), marks).alias("value"))
 
 
 ANCHOR = "'<span data-citation-anchor=\"{0}\"></span>'"
 
 
-@query("G5_anchors", with_views("cited") + f" SELECT page_id, replace(title, '$$', '$') || {ANCHOR.format(1)} || ' and ' || replace(title, '$$', '$') || {ANCHOR.format(2)} || ' but none and other' || {ANCHOR.format(3)} AS value FROM cited")
+HREF = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@query("G5_anchors", f"""WITH p AS (SELECT page_id, string_split(regexp_replace(html, '{HREF}', '\\2' || chr(1), 'g'), chr(1)) AS x, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '$$', '$') AS title FROM pages)
+  SELECT page_id, array_to_string(list_transform(x, lambda y, i: y || CASE WHEN i = len(x) THEN '' ELSE {ANCHOR.format("' || i || '")} END), '') || title || {ANCHOR.format("' || len(x) || '")} || ' but none' AS value FROM p""")
 def g5(s, d):
-    line = F.concat(F.lit("["), "title", F.lit("]{"), "url", F.lit("} and ["), "title", F.lit("]{"), "url", F.lit("} but [none]{ , } and [other]{"), "url", F.lit(", x}"))
-    return view(s, d, "cited").select("page_id", references.anchored(line).alias("value"))
+    """A page whose links are written as citations, then one of its own title, and one without an address."""
+    cited = F.regexp_replace("html", HREF, r"[$2]{$1}")
+    line = F.concat(cited, F.lit("["), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("]{"), "url", F.lit("} but [none]{ , }"))
+    return table(s, d, "pages").select("page_id", references.anchored(line).alias("value"))
 
 
 # --- events ----------------------------------------------------------------------------------------------------------

@@ -169,3 +169,22 @@ def test_prefix_groups_by_brute_force(spark):
     want = {(c, t) for c, t, x in said for c2, t2, y in said if c == c2 and t2 < t and (x.startswith(y) or (x and y.startswith(x)))}
     got = [(r["conv_id"], r["turn"]) for r in keyed.repeated_by_prefix(spark.createDataFrame(said, "conv_id long, turn long, text string")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_spans_and_maps(spark):
+    s, p = "0123456789" * 8, lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    spans = F.array(p(20, 40), p(70, 70), p(-3, 4), p(5, 9), p(60, 50), p(1_000_000_000, 1_000_000_009), p(79, 80))
+    left = s[:70] + s[71:]
+    left = left[:20] + left[41:]
+    assert one(spark, references.without_spans(F.lit(s), spans)) == left[:5] + left[10:]
+    mark = lambda end, *i: F.struct(F.lit(end).alias("end"), F.array(*map(F.lit, i)).cast("array<int>").alias("indices"))
+    assert one(spark, references.with_marks(F.lit("abcdefgh"), F.array(mark(2, 0, 2), mark(6, 1), mark(4), mark(99, 4)))) == "ab[1], [3]cdef[2]gh[5]"
+    found = lambda x, pattern: [tuple(r) for r in one(spark, references.matches(F.lit(x), pattern))]
+    assert found("xx-é😀-xxx", "x+") == [(0, 1), (6, 8)]
+    assert found("abc", "x+") == [] and found("", "x+") == [] and found("xx", "x") == [(0, 0), (1, 1)]
+    assert found("a(b)c(d)", r"\((\w)\)") == [(1, 3), (5, 7)]
+    assert one(spark, references.matches(F.lit(None).cast("string"), "x")) is None
+    stored, new = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"), F.lit("c"), F.lit(None).cast("string"))
+    assert one(spark, references.merged(stored, new)) == {"a": "1", "b": "3", "c": None}
+    assert one(spark, records.preserved(stored, new, "b")) == {"b": "2", "c": None}
+    assert one(spark, records.preserved(F.lit(None).cast("map<string,string>"), new, "b")) == {"b": "3", "c": None}
