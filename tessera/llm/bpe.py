@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import prepare, text_bytes
 
 #: Bytes that a task's memo of pieces may take, about, and entries of its memo of pairs; a full memo starts anew.
-MEMO_BYTES, MEMO_PAIRS = 48 << 20, 150_000
+MEMO_BYTES, MEMO_PAIRS = 72 << 20, 150_000
 #: Pieces up to this many characters are memoised; longer ones are encoded each time.
 MEMO_PIECE = 64
 
@@ -62,6 +62,9 @@ class BytePairs:
         self.trie = ahocorasick.Automaton()
         for t, i in ranks.items():
             self.trie.add_word(t.decode("latin-1"), i)
+        self._ids = {t.decode("latin-1"): i for t, i in ranks.items()}
+        self._size = {i: len(t) for t, i in ranks.items()}
+        self._reached: set[int] = set()
         self._pairs: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
@@ -90,7 +93,12 @@ class BytePairs:
 
     def reached(self, token: int) -> bool:
         """Whether the merges of a token's own bytes give that token."""
-        return self.parts(token)[0] >= 0
+        if token in self._reached:
+            return True
+        if self.parts(token)[0] < 0:
+            return False
+        self._reached.add(token)
+        return True
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges of both tokens' bytes give exactly these two. A memo holds the answers.
@@ -126,10 +134,11 @@ class BytePairs:
 
     def longest(self, text: str, at: int, most: int) -> int:
         """Id of the longest reachable token of at most `most` bytes at a place of Latin-1 text; -1 if none."""
-        n = self.trie.longest_prefix(text[at : at + most])
+        part, ids, reached = text[at : at + most], self._ids, self._reached
+        n = self.trie.longest_prefix(part)
         while n:
-            i = self.trie.get(text[at : at + n], -1)
-            if i >= 0 and self.reached(i):
+            i = ids.get(part[:n], -1)
+            if i >= 0 and (i in reached or self.reached(i)):
                 return i
             n -= 1
         return -1
@@ -146,23 +155,30 @@ class BytePairs:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        text, most, n, tokens = data.decode("latin-1"), self.most, len(data), self.tokens
+        text, most, n, size, pairs, longest = data.decode("latin-1"), self.most, len(data), self._size, self._pairs, self.longest
         open_at = bytearray(b"\x01") * (n + 1)
+        token = longest(text, 0, most)
         out: list[int] = []
-        at, token = 0, self.longest(text, 0, most)
+        at = 0
         while at < n:
-            end = at + len(tokens[token])
-            if open_at[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at < n:
-                    token = self.longest(text, at, most)
-                continue
+            end = at + size[token]
+            if open_at[end]:
+                fits = True
+                if out:  # the memo of `compatible`, read in place
+                    fits = pairs.get(out[-1] << 32 | token)
+                    if fits is None:
+                        fits = self.compatible(out[-1], token)
+                if fits:
+                    out.append(token)
+                    at = end
+                    if at < n:
+                        token = longest(text, at, most)
+                    continue
             token = self.shorter(token)
             while token < 0:  # nothing fits here: this place is dead, take a shorter token before it
                 open_at[at] = 0
                 last = out.pop()
-                at -= len(self.tokens[last])
+                at -= size[last]
                 token = self.shorter(last)
         return out
 
