@@ -21,6 +21,8 @@ from .common import free_name, held_out, prepare
 N, SLOTS = 4, 1 << 20
 #: The filters are fitted on about so many labelled rows of each language, chosen by hash of doc_id (all, if fewer).
 FIT_ROWS = 2_000
+#: Labels that are learned at most, a bound on what is broadcast: the masks take 8 MB for each 64. More are refused, none is left out.
+MOST_LANGUAGES = 1_024
 #: An n-gram belongs to a language if it is in this share of its fitted rows, and in two rows, at least.
 SHARE = 0.01
 #: Characters taken at a time; blocks overlap by N - 1, so the n-grams are those of the whole text.
@@ -94,8 +96,9 @@ class Filters:
         return self.languages[best], float(c[best] / c.sum()) if c.sum() > 0 else 0.0
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_languages: int = MOST_LANGUAGES) -> Filters:
     """labelled (doc_id, text, lang): rows with a null text or lang teach nothing. Languages are in order of falling rows, then name.
+    Over most_languages labels raise a ValueError before a table is made: labels that no one has cleaned are not languages.
 
     Each language is sampled on its own, so a rare one is learned beside any number of other rows. What reaches the driver is bounded by the
     sample: the n-grams that are in SHARE of a language's fitted rows, at most 1 / SHARE times the mean number of n-grams of a row.
@@ -104,7 +107,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
     prepare(spark)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     steps = 1 << 40
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(totals) > most_languages:
+        raise ValueError(f"over {most_languages} labels in lang; clean them, or raise most_languages (8 MB of masks for each 64)")
     if any(n > fit_rows for n in totals.values()):
         bounds = [(lang, max(1, steps * fit_rows // n)) for lang, n in totals.items()]
         table = F.broadcast(spark.createDataFrame(bounds, "lang string, bound bigint"))
@@ -140,7 +145,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred and score (share of the best language in all corrected counts). Rows are independent, repeated ones alike.
 
     Columns stay; where docs has columns of these names, the new ones, which come last, get an underscore more. An empty table gives none.
-    The table that is broadcast is SLOTS x 8 bytes for each 64 languages, whatever the corpus.
+    The table that is broadcast is SLOTS x 8 bytes for each 64 languages, whatever the corpus; fit bounds their number.
     """
     spark = docs.sparkSession
     prepare(spark)

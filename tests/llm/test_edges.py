@@ -446,3 +446,14 @@ def test_pipeline_stages_on_empty_and_null_rows(spark):
                 assert len(out) == min(1, len(rows))  # null counts as the empty text
             if name == "simhash_near_dedup":
                 assert len(out) == len(rows)
+
+
+def test_labels_are_bounded(spark):
+    texts = ("the cat sat", "der hund lief", "le chien court")
+    rows = [(i, text, f"l{i % 3}") for i in range(9) for text in [texts[i % 3]]] + [(9, None, "l3"), (10, "no label", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(labelled, most_languages=3)  # rows without a text or a label are no labels
+    assert filters.languages == ["l0", "l1", "l2"] and [filters.decide(t)[0] for t in texts] == filters.languages
+    with pytest.raises(ValueError, match="over 2 labels"):
+        langid.fit(labelled, most_languages=2)
+    assert langid.fit(labelled.limit(0)).decide("the cat") == ("und", 0.0)
