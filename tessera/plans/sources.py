@@ -114,4 +114,4 @@ def g15(s, d):
     pages = table(s, d, "pages")
     asked = F.concat(F.lit("Read "), "url", F.lit("! and https://gone.example/"), F.col("page_id").cast("string"), F.lit("."))
     messages = last.join(pages.select(F.col("page_id").alias("conv_id"), asked.alias("text")), "conv_id")
-    return readers.enriched(messages, pages.select("url", F.substring(text.html_text(F.col("html")), 1, 4000).alias("content"))).select("conv_id", "turn", "added")
+    return readers.enriched(messages, pages.select(F.col("page_id").alias("conv_id"), "url", F.substring(text.html_text(F.col("html")), 1, 4000).alias("content"))).select("conv_id", "turn", "added")

@@ -107,10 +107,12 @@ def indented_json(x: Column) -> Column:
 def enriched(messages: DataFrame, pages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, text), the last of each conversation, with `added`: what the pages say whose addresses it names.
 
-    pages (url, content). An address without content is said to be unreadable. Messages without an address are left out.
+    pages (url, content), a row per address; or (conv_id, url, content), a row per conversation and address, where an address may have been read
+    several times and each conversation has what was read for it. An address without content is said to be unreadable. Messages without an address are left out.
     """
+    key = ["conv_id", "url"] if "conv_id" in pages.columns else ["url"]
     urls = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"https?://[^\s]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", "")))
-    named = messages.select("conv_id", "turn", F.posexplode(urls).alias("pos", "url")).join(pages.filter(F.col("content").rlike(r"\S")), "url", "left")
+    named = messages.select("conv_id", "turn", F.posexplode(urls).alias("pos", "url")).join(pages.filter(F.col("content").rlike(r"\S")), key, "left")
     read = F.concat(F.lit("Here is the content of the page "), "url", F.lit(" that the user referenced. If it is related to the question, feel free to integrate it in the answer:\n\n"), "content")
     unread = F.concat(F.lit("Content of the page "), "url", F.lit(" wasn't able to be read, but I can search the internet for other results."))
     parts = named.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(read, unread).alias("part")))).alias("parts"))

@@ -201,3 +201,14 @@ def test_plans_by_worked_examples(spark):
     assert sorted(map(str, planning.repaired_paths(said, known).select("plan_id", "name", "path").collect())) == sorted(
         str(r) for r in spark.createDataFrame([(1, "f.png", "runs/b/g.png"), (1, None, "runs/b/g.png"), (1, "lost", "runs/b/g.png"), (1, "lost", "p"), (2, "f.png", "other/f.png"), (3, "f.png", "kept")], "plan_id long, name string, path string").collect()
     )
+
+
+def test_pages_of_one_address(spark):
+    """An address that was read for two conversations gives each of them what was read for it."""
+    from tessera.sources import readers
+
+    asked = spark.createDataFrame([(1, 2, "see http://a.example/x!"), (2, 4, "http://a.example/x and http://b.example"), (3, 1, "http://a.example/x"), (4, 1, "none")], "conv_id long, turn int, text string")
+    pages = spark.createDataFrame([(1, "http://a.example/x", "first"), (2, "http://a.example/x", "second"), (3, "http://a.example/x", " ")], "conv_id long, url string, content string")
+    got = {r["conv_id"]: r["added"].split("\n\n---\n\n") for r in readers.enriched(asked, pages).collect()}
+    assert {k: [x.split("\n\n")[-1] for x in v] for k, v in got.items() if k < 3} == {1: ["first"], 2: ["second", "Content of the page http://b.example wasn't able to be read, but I can search the internet for other results."]}
+    assert set(got) == {1, 2, 3} and "http://a.example/x wasn't able" in got[3][0]
