@@ -14,8 +14,8 @@ from .records import LEASES, lease_events
 
 
 def streamed(s, d, name: str):
-    """A table as a stream of its files (a pattern, as a stream's path may not be a single file)."""
-    return s.readStream.schema(table(s, d, name).schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parquet*")
+    """A table as a stream of its files (a pattern, as a stream's path may not be a single file). Those that are there are one micro-batch: they needn't be in order of time, and no row of one is late for another."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
 
 
 def call(s, d, text: str):
@@ -90,7 +90,7 @@ def file_updates(events):
   x AS (SELECT *, coalesce(lead(ms) OVER (PARTITION BY conv, file ORDER BY ts, n), (SELECT max(epoch_us(ts) // 1000) FROM events)) AS after FROM u)
   SELECT conv, file, status, ms + 43200000 AS ended_ms FROM x WHERE ms + 43200000 < after""")
 def e11_sweep(s, d):
-    """A stream over the events, with a timer for each user's next file to end."""
+    """A stream over the events, with a session window for each record of a user's file."""
     return expiry.run_through(s, expiry.swept_stream(file_updates(streamed(s, d, "events")), 720), readers.scratch(s))[0]
 
 

@@ -1,7 +1,7 @@
 """Streams whose state ends by itself: runs that turn stale without a heartbeat, and records of status that a sweep takes away.
 
-Both keep keyed state in RocksDB and set event-time timers: when the watermark passes an entry's end it leaves the state as a row of the result, so the
-state holds what is alive and no more. An event that comes after the end of its entry, but before the watermark told so, ends it first: results don't
+Both keep keyed state in RocksDB, runs with event-time timers and statuses as session windows: when the watermark passes an entry's end it leaves the state
+as a row of the result, so the state holds what is alive and no more. An event that comes after the end of its entry, but before the watermark told so, ends it first: results don't
 depend on how events fall into micro-batches, if those of a key come in order. Times are counted in whole milliseconds.
 
 `stale_runs` and `swept` give the same rows of a finished table by windows.
@@ -102,67 +102,16 @@ def stale_runs(events: DataFrame, hours: int = STALE_HOURS) -> DataFrame:
     return late.groupBy("conv", "run").agg(F.min_by("root", "ms").alias("root"), F.min(F.col("ms") + hours * 3_600_000).alias("stale_ms")).drop("run")
 
 
-class Statuses(StatefulProcessor):
-    """State of a conversation: its files' status and the end of each record, and a timer at the first of these ends."""
-
-    def __init__(self, life: int):
-        self.life = life
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.files = handle.getMapState("files", "file string", "status string, ends bigint")
-        self.next = handle.getValueState("next", "at bigint")
-
-    def timer(self, at: int | None) -> None:
-        before = self.next.get()[0] if self.next.exists() else None
-        if before == at:
-            return
-        if before is not None:
-            self.handle.deleteTimer(before)
-        if at is None:
-            self.next.clear()
-        else:
-            self.next.update((at,))
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.files.iterator()} if self.files.exists() else {}
-        out, touched = [], set()
-        chunk = pd.concat(list(rows))
-        for at, _, file, status in sorted(zip(chunk["ms"].tolist(), chunk["n"].tolist(), chunk["file"], chunk["status"])):
-            if file in held and held[file][1] < at:
-                out.append((key[0], file, *held[file]))
-            held[file] = (status, at + self.life)
-            touched.add(file)
-        for file in touched:
-            self.files.updateValue((file,), held[file])
-        self.timer(min(ends for _, ends in held.values()) + 1)
-        yield removed(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, left, out = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), [], []
-        for (file,), (status, ends) in list(self.files.iterator()):
-            if ends < now:
-                out.append((key[0], file, status, ends))
-                self.files.removeKey((file,))
-            else:
-                left.append(ends)
-        self.next.clear()  # its timer has gone off
-        self.timer(min(left) + 1 if left else None)
-        yield removed(out)
-
-    def close(self) -> None:
-        pass
-
-
-def removed(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"conv": pd.Series([r[0] for r in rows], dtype="int64"), "file": pd.Series([r[1] for r in rows], dtype="str"), "status": pd.Series([r[2] for r in rows], dtype="str"), "ended_ms": pd.Series([r[3] for r in rows], dtype="int64")})
-
-
 def swept_stream(updates: DataFrame, minutes: int = STATUS_MINUTES, delay: str = "0 seconds") -> DataFrame:
-    """A stream of updates (conv, file, at, n, status) -> conv, file, status, ended_ms of each record that nobody renewed in time; it is swept away then."""
-    rows = updates.select("conv", "file", F.col("at").cast("timestamp").alias("at"), millis(F.col("at")).alias("ms"), "n", "status")
-    return rows.withWatermark("at", delay).groupBy("conv").transformWithStateInPandas(Statuses(minutes * 60_000), "conv bigint, file string, status string, ended_ms bigint", "Append", "EventTime")
+    """A stream of updates (conv, file, at, n, status) -> conv, file, status, ended_ms of each record that nobody renewed in time; it is swept away then.
+
+    A record and what renews it are a session of its file, with the life of a record as its gap. A microsecond more, as times are whole milliseconds: at
+    its end a record still lives.
+    """
+    rows = updates.select("conv", "file", F.timestamp_millis(millis(F.col("at"))).alias("at"), "n", "status")
+    life = F.session_window("at", f"{minutes * 60_000} milliseconds 1 microsecond")
+    ended = rows.withWatermark("at", delay).groupBy("conv", "file", life).agg(F.max_by("status", F.struct("at", "n")).alias("status"))
+    return ended.select("conv", "file", "status", F.unix_millis("session_window.end").alias("ended_ms"))
 
 
 def swept(updates: DataFrame, minutes: int = STATUS_MINUTES) -> DataFrame:

@@ -249,3 +249,13 @@ def test_owners_of_calls_without_a_key(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_streams_of_files_out_of_order(spark, tmp_path):
+    """Files over the same time lose no row to each other's watermark."""
+    events = spark.read.parquet(f"{D}/events.parquet")
+    for k in range(3):
+        events.withColumns({"event_id": F.col("event_id") + k * 3_000_000, "user_id": F.col("user_id") + k * 1_000_000}).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, live.e11_sweep(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, expiry.swept(live.file_updates(spark.read.parquet(f"{tmp_path}/events.parquet")), 720).collect())) and len(got) > 500
+    assert live.e2_stale(spark, str(tmp_path)).count() == 3 * live.e2_stale(spark, D).count()
