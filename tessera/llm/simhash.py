@@ -280,6 +280,20 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int = NEAR_WORDS) -> DataFrame
     return similar_sets(pairs, saved(shingle_sets(docs.join(ends, "node", "left_semi"), k)))
 
 
+def fingerprint_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """SimHash links (u, v) between rows of texts (node, text): fingerprints within 3 bits, as op10 links them, whose sets (node, n, grams) are at similarity 4/5.
+
+    Rows of one fingerprint are a star at the least of them, which also stands for them in the grid. A row without a set has no link.
+    """
+    prints = saved(fingerprints(texts.withColumnRenamed("node", "doc_id")).select(F.col("doc_id").alias("node"), "fp"))
+    points = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    near = links(points.select(F.col("fp").alias("node"), "fp", F.lit(b"").alias("wide"))).toDF("fp_u", "fp_v")
+    end = lambda x: points.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x))
+    across = near.join(end("u"), "fp_u").join(end("v"), "fp_v").select("u", "v")
+    alike = prints.join(points, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return similar_sets(across.unionByName(alike).distinct(), sets)
+
+
 def pivot_links(sets: DataFrame) -> DataFrame:
     """Links (u, v) at similarity 4/5 between the rows of each family (root) of over FAMILY rows and PIVOTS of its rows, chosen by hash."""
     nodes = sets.select("root", "node")
@@ -367,8 +381,9 @@ def family_links(sets: DataFrame, trees: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group of rows linked at similarity 0.8 or more over five-word shingles, that with the smallest doc_id stays.
 
-    A prefix filter over the sets of shingles proposes families and misses no pair at 0.8. Within a family the sets of shingles of
-    all pairs decide, but for pairs already connected. Columns stay. Rows without a word, and rows with null doc_id,
+    SimHash fingerprints propose links through their grid and the sets of shingles check them. For the copies that lie more than 3 bits
+    apart, a prefix filter over the sets proposes families and misses no pair at 0.8: within a family the sets of all pairs decide, but for
+    pairs that SimHash has connected already. Columns stay. Rows without a word, and rows with null doc_id,
     all stay. Rows that repeat a doc_id stay or go together.
     """
     prepare(docs.sparkSession)
@@ -381,7 +396,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     families = saved(components(prefix_links(likely)))
     sets = saved(likely.join(families, "node").select("node", "root", "wide", "n", "grams"))
     discard(docs.sparkSession, heads, likely, families)
-    first = saved(pivot_links(sets))
+    first = saved(fingerprint_links(texts, sets).unionByName(pivot_links(sets)))
     links_found = saved(first.unionByName(family_links(sets, components(first).withColumnRenamed("root", "tree"))))
     gone = components(links_found).filter("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -273,3 +273,24 @@ def test_components_of_a_hub(spark):
         root[max(a, b)] = min(a, b)
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    """SimHash links the near copies within 3 bits, the exact check drops what is not at 4/5, and near_dedup takes these links."""
+    from tessera.llm import simhash
+
+    words = [f"word{i}" for i in range(600)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["end"])), (3, " ".join(words)), (4, " ".join(f"other{i}" for i in range(600))), (5, "a b c d e f"), (6, "A b  c d e f")]
+    docs = spark.createDataFrame(rows, "node long, text string")
+    found = simhash.fingerprint_links(docs, simhash.saved(simhash.shingle_sets(docs, simhash.NEAR_WORDS))).collect()
+    roots = {n: n for n, _ in rows}
+    for u, v in found:
+        roots = {n: min(roots[u], roots[v]) if r in (roots[u], roots[v]) else r for n, r in roots.items()}
+    assert roots == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    unlike = simhash.shingle_sets(docs.withColumn("text", F.concat("text", F.col("node").cast("string"))).withColumn("text", F.sha2("text", 256)), simhash.NEAR_WORDS)
+    assert simhash.fingerprint_links(docs, simhash.saved(unlike)).count() == 0  # alike by fingerprint, not by their sets
+    asked = []
+    links = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda texts, sets: asked.append(1) or links(texts, sets))
+    kept = simhash.near_dedup(docs.withColumnRenamed("node", "doc_id"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5] and asked == [1]
