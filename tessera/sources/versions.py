@@ -3,7 +3,8 @@
     folder/data/<write>/part-*.parquet    files, which are never changed
     folder/versions/<number>              the schema, and the files that make up this version, a line each
 
-A write reads the keys' column to find the files that it touches, writes their rows anew, and puts the next version beside the last one. Where two
+A write reads the keys' column to find the files that it touches, writes their rows anew, and puts the next version beside the last one. What it is given
+is written first: Spark then knows its size and sends few keys to the table's rows, rather than all of them through a shuffle. Where two
 writers meet, the second one's version is there already: it fails and may try again. Files of old versions stay for their readers.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 
 from tessera.operators import keyed
 
+from .readers import kept
+
 
 class Table:
     """A table of versions below folder, which driver and executors share."""
@@ -82,8 +85,8 @@ class Table:
         last = self.version()
         schema, names = self.files(last)
         rows = self._read(schema, names)
-        held = rows.select(key, F.regexp_extract("_metadata.file_path", "([^/]*/[^/]*)$", 1).alias("f")) if names else rows.select(key, F.lit("").alias("f"))
-        touched = {r["f"] for r in held.join(keys.select(key), key, "left_semi").select("f").distinct().collect()}
+        held = rows.select(key, F.col("_metadata.file_path").alias("f")) if names else rows.select(key, F.lit("").alias("f"))
+        touched = {"/".join(r["f"].split("/")[-2:]) for r in held.join(keys.select(key), key, "left_semi").select("f").distinct().collect()}
         if not touched:
             return last
         new = change(self._read(schema, sorted(touched))).select(schema.names)
@@ -91,12 +94,16 @@ class Table:
 
     def update_by_key(self, changes: DataFrame, key: str) -> int:
         """Columns of changes replace those of the rows with its keys, each of which it holds once; keys that no row has change nothing. The version after it."""
+        changes = kept(changes)
         return self._rewrite(changes, key, lambda rows: keyed.update_by_key(rows, changes, key))
 
     def delete_by_key(self, keys: DataFrame, key: str) -> int:
         """Takes away the rows with these keys. The version after it."""
-        return self._rewrite(keys, key, lambda rows: rows.join(keys.select(key), key, "left_anti"))
+        keys = kept(keys.select(key))
+        return self._rewrite(keys, key, lambda rows: rows.join(keys, key, "left_anti"))
 
     def upsert_ignore(self, rows: DataFrame, key: str) -> int:
         """Adds the rows whose key isn't there. The version after it."""
-        return self.insert(rows.join(self.read().select(key), key, "left_anti"))
+        rows = kept(rows)
+        there = self.read().select(key).join(rows.select(key), key, "left_semi")
+        return self.insert(rows.join(kept(there), key, "left_anti"))

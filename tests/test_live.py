@@ -259,3 +259,26 @@ def test_streams_of_files_out_of_order(spark, tmp_path):
     got = sorted(map(tuple, live.e11_sweep(spark, str(tmp_path)).collect()))
     assert got == sorted(map(tuple, expiry.swept(live.file_updates(spark.read.parquet(f"{tmp_path}/events.parquet")), 720).collect())) and len(got) > 500
     assert live.e2_stale(spark, str(tmp_path)).count() == 3 * live.e2_stale(spark, D).count()
+
+
+def test_versions_shuffle_no_table_for_few_keys(spark, tmp_path, monkeypatch):
+    """Few keys of a large table are sent to its rows: the join that looks for them is a broadcast, though their filter's size is unknown."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tessera.sources import versions
+
+    spark.range(200_000).select("id", F.col("id").cast("string").alias("v")).write.parquet(f"{tmp_path}/rows")
+    rows, table, plans = spark.read.parquet(f"{tmp_path}/rows"), versions.Table(spark, f"{tmp_path}/table"), []
+    table.create(rows)
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        assert table.update_by_key(rows.filter("id % 50000 = 0").select("id", F.lit("x").alias("v")), "id") == 2
+        assert table.delete_by_key(rows.filter("id in (7, 8)"), "id") == 3 and table.upsert_ignore(rows.filter("id < 9"), "id") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("SortMergeJoin" in p for p in plans) and sum("BroadcastHashJoin" in p for p in plans) == 2
+    got = table.read()
+    assert got.count() == 200_000 and got.filter("v = 'x'").count() == 4 and got.distinct().count() == 200_000
