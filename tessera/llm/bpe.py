@@ -5,6 +5,9 @@ place. A token may follow another only if the merges of their joined bytes give
 the longest token that may follow the last one, falls back to shorter prefixes, and on a dead end steps back; places
 found dead are marked and never tried again, so each place is left at most once and the time is linear in the bytes. The
 result equals that of the merges in order of rank.
+
+New short pieces of some documents are encoded together: `encode_pieces` takes the steps of `encode_piece` for all of them at
+once, on arrays, with the trie as a table. Long pieces are encoded one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import prepare, text_bytes
 MEMO_BYTES, MEMO_PAIRS = 72 << 20, 150_000
 #: Pieces up to this many characters are memoised; longer ones are encoded each time.
 MEMO_PIECE = 64
+#: Pieces whose new ones are looked for together, about, and new ones that take their steps together; both bound a task's memory.
+TOGETHER, STEPPED = 1 << 18, 1 << 16
 
 
 class Memo(dict):
@@ -42,14 +47,21 @@ class Memo(dict):
         if value is None:
             value = array("i", self.make(piece.encode())).tobytes()
         if len(piece) <= MEMO_PIECE:
-            self.taken += 4 * len(piece) + len(value) + 200  # both objects and their place in the table
-            if 2 * self.taken > MEMO_BYTES:
-                self.older = dict(self)
-                self.clear()
-                self.taken = 0
-            self[piece] = value
+            self.hold(piece, value)
         return value
 
+    def hold(self, piece: str, value: bytes) -> None:
+        self.taken += 4 * len(piece) + len(value) + 200  # both objects and their place in the table
+        if 2 * self.taken > MEMO_BYTES:
+            self.older = dict(self)
+            self.clear()
+            self.taken = 0
+        self[piece] = value
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Of the pieces those that could be held and aren't."""
+        return [p for p in pieces - self.keys() if p not in self.older and len(p) <= MEMO_PIECE]
+
 
 class BytePairs:
     """Encoder and decoder for ranks (token bytes -> id)."""
@@ -69,6 +81,34 @@ class BytePairs:
         self._shorter: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
         self.pieces = Memo(self.encode_piece)
+        self._tables()
+
+    def _tables(self) -> None:
+        """The trie and the memos of `encode_pieces`, as arrays. An edge (node << 8 | byte) leads to the node of the edge's number, from 1; 0 is the root. Edges are in order."""
+        tokens = sorted(self.ranks)
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = np.fromiter(map(self.ranks.__getitem__, tokens), np.int64, len(tokens))
+        letters = np.frombuffer(b"".join(t.ljust(self.most, b"\0") for t in tokens), np.uint8).reshape(len(tokens), self.most)
+        node, nodes = np.zeros(len(tokens), np.int64), 1
+        edges, ends = [], [np.full(1, -1)]
+        for depth in range(self.most):
+            longer = length > depth
+            ids, letters, length = ids[longer], letters[longer], length[longer]
+            edge = node[longer] << 8 | letters[:, depth]
+            first = np.diff(edge, prepend=-1) > 0  # tokens are in order, so edges are
+            node = nodes - 1 + np.cumsum(first)
+            end = ends[-1][(edge[first] >> 8) - (nodes - len(ends[-1]))]  # the longest token on the way to a node
+            ending = length == depth + 1
+            end[node[ending] - nodes] = ids[ending]
+            nodes += len(end)
+            edges.append(edge[first])
+            ends.append(end)
+        self._edges, self._end = np.concatenate(edges), np.concatenate(ends).astype(np.int32)
+        most = max(self.tokens) + 1
+        self._sizes = np.zeros(most, np.int64)
+        self._sizes[list(self._size)] = list(self._size.values())
+        self._best, self._less = np.full(most, -2, np.int32), np.full(most, -2, np.int32)
+        self._follow_keys, self._follow_tokens = np.full(1, -1, np.int64), np.full(1, -1, np.int32)
 
     def merged(self, data: bytes, least: int = 1) -> list[int]:
         """The merges by rank on a short string, down to `least` tokens: of all adjacent pairs the lowest rank merges first, leftmost on ties."""
@@ -115,6 +155,12 @@ class BytePairs:
             known = self._pairs[key] = self._apart(a, b)
         return known
 
+    def follows(self, a: int, b: int) -> int:
+        """Of b and its shorter ones the longest token that may follow a (-1: nothing before, so b); -1 if none."""
+        while a >= 0 and b >= 0 and not self._apart(a, b):
+            b = self.shorter(b)
+        return b
+
     def _apart(self, a: int, b: int) -> bool:
         rank, tokens, parts = self.ranks.get, self.tokens, self.parts
         left_until = right_until = 1 << 60
@@ -182,12 +228,99 @@ class BytePairs:
                 token = self.shorter(last)
         return out
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces that aren't empty, joined, and how many each has: as `encode_piece` gives them, a step of all pieces at a time."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(lengths + 1) - 1
+        starts = stops - lengths
+        letters = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16)
+        letters[stops] = 256
+        open_at, used = np.ones(len(letters), bool), np.zeros(len(letters), bool)
+        token_at, before = np.zeros(len(letters), np.int32), np.full(len(letters), -1, np.int64)  # the token tried at a place; where the one before it begins
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
+        token_at[starts], used[starts] = whole, whole >= 0
+        at = starts[whole < 0]
+        token = self._longest_at(letters, at)
+        while len(at):
+            token = self._following(np.where(before[at] < 0, -1, token_at[before[at]]), token)
+            dead = token < 0
+            end = at + np.where(dead, 0, self._sizes[token])
+            taken = ~dead & open_at[end]
+            blocked = ~dead & ~taken
+            here, there = at[taken], end[taken]
+            token_at[here], used[here], before[there] = token[taken], True, here
+            go = letters[there] < 256
+            back = before[at[dead]]  # these places are dead, the token before them gets shorter
+            if (back < 0).any():
+                raise ValueError("the ranks lack a byte")
+            open_at[at[dead]] = used[back] = False
+            token = np.concatenate([self._longest_at(letters, there[go]), self._known(self._less, np.concatenate([token_at[back], token[blocked]]), self.shorter)])
+            at = np.concatenate([there[go], back, at[blocked]])
+        return token_at[used], np.add.reduceat(used, starts, dtype=np.int64)
+
+    def _longest_at(self, letters: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest reachable token at each place; -1 if none."""
+        node, live, deepest = np.zeros(len(at), np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(live):
+            edge = node << 8 | letters[at]
+            i = np.searchsorted(self._edges, edge)
+            more = (self._edges[np.minimum(i, len(self._edges) - 1)] == edge) & (letters[at] < 256)
+            node, live, at = i[more] + 1, live[more], at[more] + 1
+            deepest[live] = node
+        return self._known(self._best, self._end[deepest], lambda i: i if self.reached(i) else self.shorter(i))
+
+    def _known(self, memo: np.ndarray, tokens: np.ndarray, make) -> np.ndarray:
+        """make of each token, -1 for -1; the memo has -2 for what isn't known yet."""
+        some = tokens[tokens >= 0]
+        for i in np.unique(some[memo[some] == -2]).tolist():
+            memo[i] = make(i)
+        return np.where(tokens < 0, -1, memo[tokens])
+
+    def _following(self, last: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`follows` of each pair, with a memo of sorted keys."""
+        keys = last.astype(np.int64) << 32 | tokens
+        i = np.searchsorted(self._follow_keys, keys)
+        new = np.unique(keys[self._follow_keys[np.minimum(i, len(self._follow_keys) - 1)] != keys])
+        if len(new):
+            if len(self._follow_keys) + len(new) > MEMO_PAIRS:
+                self._follow_keys, self._follow_tokens, new = np.full(1, -1, np.int64), np.full(1, -1, np.int32), np.unique(keys[tokens >= 0])
+            both = np.concatenate([self._follow_keys, new])
+            order = np.argsort(both, kind="stable")
+            made = np.array([self.follows(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], np.int32)
+            self._follow_keys, self._follow_tokens = both[order], np.concatenate([self._follow_tokens, made])[order]
+            i = np.searchsorted(self._follow_keys, keys)
+        return self._follow_tokens[i]
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; each match of the pattern is encoded by itself."""
-        return self.array(text).tolist()
-
-    def array(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), dtype=np.int32)
+        return self.arrays([text])[0].tolist()
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. New short pieces of many texts, or of a run of a long text's pieces, are encoded together."""
+        ids: list[list[bytes]] = [[] for _ in texts]
+        runs, taken = [], 0
+        for text, parts in zip(texts, ids):
+            pieces = self.pattern.findall(text)
+            for i in range(0, len(pieces), TOGETHER):
+                runs.append((parts, pieces[i : i + TOGETHER]))
+                taken += len(runs[-1][1])
+                if taken >= TOGETHER:
+                    self._encode_runs(runs)
+                    runs, taken = [], 0
+        self._encode_runs(runs)
+        return [np.frombuffer(b"".join(parts), dtype=np.int32) for parts in ids]
+
+    def _encode_runs(self, runs: list[tuple[list[bytes], list[str]]]) -> None:
+        """Adds to each list the ids of its pieces."""
+        new = self.pieces.missing(set().union(*(pieces for _, pieces in runs)))
+        for k in range(0, len(new), STEPPED):
+            some = new[k : k + STEPPED]
+            ids, sizes = self.encode_pieces([p.encode() for p in some])
+            joined, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            for p, i, j in zip(some, [0, *ends], ends):
+                self.pieces.hold(p, joined[i:j])
+        for parts, pieces in runs:
+            parts.append(b"".join(map(self.pieces.__getitem__, pieces)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -216,7 +349,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
         bpe = None  # made by the task that needs it and gone with it, so a worker that waits holds no memo
         for batch in batches:
             bpe = bpe or load(lines.value, pattern)
-            ids = [bpe.array(x.decode()) for x in text_bytes(batch.column("text"))]
+            ids = bpe.arrays([x.decode() for x in text_bytes(batch.column("text"))])
             decoded = [bpe.decode(x.tolist()) for x in ids]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -299,6 +299,54 @@ def test_bpe_digests(spark, real):
         assert ours.compatible(a, b) == (ours.merged(ours.tokens[a] + ours.tokens[b]) == [a, b])
 
 
+def test_bpe_new_pieces_are_encoded_together(monkeypatch):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    alone = []
+    plain = bpe.BytePairs.encode_piece
+    monkeypatch.setattr(bpe.BytePairs, "encode_piece", lambda self, data: (alone.append(data), plain(self, data))[1])
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices(["tion", "th", "er", "in", "é", "日本", "ß", "0", "q", "zx", "🙂"], k=rnd.randint(1, 9))) for _ in range(3000)] + ["ab" * 200]
+    text = " ".join(words)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.BytePairs(ranks, P.PATTERN).encode(text) == enc.encode_ordinary(text)
+    assert {len(x.decode()) > bpe.MEMO_PIECE for x in alone} == {True}  # only the long piece goes by itself
+
+
+def test_bpe_steps_of_many_pieces(monkeypatch):
+    ours = bpe.BytePairs({b"a": 0, b"b": 1, b"c": 2}, ".+")
+    with pytest.raises(ValueError):
+        ours.encode_pieces([b"ab", b"xa"])
+    rnd = random.Random(10)
+    undone = 0
+    for _ in range(60):  # small vocabularies of merges, with tokens that merges never give, dead ends and full memos
+        ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+        while len(ranks) < 25:
+            ranks.setdefault(rnd.choice(list(ranks)) + rnd.choice(list(ranks)), len(ranks))
+        for n in (3, 4):
+            ranks.setdefault(bytes(rnd.choices(b"abc", k=n)), len(ranks))
+        ours = bpe.BytePairs(ranks, ".+")
+        monkeypatch.setattr(bpe, "MEMO_PAIRS", rnd.choice([1, 20, 150_000]))
+        pieces = [bytes(rnd.choices(b"abc", k=rnd.randint(1, 40))) for _ in range(50)]
+        ids, sizes = ours.encode_pieces(pieces)
+        want = [[ranks[p]] if p in ranks else ours.merged(p) for p in pieces]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+        assert want == [ours.encode_piece(p) for p in pieces]
+        undone += sum(len(ours.tokens[x[0]]) < len(ours.tokens[ours.longest(p.decode(), 0, ours.most)]) for p, x in zip(pieces, want))
+    assert undone > 100
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    monkeypatch.setattr(bpe, "STEPPED", 3)
+    ours = bpe.BytePairs({**ranks, b"x": len(ranks)}, "[abc]+|x")
+    texts = ["", "abc", "x".join(p.decode() for p in pieces), "a"]
+    assert [x.tolist() for x in ours.arrays(texts)] == [[i for p in ours.pattern.findall(t) for i in ours.encode_piece(p.encode())] for t in texts]
+    assert ours.arrays([]) == []
+
+
 def test_bpe_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 4000)
     made = []
